@@ -22,6 +22,8 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Characters of text that one numpy step works on; bounds a Python worker's memory whatever the batch holds.
 CHUNK_CHARS = 1 << 20
+#: Range buckets of a table at most: what the driver and a broadcast hold of them is bounded, larger buckets spill.
+MAX_PARTS = 65_536
 
 
 def ascii_lower(text: str) -> str:
@@ -106,10 +108,11 @@ def offsets(counts: DataFrame, group: list[str], order: str, n: str, out: str) -
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending cut points of a bigint column, from a mergeable quantile sketch."""
+    parts = min(parts, MAX_PARTS)
     if parts <= 1:
         return []
     at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(column, at, 10_000).alias("q")).first()["q"]
+    got = df.agg(F.percentile_approx(column, at, max(10_000, 4 * parts)).alias("q")).first()["q"]
     return sorted(set(got or []))
 
 

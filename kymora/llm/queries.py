@@ -22,6 +22,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"), bits=4)
+
+
+def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.sketches import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kymora.llm.records import round_trip
 
@@ -30,6 +48,9 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
+    "op4_sketches": op4_sketches,
+    "op7_sharding": op7_sharding,
     "op8_records": op8_records,
 }
 
