@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kymora.session import table
 
@@ -16,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.knn import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kymora.llm.packing import pack
 
@@ -46,12 +53,43 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.bpe import bpe_round_trip
+
+    got = bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    decimals = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return got.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(decimals.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn": op1_knn,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_sketches": op4_sketches,
     "op7_sharding": op7_sharding,
     "op8_records": op8_records,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Brute force: every query with every candidate, in blocks of DuckDB's own.
+    "op1_knn": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
