@@ -155,3 +155,24 @@ def keep_rows(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
     """
     ids = scored.where(keep).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """Labelled training documents (doc_id, text, y), about ``most[c]`` of class ``c`` at most, and all training rows of each class.
+
+    ``train`` is a condition on doc_id. Rows are chosen by a hash of their id against ``most / rows``, so the choice
+    needs no sort, is the same every time, and its size is that of a binomial draw: past ``most`` by a few square roots.
+    Labels other than 0 and 1 and null ids are left out; of several labels of one id the largest counts, and of several
+    texts the smallest.
+    """
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    rows = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    want = [(F.col("y") == c) & (share < most[c] / n) for c, n in rows.items() if c in most]
+    chosen = known.where(want[0] if len(want) == 1 else want[0] | want[1]) if want else known.limit(0)
+    # `chosen` is bounded by `most`, so it is broadcast whatever the input.
+    found = own(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample, _ = save(found, f"sample-{label}")
+    return sample.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id"), rows

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kymora.llm.common import fold_of
 from kymora.session import table
 
 
@@ -53,6 +54,13 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.toxicity import toxicity_scores
+
+    scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of("doc_id", 4) != 2, threshold=0.3)
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kymora.llm.bpe import bpe_round_trip
 
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sketches": op4_sketches,
     "op7_sharding": op7_sharding,
     "op8_records": op8_records,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
