@@ -42,6 +42,13 @@ def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.quality import quality_scores
+
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of("doc_id", 3) != 1)
+    return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kymora.llm.sharding import shard_documents
 
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_sketches": op4_sketches,
+    "op5_quality": op5_quality,
     "op7_sharding": op7_sharding,
     "op8_records": op8_records,
     "op9_toxicity": op9_toxicity,
