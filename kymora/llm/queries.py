@@ -49,6 +49,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kymora.llm.hmm import language_scores
+
+    scored = language_scores(table(spark, sf_dir, "documents"), fold_of("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kymora.llm.sharding import shard_documents
 
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_sketches": op4_sketches,
     "op5_quality": op5_quality,
+    "op6_hmm": op6_hmm,
     "op7_sharding": op7_sharding,
     "op8_records": op8_records,
     "op9_toxicity": op9_toxicity,
