@@ -2,8 +2,9 @@
 
 A word's class follows from its letters: short words by themselves, longer ones by their ending, hashed to CLASSES.
 States emit classes, and a class emits its words by their add-one counts, so the model has a bounded number of
-parameters while the word counts stay a distributed table. With one state it is just the add-one unigram model; the
-unknown word is a class of its own with that model's share. Texts are encoded once into blocks with a dictionary each;
+parameters while the word counts stay a distributed table. The unknown word is one symbol, a class of its own, whose
+probability in every state is the share of training tokens seen once (Good and Turing's estimate of unseen mass); the
+probabilities of all words and that symbol sum to one. Texts are encoded once into blocks with a dictionary each;
 Baum-Welch passes sum expected counts over all training tokens, and the scaled forward recursion scores whole texts.
 """
 
@@ -94,23 +95,26 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """``emit`` (CLASSES + 1, STATES): class probabilities, the last row the unknown word's; ``within``: words' mass of each class."""
 
-    def __init__(self, known: np.ndarray, distinct: np.ndarray):
+    def __init__(self, known: np.ndarray, distinct: np.ndarray, once: int):
         self.tokens, self.words = int(known.sum()), int(distinct.sum())
         self.within = (known + distinct).astype(float)
-        total = self.tokens + self.words + 1
-        self.share = np.append(self.within, 1.0) / total
+        self.unknown = float(np.clip(once / max(1, self.tokens), 1 / (self.tokens + self.words + 1), 0.5)) if self.tokens else 1.0
+        self.share = self.within / max(1.0, self.within.sum())
         self.start = np.full(STATES, 1 / STATES)
         self.move = np.full((STATES, STATES), 0.05 / max(1, STATES - 1))
         np.fill_diagonal(self.move, 0.95)
         self.move /= self.move.sum(axis=1, keepdims=True)
-        self.emit = np.repeat(self.share[:, None], STATES, axis=1)
+        self.emit = self.with_unknown(np.repeat(self.share[:, None], STATES, axis=1))
+
+    def with_unknown(self, emit: np.ndarray) -> np.ndarray:
+        return np.vstack([emit * (1 - self.unknown), np.full(STATES, self.unknown)])
 
     def fit(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """The maximum-a-posteriori parameters of expected counts."""
         self.start = (start + MOVES) / (start + MOVES).sum()
         self.move = (move + MOVES) / (move + MOVES).sum(axis=1, keepdims=True)
-        emit = np.vstack([emit, np.zeros(STATES)]) + PRIOR * self.share[:, None]
-        self.emit = emit / emit.sum(axis=0)
+        emit = emit + PRIOR * self.share[:, None]
+        self.emit = self.with_unknown(emit / emit.sum(axis=0))
 
 
 def mixture(docs: list[np.ndarray], model: Model) -> np.ndarray:
@@ -313,11 +317,12 @@ def language_scores(docs: DataFrame, is_training: Column) -> DataFrame:
     blocks, _ = save(own(docs, "doc_id", "text", "__train").mapInArrow(_encode, BLOCKS), "blocks")
     entries = blocks.select("block", "hashes", "classes", "counts").mapInArrow(_entries, "block long, place int, hash long, class int, n long")
     counts, _ = save(entries.where("n > 0").groupBy("hash", "class").agg(F.sum("n").alias("c")), "words")
-    known, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    known, distinct, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), 0
+    for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
         known[r["class"]], distinct[r["class"]] = r["c"], r["v"]
+        once += r["once"]
     n_docs = blocks.select(F.sum(F.size("doc_ids"))).first()[0] or 0
-    sent = spark.sparkContext.broadcast(train(blocks, Model(known, distinct), n_docs))
+    sent = spark.sparkContext.broadcast(train(blocks, Model(known, distinct, once), n_docs))
     found = entries.select("block", "place", "hash").join(counts.select("hash", "c"), "hash").select("block", "place", "c")
     payload = blocks.select("block", "doc_ids", "train", "sizes", "tokens", "classes")
     return payload.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, sent.value), SCORES)
