@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from kymora.plans import stream_queries, table_queries
+
+QUERIES: dict = {**table_queries.QUERIES, **stream_queries.QUERIES}
