@@ -27,3 +27,11 @@ def session(master: str | None = None, app: str = "kymora", **conf: str) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables in ``sf_dir``; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream_checkpoint(spark: SparkSession, name: str) -> str:
+    """A stream's checkpoint folder under ``spark.checkpoint.dir``, or a local one where that is unset."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kymora-stream-")
+    return f"{root.rstrip('/')}/{name}"
