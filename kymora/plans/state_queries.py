@@ -15,13 +15,13 @@ SLOW = 36_000
 
 
 def ema_fold(spark, sf):
-    return X.fold(e(spark, sf), S, X.ema(0.35), ["x"], ["event_id"]).select("event_id", r("ema", 9).alias("ema"))
+    return X.fold(e(spark, sf), S, X.ema(0.35), ["x"], ["event_id"])
 
 
 _NUMBERED = f"{BASE}, n AS (SELECT *, row_number() OVER {OVER} AS rn FROM e)"
 EMA = f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT user_id, rn, event_id, x AS y FROM n WHERE rn = 1 UNION ALL
 SELECT n.user_id, n.rn, n.event_id, 0.35::DOUBLE * n.x + 0.65::DOUBLE * f.y FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)
-SELECT event_id, round(y, 9) AS ema FROM f"""
+SELECT event_id, y AS ema FROM f"""
 
 
 def sprt_latch(spark, sf):
