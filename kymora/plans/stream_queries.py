@@ -223,7 +223,7 @@ u AS (SELECT *, list_transform(ts, lambda t: (t - ts[1]) / 1e6) AS u, len(ts)::D
 m AS (SELECT *, list_sum(u) AS s1, list_sum(list_transform(u, lambda v: v * v)) AS s2, list_sum(list_transform(u, lambda v: v * v * v)) AS s3, list_sum(list_transform(u, lambda v: v * v * v * v)) AS s4,
       list_sum(ys) AS y0, list_sum(list_transform(range(1, len(u) + 1), lambda i: u[i] * ys[i])) AS y1, list_sum(list_transform(range(1, len(u) + 1), lambda i: u[i] * u[i] * ys[i])) AS y2 FROM u),
 d AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det, n * (s2 * y2 - s3 * y1) - s1 * (s1 * y2 - s3 * y0) + s2 * (s1 * y1 - s2 * y0) AS top FROM m)
-SELECT event_id, round(CASE WHEN n >= 3 AND det <> 0 THEN 2 * top / det ELSE 0 END, 3) AS acceleration FROM d"""
+SELECT event_id, abs(round(CASE WHEN n >= 3 AND det <> 0 THEN 2 * top / det ELSE 0 END, 3)) * sign(round(CASE WHEN n >= 3 AND det <> 0 THEN 2 * top / det ELSE 0 END, 3)) AS acceleration FROM d"""
 
 
 def high_freq_jitter(spark, sf):
