@@ -44,7 +44,8 @@ def autocorrelation(a: Column, lag: Column) -> Column:
 
 def pitch(a: Column, low: int, high: int, voiced: float) -> dict[str, Column]:
     """First lag in [low, high) of the largest autocorrelation, that value, and whether it reaches ``voiced``."""
-    got = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda k: F.round(autocorrelation(a, k), 9))
+    lags = F.sequence(F.lit(low), F.lit(high - 1))
+    got = bound(a, lambda b: F.transform(lags, lambda k: F.round(autocorrelation(b, k), 9)))
     best = bound(got, lambda r: F.struct((F.array_position(r, F.array_max(r)) - 1 + low).cast("int").alias("lag"), F.array_max(r).alias("r")))
     return {"lag": best["lag"], "r": best["r"], "voiced": best["r"] >= voiced}
 
@@ -77,7 +78,7 @@ def detrended(a: Column, n: int) -> Column:
 
 def band_power(a: Column, n: int, rate: float, low: float, high: float) -> Column:
     """Sum of windowed, detrended magnitudes of the bins from ``low`` to ``high`` Hz; 0 for a flat signal."""
-    windowed = F.zip_with(detrended(a, n), hann(n), lambda v, w: v * w)
+    windowed = F.zip_with(bound(a, lambda b: detrended(b, n)), hann(n), lambda v, w: v * w)
     bins = [k for k in range(n // 2 + 1) if low <= k * rate / n <= high]
     power = bound(windowed, lambda w: sum((dft_magnitude(w, n, k) for k in bins[1:]), dft_magnitude(w, n, bins[0])))
     return F.when(rms(without_mean(a)) < 0.002, 0.0).otherwise(power)
