@@ -30,6 +30,11 @@ class Machine:
     outputs: str
 
 
+def _plain(v: Any) -> Any:
+    """None for a missing number."""
+    return None if v is None or isinstance(v, float) and v != v else v
+
+
 def _run(frames: Iterator[pd.DataFrame], machine: Machine, subject: list[str], inputs: list[str], keep: list[str]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in machine.outputs.split(", ")]
     now, state = None, machine.first
@@ -38,7 +43,7 @@ def _run(frames: Iterator[pd.DataFrame], machine: Machine, subject: list[str], i
         for key, row in zip(df[subject].itertuples(index=False, name=None), df[inputs].itertuples(index=False, name=None)):
             if key != now:
                 now, state = key, machine.first
-            state, got = machine.step(state, tuple(None if v is None or v != v else v for v in row))
+            state, got = machine.step(state, tuple(map(_plain, row)))
             out.append(got)
         yield pd.concat([df[keep].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kymora.keys import Stream
-from kymora.operators.folds import Machine
+from kymora.operators.folds import Machine, _plain
 
 
 def stateful(df: DataFrame, s: Stream, machine: Machine, inputs: list[str], keep: list[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def stateful(df: DataFrame, s: Stream, machine: Machine, inputs: list[str], keep
             rows = rows[rows[s.us] > last]
         out = []
         for row in rows[inputs].itertuples(index=False, name=None):
-            now, got = machine.step(now, tuple(None if v is None or v != v else v for v in row))
+            now, got = machine.step(now, tuple(map(_plain, row)))
             out.append(got)
         if len(rows):
             state.update((pickle.dumps(now), int(rows[s.us].max())))
