@@ -117,4 +117,26 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    # The checksum byte by byte over its table of 256 remainders; the jumps in 128-bit arithmetic.
+    "op7_sharding": """
+        WITH RECURSIVE t AS (
+            SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)
+        ), d AS (
+            SELECT row_number() OVER () AS n, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents
+        ), c AS (
+            SELECT n, doc_id, size,
+                xor(4294967295, list_reduce(list_transform(bytes, lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT)) AS text_crc32
+            FROM d, t
+        ), j(doc_id, shards, key, cur, nxt) AS (
+            SELECT DISTINCT doc_id, s, (CASE WHEN coalesce(doc_id, 0) < 0 THEN 18446744073709551616 ELSE 0 END + coalesce(doc_id, 0))::HUGEINT, -1::BIGINT, 0::BIGINT FROM documents, (VALUES (8), (9)) v(s)
+            UNION ALL
+            SELECT doc_id, shards, k, nxt, floor((nxt + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT
+            FROM (SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM j WHERE nxt < shards)
+        ), s AS (
+            SELECT doc_id, shards, max(cur) AS shard FROM j GROUP BY 1, 2
+        )
+        SELECT c.doc_id, c.size::BIGINT AS size, c.text_crc32::BIGINT AS text_crc32, 'key' AS law, a.shard::INTEGER AS shard,
+            row_number() OVER (PARTITION BY a.shard ORDER BY c.doc_id NULLS FIRST, c.text_crc32, c.size) - 1 AS slot, b.shard::INTEGER AS grown_shard
+        FROM c JOIN s a ON c.doc_id IS NOT DISTINCT FROM a.doc_id AND a.shards = 8 JOIN s b ON c.doc_id IS NOT DISTINCT FROM b.doc_id AND b.shards = 9
+    """,
 }

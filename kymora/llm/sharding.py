@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymora.llm.common import offsets, save
+from kymora.llm.common import offsets, range_bounds, range_bucket, save
 
 #: Fixed value of the generator.
 MULTIPLIER = 2862933555777941757
+#: Rows of a range bucket, about.
+BUCKET_ROWS = 65_536
 LOW = (1 << 32) - 1
 
 
@@ -43,13 +45,14 @@ def jump(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step)["at"].cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Shards of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus one (null text: one, and the checksum of no bytes); the law is ``key``, so
-    equal ids share a shard, whatever their texts, and a null id counts as 0. Slots are gapless from 0 within a shard:
-    rows are numbered within their reading task, and one row per task and shard gives the rows before. Rows of equal
-    ids each have a slot; an empty table gives no rows; further columns are ignored.
+    equal ids share a shard, whatever their texts, and a null id counts as 0. Slots are gapless from 0 within a shard, in
+    ascending order of doc_id (nulls first), checksum and size; of rows alike in all three the order is any. Rows are
+    numbered within range buckets of the ids, and one row per bucket and shard gives the rows before, so no task holds a
+    shard. An empty table gives no rows; further columns are ignored.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(
@@ -58,15 +61,16 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.crc32(data).cast("bigint").alias("text_crc32"),
         jump(F.col("doc_id"), shards).alias("shard"),
         jump(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        F.monotonically_increasing_id().alias("seq"),
     )
-    # Saved once: the numbers of rows and tasks can't change between the counts and the slots.
+    # The texts are read once; what follows works on a few numbers per row.
     keyed, _ = save(keyed, "keyed")
-    keyed = keyed.withColumn("task", F.shiftright("seq", 33))
-    counts = keyed.groupBy("shard", "task").agg(F.count("*").alias("n"))
-    before = offsets(counts, ["shard"], "task", "n", "before").select("shard", "task", "before")
-    numbered = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "task").orderBy("seq")))
-    return numbered.join(before, ["shard", "task"]).select(
+    bounds = range_bounds(keyed, "doc_id", max(1, -(-keyed.count() // bucket_rows)))
+    keyed = keyed.withColumn("bucket", range_bucket("doc_id", bounds))
+    counts = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = offsets(counts, ["shard"], "bucket", "n", "before").select("shard", "bucket", "before")
+    order = Window.partitionBy("bucket", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
+    numbered = keyed.repartitionById(len(bounds) + 1, "bucket").withColumn("nth", F.row_number().over(order))
+    return numbered.join(before, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("before") + F.col("nth") - 1).cast("bigint").alias("slot"), "grown_shard",
     )

@@ -340,14 +340,22 @@ def test_neighbours_match_brute_force(spark):
     assert knn.nearest_neighbours(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_neighbours_equal_the_sql(spark):
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    want = con.sql(ORACLE_SQL["op1_knn"]).fetchall()
-    got = [tuple(r) for r in QUERIES["op1_knn"](spark, SF).select("query_id", "rank", "vec_id", "score").collect()]
-    assert sorted(got) == sorted(want)
+    for t in ("embeddings", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    got = [tuple(r) for r in QUERIES[name](spark, SF).select(*want.columns).collect()]
+    assert sorted(got) == sorted(want.fetchall())
+
+
+def test_slots_across_buckets(spark):
+    rows = [(i * 5 % 301, f"t{i}") for i in range(301)] + [(7, "t"), (7, "t"), (None, "n")]
+    one, many = (sharding.shard_documents(documents(spark, rows), bucket_rows=n).collect() for n in (10_000, 9))
+    assert sorted(map(str, one)) == sorted(map(str, many))
 
 
 def test_bounds_hold():
