@@ -319,6 +319,86 @@ def blink_phase(threshold: float = 0.21) -> Machine:
     return Machine(step, None, "phase string, closing double, opening double")
 
 
+def locked_baseline(first: int, limit: float, alpha: float, within: float) -> Machine:
+    """A baseline: the median of the first values under ``limit``, then a slow average of open rows close to it; inputs (x, open)."""
+
+    def step(state, row):
+        base, seen = state if state else (None, ())
+        x, is_open = row
+        if x is not None:
+            if base is None:
+                if x < limit:
+                    seen = (*seen, x)
+                if len(seen) >= first:
+                    ordered = sorted(seen)
+                    base, seen = (ordered[(first - 1) // 2] + ordered[first // 2]) / 2, ()
+            elif is_open and abs(x - base) <= within * base:
+                base = alpha * x + (1 - alpha) * base
+        return (base, seen), (base, None if base is None or x is None else x / base - 1)
+
+    return Machine(step, None, "baseline double, delta double")
+
+
+def gated_ema(alpha: float, below: float) -> Machine:
+    """A noise floor: an average that follows only values under ``below``; input (x)."""
+
+    def step(state, row):
+        x = row[0]
+        if x is not None and x < below:
+            state = x if state is None else alpha * x + (1 - alpha) * state
+        return state, (state,)
+
+    return Machine(step, None, "floor double")
+
+
+def oscillation(alpha: float, limit: float) -> Machine:
+    """How often small moves turn back: an average of sign flips between moves under ``limit``; input (x)."""
+
+    def step(state, row):
+        x = row[0]
+        last, move, osc = state if state else (None, 0.0, 0.0)
+        if x is None:
+            return state, (osc,)
+        d = 0.0 if last is None else x - last
+        if abs(d) < limit:
+            osc = alpha * (d * move < 0) + (1 - alpha) * osc
+        return (x, d, osc), (osc,)
+
+    return Machine(step, None, "oscillation double")
+
+
+def crop_hysteresis(slack: float = 2.0) -> Machine:
+    """Bounds stay as they were while no edge moved by more than ``slack``; inputs (x0, y0, x1, y1)."""
+
+    def step(state, row):
+        if any(v is None for v in row):
+            return state, state or (None,) * 4
+        if state is None or max(abs(a - b) for a, b in zip(row, state)) > slack:
+            state = row
+        return state, state
+
+    return Machine(step, None, "x0_out double, y0_out double, x1_out double, y1_out double")
+
+
+def rolling_model(rows: int, every: int, score: Callable[[list[tuple]], float], misses: int = 15) -> Machine:
+    """A model over the last ``rows`` valid rows, asked at every ``every``-th once there are that many, its answer held; inputs (valid, …).
+
+    More than ``misses`` invalid rows in a run clear the window.
+    """
+
+    def step(state, row):
+        window, n, last, lost = state if state else ((), 0, None, 0)
+        if not row[0]:
+            lost += 1
+            return ((), 0, None, lost) if lost > misses else (window, n, last, lost), (None if lost > misses else last,)
+        window, n = (*window, row[1:])[-rows:], n + 1
+        if len(window) == rows and n % every == 0:
+            last = score(list(window))
+        return (window, n, last, 0), (last,)
+
+    return Machine(step, None, "probability double")
+
+
 def group_normalised(df: DataFrame, s: Stream) -> DataFrame:
     """Time as microseconds since the subject's first row."""
     return df.withColumn(s.us, F.col(s.us) - F.min(s.us).over(s.whole()))

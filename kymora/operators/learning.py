@@ -51,3 +51,28 @@ def augment_minority(df: DataFrame, y: str, features: list[str], row_id: str, be
     extra = df.where(F.col(y) == small).sample(True, times, seed)
     extra = extra.withColumns({c: F.col(c) + F.randn(seed + i) * noise * (kinds[f"{c}_s"] or 0.0) for i, c in enumerate(features) if not kinds[f"{c}_b"]})
     return df.withColumn("synthetic", F.lit(False)).unionByName(extra.withColumn("synthetic", F.lit(True)))
+
+
+def permutation_importance(df: DataFrame, features: list[str], y: str, score, repeats: int = 3, seed: int = 42) -> DataFrame:
+    """Loss of ROC-AUC when a feature's values are dealt anew: (feature, importance), the mean over ``repeats``.
+
+    ``score(df)`` adds a column "score". Within 64 buckets rows are
+    joined to each other by two orders of their hashes, so no value is collected; the features are few, and each is one job.
+    """
+    from pyspark.sql import Window
+
+    from kymora.operators.metrics import roc_auc
+
+    df = df.withColumn("__id", F.xxhash64(*df.columns))
+    base = roc_auc(score(df), y, "score").first()[0]
+    spread = Window.partitionBy(F.pmod("__id", F.lit(64)))
+    rows = []
+    for f in features:
+        lost = 0.0
+        for k in range(repeats):
+            there = df.withColumn("__n", F.row_number().over(spread.orderBy("__id")))
+            other = df.select(F.pmod("__id", F.lit(64)).alias("__b"), F.row_number().over(spread.orderBy(F.xxhash64("__id", F.lit(seed + k)))).alias("__n"), F.col(f).alias("__v"))
+            dealt = there.withColumn("__b", F.pmod("__id", F.lit(64))).join(other, ["__b", "__n"]).withColumn(f, F.col("__v")).drop("__b", "__n", "__v")
+            lost += base - roc_auc(score(dealt), y, "score").first()[0]
+        rows.append((f, lost / repeats))
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

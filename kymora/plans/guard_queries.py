@@ -162,6 +162,38 @@ def calibration_progress(spark, sf):
 PROGRESS = f"WITH {BASE} SELECT event_id, round(least(1.0::DOUBLE, (us - min(us) OVER (PARTITION BY user_id)) / 864000000000.0::DOUBLE, count(CASE WHEN kind <> 'error' THEN 1 END) OVER {rows(-1)} / 30.0::DOUBLE), 6) AS progress FROM e"
 
 
+def pursuit_band(spark, sf):
+    """Share of catch-up moves in a speed band among the moves of the last five days."""
+    from kymora.keys import DAY
+
+    df = e(spark, sf).withColumn("v", F.abs(F.col("x") - F.lag("x").over(S.plain())))
+    flag = F.coalesce((F.col("v") > 4) & (F.col("v") < 45), F.lit(False))
+    return W.fragmentation(df, S, flag, 5 * DAY, 5, "ratio").select("event_id", r("ratio").alias("ratio"))
+
+
+PURSUIT = f"""WITH {BASE}, v AS (SELECT *, abs(x - lag(x) OVER {OVER}) AS v FROM e), f AS (SELECT *, coalesce(v > 4 AND v < 45, false)::INT AS f FROM v)
+SELECT event_id, round(CASE WHEN count(*) OVER w >= 5 THEN avg(f) OVER w ELSE 0 END, 6) AS ratio FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 432000000000 PRECEDING AND CURRENT ROW)"""
+
+
+def peak_position(spark, sf):
+    """Place of the first largest value of each waveform."""
+    return vectors(spark, sf).select("vec_id", (F.array_position("a", F.array_max("a")) - 1).cast("int").alias("peak"), r(F.array_max("a")).alias("height"))
+
+
+PEAK = f"WITH {V} SELECT vec_id, (list_position(a, list_max(a)) - 1)::INT AS peak, round(list_max(a), 6) AS height FROM v"
+
+
+def channel_difference(spark, sf):
+    """Set operations on channel names: those a row lacks, those it shares, all of both."""
+    have = F.array_distinct(F.transform(F.slice("a", 1, 12), lambda v: F.concat(F.lit("c"), F.floor(F.abs(v) * 30).cast("string"))))
+    want = F.array(*[F.lit(f"c{i}") for i in range(6)])
+    return vectors(spark, sf).select("vec_id", F.array_join(F.array_sort(F.array_except(want, have)), ",").alias("absent"), F.array_join(F.array_sort(F.array_intersect(want, have)), ",").alias("shared"), F.size(F.array_union(want, have)).alias("n"))
+
+
+CHANNELS = f"""WITH {V}, h AS (SELECT vec_id, list_distinct(list_transform(a[1:12], lambda v: 'c' || floor(abs(v) * 30)::INT)) AS h, ['c0', 'c1', 'c2', 'c3', 'c4', 'c5'] AS w FROM v)
+SELECT vec_id, array_to_string(list_sort(list_filter(w, lambda x: NOT list_contains(h, x))), ',') AS absent, array_to_string(list_sort(list_filter(w, lambda x: list_contains(h, x))), ',') AS shared, len(list_distinct(list_concat(w, h)))::INT AS n FROM h"""
+
+
 def _frames(spark):
     import numpy as np
 
@@ -231,6 +263,9 @@ QUERIES = {
     "telemetry_injection": (telemetry_injection, INJECTION),
     "last_open_hold": (last_open_hold, OPEN_HOLD),
     "calibration_progress": (calibration_progress, PROGRESS),
+    "pursuit_band": (pursuit_band, PURSUIT),
+    "peak_position": (peak_position, PEAK),
+    "channel_difference": (channel_difference, CHANNELS),
     "lighting_measures": (lighting_measures, None),
     "rppg_fft": (rppg_fft, None),
     "bandpass_filter": (bandpass_filter, None),

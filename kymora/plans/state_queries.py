@@ -99,6 +99,46 @@ def blink_phase(spark, sf):
     return X.fold(df, S, X.blink_phase(), ["us", "ear"], ["event_id"])
 
 
+def baseline_lock(spark, sf):
+    df = e(spark, sf).withColumn("open", F.col("kind") != "error")
+    return X.fold(df, S, X.locked_baseline(15, 165.0, 0.004, 0.18), ["x", "open"], ["event_id"])
+
+
+def noise_floor(spark, sf):
+    return X.fold(e(spark, sf), S, X.gated_ema(0.1, 80.0), ["x"], ["event_id"])
+
+
+NOISE = f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT user_id, rn, event_id, CASE WHEN x < 80 THEN x END AS y FROM n WHERE rn = 1 UNION ALL
+SELECT n.user_id, n.rn, n.event_id, CASE WHEN n.x < 80 THEN CASE WHEN f.y IS NULL THEN n.x ELSE 0.1::DOUBLE * n.x + 0.9::DOUBLE * f.y END ELSE f.y END FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)
+SELECT event_id, y AS floor FROM f"""
+
+
+def angle_oscillation(spark, sf):
+    return X.fold(e(spark, sf), S, X.oscillation(0.4, 60.0), ["x"], ["event_id"])
+
+
+OSCILLATION = f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT user_id, rn, event_id, x, 0.0::DOUBLE AS d, 0.0::DOUBLE AS o FROM n WHERE rn = 1 UNION ALL
+SELECT n.user_id, n.rn, n.event_id, n.x, n.x - f.x, CASE WHEN abs(n.x - f.x) < 60 THEN 0.4::DOUBLE * (CASE WHEN (n.x - f.x) * f.d < 0 THEN 1 ELSE 0 END) + 0.6::DOUBLE * f.o ELSE f.o END FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)
+SELECT event_id, o AS oscillation FROM f"""
+
+
+def crop_hysteresis(spark, sf):
+    edge = F.round(F.col("x") / 50)
+    df = e(spark, sf).withColumns({"x0": edge, "y0": F.lit(0.0), "x1": edge + 10, "y1": F.lit(10.0)})
+    return X.fold(df, S, X.crop_hysteresis(), ["x0", "y0", "x1", "y1"], ["event_id"]).select("event_id", "x0_out", "x1_out")
+
+
+HYSTERESIS_CROP = f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT user_id, rn, event_id, round(x / 50) AS c FROM n WHERE rn = 1 UNION ALL
+SELECT n.user_id, n.rn, n.event_id, CASE WHEN abs(round(n.x / 50) - f.c) > 2 THEN round(n.x / 50) ELSE f.c END FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)
+SELECT event_id, c AS x0_out, c + 10 AS x1_out FROM f"""
+
+
+def rolling_model(spark, sf):
+    df = e(spark, sf).withColumn("valid", F.col("kind") != "error")
+    mean = lambda w: sum(r[0] for r in w) / len(w)
+    return X.fold(df, S, X.rolling_model(10, 5, mean), ["valid", "x"], ["event_id"])
+
+
 def streaming_evidence(spark, sf):
     """The evidence machine on a stream of the events file, drained into a table; its rows are those of the batch fold."""
     import uuid
@@ -132,6 +172,11 @@ QUERIES = {
     "roi_tracker": (roi_tracker, None),
     "vor_gain": (vor_gain, None),
     "blink_phase": (blink_phase, None),
+    "baseline_lock": (baseline_lock, None),
+    "noise_floor": (noise_floor, NOISE),
+    "angle_oscillation": (angle_oscillation, OSCILLATION),
+    "crop_hysteresis": (crop_hysteresis, HYSTERESIS_CROP),
+    "rolling_model": (rolling_model, None),
     "streaming_evidence": (streaming_evidence, SPRT),
     "gbt_oof": (gbt_oof, None),
 }

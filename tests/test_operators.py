@@ -244,3 +244,20 @@ def test_late_rows_are_held(spark):
     df = stream(spark, [(1, 0, 1.0), (1, 0, 5.0), (1, 2 * DAY, 3.0)])
     got = W.derivative(df, S, "x", "d", longest=10.0).orderBy("us", "x").collect()
     assert [r["d"] for r in got] == [0.0, 0.0, 0.0]
+
+
+def test_permutation_importance_finds_the_feature(spark):
+    from kymora.operators.learning import permutation_importance
+
+    df = spark.createDataFrame([(i, i % 2, (i % 2) + (i % 5) / 10.0, float((i * 7) % 13)) for i in range(400)], "id int, y int, f double, g double")
+    got = permutation_importance(df, ["f", "g"], "y", lambda d: d.withColumn("score", F.col("f") + 0.001 * F.col("g")), repeats=1).collect()
+    assert got[0]["feature"] == "f" and got[0]["importance"] > 0.3 and abs(got[1]["importance"]) < 0.05
+
+
+def test_rolling_model_holds_and_clears():
+    m = X.rolling_model(3, 2, lambda w: sum(r[0] for r in w), misses=2)
+    state, out = m.first, []
+    for row in [(True, 1), (True, 2), (True, 3), (True, 4), (False, 0), (False, 0), (False, 0), (True, 9)]:
+        state, got = m.step(state, row)
+        out.append(got[0])
+    assert out == [None, None, None, 9, 9, 9, None, None]
