@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from kymora.llm.common import keep_rows, save
 from kymora.llm.packing import pack
+from kymora.llm.quality import with_quality
 from kymora.llm.queries import vocabulary
+from kymora.llm.simhash import simhash_groups
+from kymora.llm.toxicity import with_toxicity
 from kymora.session import table
 
 #: A document goes if its toxicity is at least this.
@@ -22,24 +25,18 @@ QUALITY_FROM = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is under TOXIC_AT."""
-    from kymora.llm.toxicity import toxicity_scores
-
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return keep_rows(docs, scored, F.col("score") < TOXIC_AT)
+    scored = with_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("__score") < TOXIC_AT).drop("__score", "__evidence")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least QUALITY_FROM."""
-    from kymora.llm.quality import quality_scores
-
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return keep_rows(docs, scored, F.col("score") >= QUALITY_FROM)
+    scored = with_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("__score") >= QUALITY_FROM).drop("__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by near fingerprints, the one with the smallest doc_id."""
-    from kymora.llm.simhash import simhash_groups
-
     groups = simhash_groups(docs)
     return keep_rows(docs, groups, F.col("doc_id") == F.col("component_id"))
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kymora.llm.common import chunks, fold_of, labelled_sample, own, ship
 
@@ -175,11 +176,21 @@ def train(docs: DataFrame, labels: DataFrame, is_training, most: dict[int, int]
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """The batches with __score after their own columns."""
     model = model.value
     for batch in chunks(batches):
-        texts = pc.fill_null(batch.column(1), "").to_pylist()
+        texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "").to_pylist()
         scores = np.full(len(texts), model) if isinstance(model, float) else model.score(np.array([features(t) for t in texts]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores)], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "__score"])
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, is_training=None) -> DataFrame:
+    """``docs`` with __score: one pass over the rows, no join, whatever further columns they have."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = spark.sparkContext.broadcast(train(docs, labels, fold_of("doc_id", 3) != 1 if is_training is None else is_training))
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    return docs.mapInArrow(lambda b: _score(b, model), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, is_training=None) -> DataFrame:
@@ -190,8 +201,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, is_training=None) -> Data
     class says, and without labels 1. Null ids and repeated rows are scored like others; an empty table gives no rows;
     further columns are ignored.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    model = spark.sparkContext.broadcast(train(docs, labels, fold_of("doc_id", 3) != 1 if is_training is None else is_training))
-    scored = own(docs, "doc_id", "text").mapInArrow(lambda b: _score(b, model), "doc_id long, score double")
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = with_quality(own(docs, "doc_id", "text"), labels, is_training)
+    return scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))

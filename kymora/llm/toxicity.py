@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from kymora.llm.common import chunks, fold_of, labelled_sample, own, ship
 
@@ -36,7 +37,7 @@ NEIGHBOURS, BLOCK = 16, 64
 PRIOR = 0.05
 #: Words kept by a worker before its cache starts anew.
 CACHE = 400_000
-EVIDENCE = "array<struct<doc_id:long,similarity:double,toxic:int>>"
+EVIDENCE = ArrayType(StructType([StructField("doc_id", LongType()), StructField("similarity", DoubleType()), StructField("toxic", IntegerType())]))
 
 
 def terms_of(word: str) -> set[str]:
@@ -229,13 +230,14 @@ def train(docs: DataFrame, labels: DataFrame, is_training, most: dict[int, int]
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """The batches with __score and __evidence after their own columns."""
     model = model.value
     read = reader(model.terms)
     seen: dict[tuple, tuple[float, list[dict]]] = {}
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
     for batch in chunks(batches):
         got = []
-        for text in pc.fill_null(batch.column(1), "").to_pylist():
+        for text in pc.fill_null(batch.column(batch.schema.get_field_index("text")), "").to_pylist():
             counts = read.counts(text)
             key = tuple(sorted(counts.items()))
             if key not in seen:
@@ -243,8 +245,19 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
                     seen.clear()
                 seen[key] = model.score(dict(key))
             got.append(seen[key])
-        arrays = [batch.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "evidence"])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
+            names=[*batch.schema.names, "__score", "__evidence"],
+        )
+
+
+def with_toxicity(docs: DataFrame, labels: DataFrame, is_training=None) -> DataFrame:
+    """``docs`` with __score and __evidence: one pass over the rows, no join, whatever further columns they have."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = spark.sparkContext.broadcast(train(docs, labels, fold_of("doc_id", 4) != 2 if is_training is None else is_training))
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType()), StructField("__evidence", EVIDENCE)])
+    return docs.mapInArrow(lambda b: _score(b, model), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, is_training=None, threshold: float = 0.3) -> DataFrame:
@@ -255,8 +268,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, is_training=None, thresh
     with one class only, every text gets the rate of the labels (0 without any). Null ids and repeated rows are scored
     like others; an empty table gives no rows; further columns are ignored.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    model = spark.sparkContext.broadcast(train(docs, labels, fold_of("doc_id", 4) != 2 if is_training is None else is_training))
-    scored = own(docs, "doc_id", "text").mapInArrow(lambda b: _score(b, model), f"doc_id long, score double, evidence {EVIDENCE}")
-    return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    scored = with_toxicity(own(docs, "doc_id", "text"), labels, is_training)
+    return scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"), F.col("__evidence").alias("evidence"))
