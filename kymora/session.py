@@ -15,7 +15,7 @@ SETTINGS = {
 
 
 def session(master: str | None = None, app: str = "kymora", **conf: str) -> SparkSession:
-    """A session with SETTINGS; ``conf`` takes dotted names with underscores doubled away by the caller's dict."""
+    """A session with SETTINGS and further settings by their dotted names (``**{"spark.x": "y"}``)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
