@@ -28,7 +28,7 @@ MASK = 0xA282EAD8
 NULL_ID, SHORT_IDS = 1, 2
 FILES = "bucket int, nth int, path string, records long, tokens long, bytes long"
 #: A data file is closed when it has grown to this size; bounds what a reader holds.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 #: Documents per range bucket, the unit that one task sorts and writes.
 BUCKET_ROWS = 16_384
 
@@ -81,44 +81,53 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class Writer:
+    """One data file and its index, written as frames come; only the index is held.
+
+    The name is one of its own for each attempt: what a lost attempt wrote is in no list of files.
+    """
+
+    def __init__(self, folder: str, bucket: int, nth: int):
+        self.files, root = store(folder)
+        self.path = f"{root}/{bucket:08d}-{nth:05d}-{uuid.uuid4().hex[:8]}.rec"
+        self.bucket, self.nth, self.size, self.tokens, self.index = bucket, nth, 0, 0, bytearray()
+        self.data = self.files.open_output_stream(self.path, buffer_size=1 << 20)
+        self.records = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray, short: bool) -> None:
+        framed = frame(pack_ids(doc_id, ids, short))
+        self.data.write(framed)
+        self.index += ENTRY.pack(self.size, len(framed), len(ids))
+        self.size, self.tokens, self.records = self.size + len(framed), self.tokens + len(ids), self.records + 1
+
+    def close(self) -> pa.RecordBatch:
+        """The file's row in the list of files."""
+        self.data.close()
+        with self.files.open_output_stream(f"{self.path}.idx") as f:
+            f.write(bytes(self.index))
+        row = [self.bucket, self.nth, self.path, self.records, self.tokens, self.size]
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in FILES.split(", ")])
+
+
 def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, folder: str, file_bytes: int) -> Iterator[pa.RecordBatch]:
     tokens = encoder(vocabulary)
     short = max(tokens.vocabulary, end_id + 1) <= 1 << 16
-    files, root = store(folder)
-    data: list[bytes] = []
-    index: list[bytes] = []
-    size = n_ids = nth = 0
-    now = None
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal size, n_ids, nth
-        if index:
-            # A name of its own for each attempt: what a lost attempt wrote is in no list of files.
-            path = f"{root}/{now:08d}-{nth:05d}-{uuid.uuid4().hex[:8]}.rec"
-            for name, what in ((path, data), (f"{path}.idx", index)):
-                with files.open_output_stream(name) as f:
-                    f.write(b"".join(what))
-            row = [[now], [nth], [path], [len(index)], [n_ids], [size]]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            data.clear(), index.clear()
-            size, n_ids, nth = 0, 0, nth + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in FILES.split(", ")])
-
+    out: Writer | None = None
     for batch in chunks(batches):
         flat, sizes = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
         at = 0
         for bucket, doc, n in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
-            if bucket != now or size >= file_bytes:
-                yield from close()
-                nth = 0 if bucket != now else nth
-                now = bucket
-            framed = frame(pack_ids(doc, np.append(flat[at : at + n], np.uint32(end_id)), short))
+            if out is None or bucket != out.bucket or out.size >= file_bytes:
+                nth = 0
+                if out is not None:
+                    nth = out.nth + 1 if bucket == out.bucket else 0
+                    yield out.close()
+                out = Writer(folder, bucket, nth)
+            out.add(doc, np.append(flat[at : at + n], np.uint32(end_id)), short)
             at += n
-            index.append(ENTRY.pack(size, len(framed), n + 1))
-            data.append(framed)
-            size += len(framed)
-            n_ids += n + 1
-    yield from close()
+    if out is not None:
+        yield out.close()
 
 
 def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str, bucket_rows: int = BUCKET_ROWS, file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ PIECES = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^ \t\n\r{L
 BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = "</w>"
 #: Words kept by a worker before its cache starts anew; bounds its memory.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> dict[str, int]:
