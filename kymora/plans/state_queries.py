@@ -52,6 +52,23 @@ def debounced_command(spark, sf):
     return X.fold(df, S, X.debounce(), ["us", "raw", "high", "unknown"], ["event_id"])
 
 
+def _debounce(s: str, a: str, g: str) -> str:
+    """Columns (since, active, gate, command) of the next state from those of the last."""
+    gate = f"coalesce({g}, us)"
+    held, since = f"us - {gate} <= 1000000", f"coalesce({s}, us)"
+    active = f"({a} OR us - {since} >= CASE WHEN high THEN 500000 ELSE 1500000 END)"
+    return f"""CASE WHEN raw = 2 THEN NULL WHEN unknown THEN CASE WHEN {held} THEN {s} END WHEN raw = 1 THEN {since} END AS since,
+        CASE WHEN raw = 2 THEN false WHEN unknown THEN {held} AND {a} WHEN raw = 1 THEN {active} ELSE false END AS active,
+        CASE WHEN raw <> 2 AND unknown THEN {gate} END AS gate,
+        CASE WHEN raw = 2 THEN 2 WHEN unknown THEN CASE WHEN {held} AND {a} THEN 1 ELSE 0 END WHEN raw = 1 THEN CASE WHEN {active} THEN 1 ELSE 0 END ELSE 0 END AS command"""
+
+
+DEBOUNCE = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, trunc(us / {SLOW}::DOUBLE)::BIGINT AS us, CASE WHEN x > 250 THEN 2 WHEN x > 60 THEN 1 ELSE 0 END AS raw, x > 120 AS high, kind = 'error' AS unknown FROM n),
+f AS (SELECT user_id, rn, event_id, {_debounce('NULL::BIGINT', 'false', 'NULL::BIGINT')} FROM q WHERE rn = 1
+UNION ALL SELECT q.user_id, q.rn, q.event_id, {_debounce('f.since', 'f.active', 'f.gate')} FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)
+SELECT event_id, command::INT AS command FROM f"""
+
+
 def change_only_sink(spark, sf):
     from kymora.streaming.processors import change_only
 
@@ -84,6 +101,12 @@ def pose_jump_rejection(spark, sf):
     return X.fold(df, S, X.jump_rejection(), ["yaw", "pitch", "roll"], ["event_id"])
 
 
+_jump = "greatest(abs((x / 5 - f.yaw + 180) - 360 * floor((x / 5 - f.yaw + 180) / 360) - 180), abs((k / 4.0::DOUBLE - f.pitch + 180) - 360 * floor((k / 4.0::DOUBLE - f.pitch + 180) / 360) - 180)) > 25 AND NOT f.rejected"
+JUMP = f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT user_id, rn, event_id, x / 5 AS yaw, k / 4.0::DOUBLE AS pitch, false AS rejected FROM n WHERE rn = 1 UNION ALL
+SELECT n.user_id, n.rn, n.event_id, CASE WHEN {_jump} THEN f.yaw ELSE x / 5 END, CASE WHEN {_jump} THEN f.pitch ELSE k / 4.0::DOUBLE END, {_jump} FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)
+SELECT event_id, yaw AS yaw_out, pitch AS pitch_out, 0.0::DOUBLE AS roll_out, rejected FROM f"""
+
+
 def roi_tracker(spark, sf):
     df = e(spark, sf).withColumns({"cx": F.col("x"), "cy": F.col("k") * 2.0, "scale": F.col("x") / 3 + 40})
     return X.fold(df, S, X.roi_tracker(), ["cx", "cy", "scale"], ["event_id"])
@@ -163,12 +186,12 @@ def gbt_oof(spark, sf):
 QUERIES = {
     "ema_fold": (ema_fold, EMA),
     "sprt_latch": (sprt_latch, SPRT),
-    "debounced_command": (debounced_command, None),
+    "debounced_command": (debounced_command, DEBOUNCE),
     "change_only_sink": (change_only_sink, CHANGE),
     "shock_gate": (shock_gate, None),
     "one_euro_bank": (one_euro_bank, None),
     "fixation_stare": (fixation_stare, None),
-    "pose_jump_rejection": (pose_jump_rejection, None),
+    "pose_jump_rejection": (pose_jump_rejection, JUMP),
     "roi_tracker": (roi_tracker, None),
     "vor_gain": (vor_gain, None),
     "blink_phase": (blink_phase, None),
