@@ -238,7 +238,7 @@ def roi_tracker() -> Machine:
             return state, state or (None, None, None)
         if state is None:
             return row, row
-        a = min(0.85, 0.15 + 0.70 * max(0.0, (math.hypot(row[0] - state[0], row[1] - state[1]) - 8) / 30))
+        a = min(0.85, 0.15 + 0.70 * max(0.0, (math.sqrt((row[0] - state[0]) ** 2 + (row[1] - state[1]) ** 2) - 8) / 30))
         new = (state[0] + a * (row[0] - state[0]), state[1] + a * (row[1] - state[1]), state[2] + 0.15 * (row[2] - state[2]))
         return new, new
 

@@ -88,7 +88,7 @@ def shock_gate(spark, sf):
 
 def one_euro_bank(spark, sf):
     df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW).cast("bigint"), "scale": F.lit(60.0)})
-    return X.fold(df, S, X.one_euro(), ["us", "x", "scale"], ["event_id"])
+    return X.fold(df, S, X.one_euro(), ["us", "x", "scale"], ["event_id"]).select("event_id", r("filtered", 5).alias("filtered"))
 
 
 def fixation_stare(spark, sf):
@@ -112,6 +112,22 @@ def roi_tracker(spark, sf):
     return X.fold(df, S, X.roi_tracker(), ["cx", "cy", "scale"], ["event_id"])
 
 
+_quick = "least(0.85, 0.15 + 0.70::DOUBLE * greatest(0, (sqrt((x - f.cx) * (x - f.cx) + (k * 2.0::DOUBLE - f.cy) * (k * 2.0::DOUBLE - f.cy)) - 8) / 30))"
+ROI = f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT user_id, rn, event_id, x AS cx, k * 2.0::DOUBLE AS cy, x / 3 + 40 AS sc FROM n WHERE rn = 1 UNION ALL
+SELECT n.user_id, n.rn, n.event_id, f.cx + {_quick} * (x - f.cx), f.cy + {_quick} * (k * 2.0::DOUBLE - f.cy), f.sc + 0.15::DOUBLE * (x / 3 + 40 - f.sc) FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)
+SELECT event_id, cx AS cx_out, cy AS cy_out, sc AS scale_out FROM f"""
+
+_alpha = lambda f: f"(2 * pi() * {f} * dt / (2 * pi() * {f} * dt + 1))"
+EURO = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, x, trunc(us / {SLOW}::DOUBLE) AS u FROM n), f AS (
+    SELECT user_id, rn, event_id, u, x AS y, 0.0::DOUBLE AS speed, 0.0::DOUBLE AS osc FROM q WHERE rn = 1 UNION ALL
+    SELECT user_id, rn, event_id, u2, CASE WHEN dt <= 1e-9 THEN y ELSE {_alpha('cut')} * x + (1 - {_alpha('cut')}) * y END, CASE WHEN dt <= 1e-9 THEN speed ELSE s2 END, CASE WHEN dt <= 1e-9 THEN osc ELSE o2 END FROM (
+        SELECT *, 1.0::DOUBLE + 0.007::DOUBLE * greatest(0.05, 1 - 1.5 * o2) * abs(s2) * 100 / 60 AS cut FROM (
+            SELECT *, 0.35::DOUBLE * (CASE WHEN dx * speed < 0 THEN 1 ELSE 0 END) + 0.65::DOUBLE * osc AS o2, {_alpha('1.0::DOUBLE')} * dx + (1 - {_alpha('1.0::DOUBLE')}) * speed AS s2 FROM (
+                SELECT q.user_id, q.rn, q.event_id, q.u AS u2, q.x, f.y, f.speed, f.osc, (q.u - f.u) / 1e6 AS dt, CASE WHEN q.u > f.u THEN (q.x - f.y) / ((q.u - f.u) / 1e6) END AS dx
+                FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1))))
+SELECT event_id, round(y, 5) AS filtered FROM f"""
+
+
 def vor_gain(spark, sf):
     df = e(spark, sf).withColumns({"eye": -F.col("x") / 40, "head": F.col("k") / 12.0, "speed": F.col("x") / 20})
     return X.fold(df, S, X.vor_gain(), ["eye", "head", "speed"], ["event_id"])
@@ -189,10 +205,10 @@ QUERIES = {
     "debounced_command": (debounced_command, DEBOUNCE),
     "change_only_sink": (change_only_sink, CHANGE),
     "shock_gate": (shock_gate, None),
-    "one_euro_bank": (one_euro_bank, None),
+    "one_euro_bank": (one_euro_bank, EURO),
     "fixation_stare": (fixation_stare, None),
     "pose_jump_rejection": (pose_jump_rejection, JUMP),
-    "roi_tracker": (roi_tracker, None),
+    "roi_tracker": (roi_tracker, ROI),
     "vor_gain": (vor_gain, None),
     "blink_phase": (blink_phase, None),
     "baseline_lock": (baseline_lock, None),
