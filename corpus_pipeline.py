@@ -13,7 +13,7 @@ from kymora.llm.common import keep_rows, save
 from kymora.llm.packing import pack
 from kymora.llm.quality import with_quality
 from kymora.llm.queries import vocabulary
-from kymora.llm.simhash import simhash_groups
+from kymora.llm.simhash import near_copies
 from kymora.llm.toxicity import with_toxicity
 from kymora.session import table
 
@@ -36,8 +36,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by near fingerprints, the one with the smallest doc_id."""
-    groups = simhash_groups(docs)
+    """Of each group of documents linked by four fifths of their five-word shingles, the one with the smallest doc_id."""
+    groups = near_copies(docs, similarity=0.8, width=5)
     return keep_rows(docs, groups, F.col("doc_id") == F.col("component_id"))
 
 

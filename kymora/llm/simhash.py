@@ -24,12 +24,14 @@ from kymora.llm.common import chunks, own, remove, save, ship
 
 #: Fixed by the operator's contract.
 SEED, SHINGLE = 42, 4
-#: Fingerprints that a tree's top is built from; its shards number this over SAMPLE_A_SHARD at most.
+#: Fingerprints that a tree's top is built from, about; its shards number this over SAMPLE_A_SHARD at most.
 SAMPLE, SAMPLE_A_SHARD = 32_768, 16
 #: Fingerprints that live in a shard, about.
 SHARD_ROWS = 16_384
 #: Fingerprints in a leaf of a shard's own tree, about, and most comparisons held at once.
 LEAF, TILE = 96, 1 << 20
+#: Central neighbours that each fingerprint is compared with, beside its nearest.
+CENTRAL = 3
 
 
 def fingerprints(texts: list[str], width: int = SHINGLE) -> np.ndarray:
@@ -168,16 +170,53 @@ def stars(points: np.ndarray, queries: np.ndarray, bits: int) -> list[tuple[np.n
     return out
 
 
-def search(points: np.ndarray, queries: np.ndarray, measures: list[tuple[int, int]], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def spans(points: np.ndarray, queries: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs themselves: of each fingerprint with its nearest and its CENTRAL most central ones, and of a tree that spans each group of a tile."""
+    out = []
+    step = max(1, TILE // max(1, min(len(points), 1024)))
+    for i in range(0, len(points), 1024):
+        for j in range(0, len(queries), step):
+            p, q = points[i : i + 1024], queries[j : j + step]
+            d = np.bitwise_count(p[:, None] ^ q[None, :])
+            near = (d <= bits) & (d > 0)
+            rows, cols = near.any(axis=1), near.any(axis=0)
+            if not rows.any():
+                continue
+            near, d, p, q = near[np.ix_(rows, cols)], d[np.ix_(rows, cols)], p[rows], q[cols]
+            far = np.where(near, d, 65)
+            a, b = [q, p], [p[far.argmin(axis=0)], q[far.argmin(axis=1)]]
+            left_p, left_q = np.ones(len(p), bool), np.ones(len(q), bool)
+            # The most central come first: what a group of edited copies was made from.
+            central = np.lexsort((np.where(near, d, 0).sum(axis=1), -near.sum(axis=1)))
+            some = near[central]
+            at, to = np.nonzero(some & (np.cumsum(some, axis=0, dtype=np.int32) <= CENTRAL))
+            a.append(q[to])
+            b.append(p[central][at])
+            for root in central:
+                if not left_p[root]:
+                    continue
+                todo = [(True, int(root))]
+                left_p[root] = False
+                for in_p, k in todo:  # grows as it is walked: breadth first
+                    new = np.flatnonzero(near[k] & left_q) if in_p else np.flatnonzero(near[:, k] & left_p)
+                    (left_q if in_p else left_p)[new] = False
+                    todo += [(not in_p, int(n)) for n in new]
+                    a.append((q if in_p else p)[new])
+                    b.append(np.full(len(new), (p if in_p else q)[k]))
+            out.append((np.concatenate(a), np.concatenate(b)))
+    return out
+
+
+def search(points: np.ndarray, queries: np.ndarray, measures: list[tuple[int, int]], bits: int, link=stars) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of all near pairs between ``points`` and ``queries``, by a tree over the points that both descend."""
     if not len(points) or not len(queries):
         return []
     split = best_split(points, measures) if len(points) > LEAF else None
     if not split:
-        return stars(points, queries, bits)
+        return link(points, queries, bits)
     mask, radius, vantage, at = split
     d, e = distance(points, vantage, mask), distance(queries, vantage, mask)
-    return search(points[d <= at], queries[e - radius <= at], measures, bits) + search(points[d > at], queries[e + radius > at], measures, bits)
+    return search(points[d <= at], queries[e - radius <= at], measures, bits, link) + search(points[d > at], queries[e + radius > at], measures, bits, link)
 
 
 def _search(group: pd.DataFrame, forest: list, bits: int) -> pd.DataFrame:
@@ -218,8 +257,10 @@ def contract(links: DataFrame) -> DataFrame:
 def near_links(fps: DataFrame, bits: int, blocks: int) -> DataFrame:
     """Links (a, b) that join all pairs of distinct fingerprints (column fp) within ``bits`` of each other."""
     total = fps.count()
-    # A bounded sample, in an order that says nothing of the fingerprints, fits the trees; every row is routed by them.
-    sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    # A bounded sample, drawn by a hash of the fingerprint, fits the trees; every row is routed by them.
+    drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, total)))
+    sample = np.sort(np.array([r["fp"] for r in fps.where(drawn).collect()], np.int64).view(np.uint64))
+    sample = np.random.default_rng(0).permutation(sample)
     forest = blocks_of(bits, blocks)
     shards = max(1, min(SAMPLE // SAMPLE_A_SHARD, -(-total // SHARD_ROWS)))
     trees = [build(sample, shards, measures, iter(range(1 << 30))) for measures in forest]
@@ -243,3 +284,130 @@ def simhash_groups(docs: DataFrame, bits: int = 4, blocks: int = 3, width: int =
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     groups = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return printed.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies by resemblance
+
+
+def mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Further hashes from one, by a published 64-bit finaliser; arithmetic wraps."""
+    x = h + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))
+    # Fixed values of the finaliser.
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _word_prints(batches: Iterator[pa.RecordBatch], prints: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key of the folded words, fingerprints of the set of distinct words)."""
+    import xxhash
+
+    for batch in chunks(batches):
+        keys, counts, hashes = [], [], []
+        for text in pc.fill_null(batch.column(1), "").to_pylist():
+            words = text.encode().lower().split()
+            some = set(words)
+            keys.append(xxhash.xxh64_intdigest(b" ".join(words)))
+            counts.append(len(some))
+            hashes += [xxhash.xxh64_intdigest(w, SEED) for w in some]
+        counts, h = np.array(counts, np.int64), np.array(hashes, np.uint64)
+        full = np.flatnonzero(counts)
+        cols = np.zeros((prints, len(keys)), np.uint64)
+        for turn in range(prints if len(full) else 0):
+            bits = np.unpackbits(mixed(h, turn).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.int64)
+            cols[turn, full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
+        arrays = [batch.column(0).cast(pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), *(pa.array(c.view(np.int64)) for c in cols)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", *(f"f{i}" for i in range(prints))])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(key, distinct shingle hashes) of each text."""
+    import xxhash
+
+    for batch in chunks(batches):
+        keys, sets = [], []
+        for text in pc.fill_null(batch.column(0), "").to_pylist():
+            words = text.encode().lower().split()
+            keys.append(xxhash.xxh64_intdigest(b" ".join(words)))
+            got = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))} if words else set()
+            sets.append(np.fromiter(got, np.uint64, len(got)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+
+def _route_prints(batches: Iterator[pa.RecordBatch], trees: list) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        for number, tree in enumerate(trees):
+            if len(fps):
+                rows, leaves, home = route(tree, fps)
+                arrays = [pa.array(prints[rows].astype(np.int32)), pa.array(np.full(len(rows), number, np.int32)), pa.array(leaves.astype(np.int32)), pa.array(fps[rows].view(np.int64)), pa.array(home)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["print", "tree", "leaf", "fp", "home"])
+
+
+def thinned(a: np.ndarray, b: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint's proposed pairs, the one with its nearest and those with the ``keep`` most proposed others."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    a, b = (x.copy() for x in np.unique(np.stack([a, b]), axis=1)) if len(a) else (a, b)
+    u, v = np.concatenate([a, b]), np.concatenate([b, a])
+    _, at, times = np.unique(v, return_inverse=True, return_counts=True)
+    chosen = np.zeros(len(u), bool)
+    for order, most in ((np.lexsort((v, -times[at], u)), keep), (np.lexsort((v, np.bitwise_count(u ^ v), u)), 1)):
+        first = np.diff(u[order], prepend=u[order][:1]) != 0 if len(u) else np.empty(0, bool)
+        first[:1] = True
+        n = np.arange(len(u))
+        chosen[order[n - np.maximum.accumulate(np.where(first, n, 0)) < most]] = True
+    return u[chosen], v[chosen]
+
+
+def _search_prints(group: pd.DataFrame, forest: list, bits: int) -> pd.DataFrame:
+    fps = group["fp"].to_numpy().view(np.uint64)
+    found = search(fps[group["home"].to_numpy()], fps, forest[int(group["tree"].iloc[0])], bits, spans)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64),) * 2
+    a, b = thinned(a, b, CENTRAL)
+    out = pd.DataFrame({"print": group["print"].iloc[0], "a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64)})
+    return out.astype({"print": "int32"}).drop_duplicates()
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = SHINGLE + 1, prints: int = 6, bits: int = 5, blocks: int = 3) -> DataFrame:
+    """Groups of ``docs`` (doc_id, text) that share ``similarity`` of their distinct ``width``-word shingles: doc_id, component_id.
+
+    SimHash fingerprints of the set of distinct words, ``prints`` of them by different hashes, propose pairs: those of any
+    print within ``bits``, found by the same trees. A shard passes on each fingerprint with its nearest and with the most
+    central ones near it, so proposals grow with the documents and not with the square of a group. Each proposed pair of
+    different texts is then compared exactly, shingle by shingle, and what holds is linked. Texts of the same folded
+    words are one. ``component_id`` is the smallest doc_id that links reach (null if all are null). Null, empty and blank
+    texts are each other's copies; an empty table gives no rows; further columns are ignored.
+    """
+    ship(docs.sparkSession)
+    names = [f"f{i}" for i in range(prints)]
+    docs = own(docs, "doc_id", "text")
+    printed, _ = save(docs.mapInArrow(lambda b: _word_prints(b, prints), "doc_id long, key long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    nodes, _ = save(printed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.min(n).alias(n) for n in names]), "texts")
+    total = nodes.count()
+    drawn = F.pmod(F.xxhash64("f0"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, total)))
+    sample = np.unique(np.array([r["f0"] for r in nodes.select("f0").where(drawn).collect()], np.int64).view(np.uint64))
+    sample = np.random.default_rng(0).permutation(sample)
+    forest = blocks_of(bits, blocks)
+    shards = max(1, min(SAMPLE // SAMPLE_A_SHARD, -(-total // SHARD_ROWS)))
+    trees = [build(sample, shards, measures, iter(range(1 << 30))) for measures in forest]
+    each = nodes.select("key", F.posexplode(F.array(*names)).alias("print", "fp"))
+    lowest = each.groupBy("print", "fp").agg(F.min("key").alias("low"))
+    lowest, _ = save(lowest, "lowest")
+    routed = lowest.select("print", "fp").mapInArrow(lambda b: _route_prints(b, trees), "print int, tree int, leaf int, fp long, home boolean")
+    near = routed.groupBy("print", "tree", "leaf").applyInPandas(lambda g: _search_prints(g, forest, bits), "print int, a long, b long").distinct()
+    by = lambda c, out: lowest.select("print", F.col("fp").alias(c), F.col("low").alias(out))
+    near = near.join(by("a", "x"), ["print", "a"]).join(by("b", "y"), ["print", "b"]).select("x", "y")
+    same = each.join(lowest, ["print", "fp"]).select(F.col("key").alias("x"), F.col("low").alias("y")).where("x <> y")
+    pairs, _ = save(near.union(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct().join(nodes.select("key", "doc_id"), "key").select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi").select("text")
+    sets, _ = save(texts.mapInArrow(lambda b: _shingles(b, width), "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
+    of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
+    common = F.size(F.array_intersect("sx", "sy"))
+    alike = pairs.join(of("x"), "x").join(of("y"), "y").where(common >= similarity * (F.size("sx") + F.size("sy") - common))
+    roots = contract(alike.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rooted = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    groups = rooted.select("key", "root").join(least, "root").select("key", "component_id")
+    return printed.select("doc_id", "key").join(groups, "key").select("doc_id", "component_id")

@@ -206,6 +206,47 @@ def test_search_joins_what_is_near():
     assert len(set(a.tolist()) | set(b.tolist())) >= 60
 
 
+def plain_resemblance(a, b):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_copies_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows, base = [], [f"w{int(k)}" for k in rng.integers(0, 4000, 300)]
+    for i in range(60):  # copies with more and more words changed
+        words = list(base)
+        for k in rng.choice(300, i // 3, replace=False):
+            words[k] = f"n{int(rng.integers(0, 10**6))}"
+        rows.append((500 + i, " ".join(words)))
+    rows += [(i, " ".join(f"w{int(k)}" for k in rng.integers(0, 4000, 80))) for i in range(100)]
+    rows += [(700, rows[3][1].upper()), (701, None), (702, ""), (None, "lone"), (703, rows[70][1] + "  "), (703, rows[70][1] + "  ")]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if plain_resemblance(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    want = collections.Counter((d, low.get(find(i))) for i, (d, _) in enumerate(rows))
+    got = collections.Counter(tuple(r) for r in simhash.near_copies(documents(spark, rows)).collect())
+    assert got - want == want - got
+    assert simhash.near_copies(documents(spark, [])).count() == 0
+
+
 # ---------------------------------------------------------------- sketches and shards
 
 
