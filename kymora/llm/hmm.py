@@ -31,8 +31,10 @@ SEGMENT, SEGMENTS = 64, 1024
 #: Pseudo-tokens of the unigram model in each state, and of each transition.
 PRIOR, MOVES = 500.0, 1.0
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 21
+#: Bits of a block's number within its task, and of a place in its dictionary: a place anywhere is one bigint.
+TASK_BITS, PLACE_BITS = 16, 26
 END = b""
-BLOCKS = "block long, doc_ids array<long>, train binary, sizes binary, tokens binary, hashes binary, classes binary, counts binary"
+BLOCKS = "block long, doc_ids array<long>, train binary, sizes binary, tokens binary, keys binary, counts binary"
 
 
 def class_of(word: bytes) -> bytes:
@@ -40,11 +42,14 @@ def class_of(word: bytes) -> bytes:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents as numbers in a dictionary of their distinct words, each with hash, class and training count."""
+    """Blocks of documents as numbers in a dictionary of their distinct words, each with its key and training count.
+
+    A word's key is its 64-bit hash with the class in place of the low bits.
+    """
     import xxhash
     from pyspark import TaskContext
 
-    digest, n_block = xxhash.xxh64_intdigest, TaskContext.get().partitionId() << 32
+    digest, n_block = xxhash.xxh64_intdigest, TaskContext.get().partitionId() << TASK_BITS
 
     def close() -> pa.RecordBatch:
         nonlocal n_block
@@ -54,12 +59,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = np.repeat(np.array(train, bool), lengths)
         row = [
             [n_block], [ids], [np.array(train, np.uint8).tobytes()], [lengths.tobytes()], [flat.tobytes()],
-            [np.array([digest(w) for w in named], np.uint64).tobytes()],
-            [np.array([digest(class_of(w), 1) % CLASSES for w in named], np.uint16).tobytes()],
+            [np.array([digest(w) // CLASSES * CLASSES + digest(class_of(w), 1) % CLASSES for w in named], np.uint64).tobytes()],
             [np.bincount(flat[trained], minlength=len(named)).astype(np.int64).tobytes()],
         ]
         n_block += 1
-        kinds = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 6
+        kinds = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     index, words, ids, train, sizes = Index(), [], [], [], []
@@ -76,17 +80,19 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def classes_of(keys: bytes) -> np.ndarray:
+    return (np.frombuffer(keys, np.uint64) % np.uint64(CLASSES)).astype(np.uint16)
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per dictionary entry: (block, place, hash, class, count)."""
+    """A row per dictionary entry: (place anywhere, key, count)."""
     for batch in batches:
-        for block, h, c, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            h, c, n = np.frombuffer(h, np.int64), np.frombuffer(c, np.uint16), np.frombuffer(n, np.int64)
-            for at in range(0, len(h), 1 << 16):
+        for block, keys, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
+            place = (block << PLACE_BITS) + np.arange(len(keys))
+            for at in range(0, len(keys), 1 << 16):
                 s = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h[s]), block)), pa.array(np.arange(at, at + len(h[s]), dtype=np.int32)), pa.array(h[s]), pa.array(c[s].astype(np.int32)), pa.array(n[s])],
-                    names=["block", "place", "hash", "class", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (place, keys, n)], names=["place", "key", "n"])
 
 
 # ---------------------------------------------------------------- the model
@@ -204,9 +210,9 @@ def expect(classes: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.nda
 def _training(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """(classes, sizes, ids) of each block's training documents."""
     get = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
-    for ids, train, sizes, tokens, classes in zip(*map(get, ("doc_ids", "train", "sizes", "tokens", "classes")), strict=True):
+    for ids, train, sizes, tokens, keys in zip(*map(get, ("doc_ids", "train", "sizes", "tokens", "keys")), strict=True):
         train, sizes = np.frombuffer(train, np.uint8).astype(bool), np.frombuffer(sizes, np.int32).astype(np.int64)
-        flat = np.frombuffer(classes, np.uint16)[np.frombuffer(tokens, np.int32)]
+        flat = classes_of(keys)[np.frombuffer(tokens, np.int32)]
         if train.any():
             yield flat[np.repeat(train, sizes)], sizes[train], [i for i, t in zip(ids, train.tolist()) if t]
 
@@ -239,7 +245,7 @@ def _start_docs(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.
 def train(blocks: DataFrame, model: Model, n_docs: int) -> Model:
     """Baum-Welch passes over all training tokens of the blocks, from a start that a bounded sample gives."""
     spark = blocks.sparkSession
-    data = blocks.select("doc_ids", "train", "sizes", "tokens", "classes")
+    data = blocks.select("doc_ids", "train", "sizes", "tokens", "keys")
     drawn = data.mapInArrow(lambda b: _start_docs(b, min(1.0, START_DOCS / max(1, n_docs))), "classes binary").collect()
     if not drawn:
         return model
@@ -289,9 +295,9 @@ def _score(block: pd.DataFrame, entries: pd.DataFrame, model: Model) -> pd.DataF
         return pd.DataFrame({n: [] for n in names})
     row = block.iloc[0]
     sizes, tokens = np.frombuffer(row["sizes"], np.int32).astype(np.int64), np.frombuffer(row["tokens"], np.int32)
-    classes = np.frombuffer(row["classes"], np.uint16).astype(np.int64)
+    classes = classes_of(row["keys"]).astype(np.int64)
     c = np.zeros(len(classes))
-    c[entries["place"].to_numpy()] = entries["c"].to_numpy()
+    c[entries["place"].to_numpy() & ((1 << PLACE_BITS) - 1)] = entries["c"].to_numpy()
     known = c > 0
     base = np.log10((c + 1) / (model.tokens + model.words + 1))
     within = np.where(known, np.log10((c + 1) / np.maximum(model.within[classes], 1)), 0.0)
@@ -315,14 +321,14 @@ def language_scores(docs: DataFrame, is_training: Column) -> DataFrame:
     ship(spark)
     docs = docs.withColumn("__train", F.coalesce(is_training, F.lit(False)))
     blocks, _ = save(own(docs, "doc_id", "text", "__train").mapInArrow(_encode, BLOCKS), "blocks")
-    entries = blocks.select("block", "hashes", "classes", "counts").mapInArrow(_entries, "block long, place int, hash long, class int, n long")
-    counts, _ = save(entries.where("n > 0").groupBy("hash", "class").agg(F.sum("n").alias("c")), "words")
+    entries = blocks.select("block", "keys", "counts").mapInArrow(_entries, "place long, key long, n long")
+    counts, _ = save(entries.where("n > 0").groupBy("key").agg(F.sum("n").alias("c")), "words")
     known, distinct, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), 0
-    for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
+    for r in counts.groupBy(F.pmod("key", F.lit(CLASSES)).alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
         known[r["class"]], distinct[r["class"]] = r["c"], r["v"]
         once += r["once"]
     n_docs = blocks.select(F.sum(F.size("doc_ids"))).first()[0] or 0
     sent = spark.sparkContext.broadcast(train(blocks, Model(known, distinct, once), n_docs))
-    found = entries.select("block", "place", "hash").join(counts.select("hash", "c"), "hash").select("block", "place", "c")
-    payload = blocks.select("block", "doc_ids", "train", "sizes", "tokens", "classes")
+    found = entries.select("place", "key").join(counts, "key").select("place", "c", F.shiftright("place", PLACE_BITS).alias("block"))
+    payload = blocks.select("block", "doc_ids", "train", "sizes", "tokens", "keys")
     return payload.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, sent.value), SCORES)
