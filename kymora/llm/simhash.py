@@ -30,8 +30,10 @@ SAMPLE, SAMPLE_A_SHARD = 32_768, 16
 SHARD_ROWS = 16_384
 #: Fingerprints in a leaf of a shard's own tree, about, and most comparisons held at once.
 LEAF, TILE = 96, 1 << 20
-#: Central neighbours that each fingerprint is compared with, beside its nearest.
-CENTRAL = 3
+#: Texts, about, whose shingles tell which are common; texts that hold a common one, and common ones at most.
+SAMPLE_TEXTS, COMMON_FROM, COMMON = 8192, 3, 65_536
+#: What rounding may take from a bound.
+SLACK = 1e-6
 
 
 def fingerprints(texts: list[str], width: int = SHINGLE) -> np.ndarray:
@@ -170,53 +172,16 @@ def stars(points: np.ndarray, queries: np.ndarray, bits: int) -> list[tuple[np.n
     return out
 
 
-def spans(points: np.ndarray, queries: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs themselves: of each fingerprint with its nearest and its CENTRAL most central ones, and of a tree that spans each group of a tile."""
-    out = []
-    step = max(1, TILE // max(1, min(len(points), 1024)))
-    for i in range(0, len(points), 1024):
-        for j in range(0, len(queries), step):
-            p, q = points[i : i + 1024], queries[j : j + step]
-            d = np.bitwise_count(p[:, None] ^ q[None, :])
-            near = (d <= bits) & (d > 0)
-            rows, cols = near.any(axis=1), near.any(axis=0)
-            if not rows.any():
-                continue
-            near, d, p, q = near[np.ix_(rows, cols)], d[np.ix_(rows, cols)], p[rows], q[cols]
-            far = np.where(near, d, 65)
-            a, b = [q, p], [p[far.argmin(axis=0)], q[far.argmin(axis=1)]]
-            left_p, left_q = np.ones(len(p), bool), np.ones(len(q), bool)
-            # The most central come first: what a group of edited copies was made from.
-            central = np.lexsort((np.where(near, d, 0).sum(axis=1), -near.sum(axis=1)))
-            some = near[central]
-            at, to = np.nonzero(some & (np.cumsum(some, axis=0, dtype=np.int32) <= CENTRAL))
-            a.append(q[to])
-            b.append(p[central][at])
-            for root in central:
-                if not left_p[root]:
-                    continue
-                todo = [(True, int(root))]
-                left_p[root] = False
-                for in_p, k in todo:  # grows as it is walked: breadth first
-                    new = np.flatnonzero(near[k] & left_q) if in_p else np.flatnonzero(near[:, k] & left_p)
-                    (left_q if in_p else left_p)[new] = False
-                    todo += [(not in_p, int(n)) for n in new]
-                    a.append((q if in_p else p)[new])
-                    b.append(np.full(len(new), (p if in_p else q)[k]))
-            out.append((np.concatenate(a), np.concatenate(b)))
-    return out
-
-
-def search(points: np.ndarray, queries: np.ndarray, measures: list[tuple[int, int]], bits: int, link=stars) -> list[tuple[np.ndarray, np.ndarray]]:
+def search(points: np.ndarray, queries: np.ndarray, measures: list[tuple[int, int]], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of all near pairs between ``points`` and ``queries``, by a tree over the points that both descend."""
     if not len(points) or not len(queries):
         return []
     split = best_split(points, measures) if len(points) > LEAF else None
     if not split:
-        return link(points, queries, bits)
+        return stars(points, queries, bits)
     mask, radius, vantage, at = split
     d, e = distance(points, vantage, mask), distance(queries, vantage, mask)
-    return search(points[d <= at], queries[e - radius <= at], measures, bits, link) + search(points[d > at], queries[e + radius > at], measures, bits, link)
+    return search(points[d <= at], queries[e - radius <= at], measures, bits) + search(points[d > at], queries[e + radius > at], measures, bits)
 
 
 def _search(group: pd.DataFrame, forest: list, bits: int) -> pd.DataFrame:
@@ -298,116 +263,131 @@ def mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_prints(batches: Iterator[pa.RecordBatch], prints: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key of the folded words, fingerprints of the set of distinct words)."""
+def shingle_sets(texts: list[str], width: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of each text in turn, how many each has); those of ``common`` come last and in its order, others by hash."""
     import xxhash
 
-    for batch in chunks(batches):
-        keys, counts, hashes = [], [], []
-        for text in pc.fill_null(batch.column(1), "").to_pylist():
-            words = text.encode().lower().split()
-            some = set(words)
-            keys.append(xxhash.xxh64_intdigest(b" ".join(words)))
-            counts.append(len(some))
-            hashes += [xxhash.xxh64_intdigest(w, SEED) for w in some]
-        counts, h = np.array(counts, np.int64), np.array(hashes, np.uint64)
-        full = np.flatnonzero(counts)
-        cols = np.zeros((prints, len(keys)), np.uint64)
-        for turn in range(prints if len(full) else 0):
-            bits = np.unpackbits(mixed(h, turn).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.int64)
-            cols[turn, full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
-        arrays = [batch.column(0).cast(pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), *(pa.array(c.view(np.int64)) for c in cols)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", *(f"f{i}" for i in range(prints))])
+    words = [t.encode().lower().split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for some in words for w in some), np.uint64, int(sizes.sum()))
+    n = np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+    doc = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
+    end = np.repeat(np.cumsum(sizes), n)
+    got = np.zeros(len(doc), np.uint64)
+    for k in range(width):  # a text of fewer words is one shingle of all of them
+        some = at + k < end
+        got[some] = mixed(got[some] + h[at[some] + k], k + 1)
+    rank = np.zeros(len(got), np.int64)
+    if len(common):
+        by = np.argsort(common)
+        near = np.minimum(np.searchsorted(common[by], got), len(common) - 1)
+        rank = np.where(common[by][near] == got, by[near] + 1, 0)
+    order = np.lexsort((got, rank, doc))
+    doc, got = doc[order], got[order]
+    new = np.ones(len(got), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (got[1:] != got[:-1])
+    return got[new], np.bincount(doc[new], minlength=len(texts))
+
+
+def set_keys(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set, whatever the order of its members."""
+    keys = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        keys[some] = np.add.reduceat(mixed(shingles, 7), (np.cumsum(sizes) - sizes)[some])
+    return mixed(keys, 8) + sizes.astype(np.uint64)
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(key, distinct shingle hashes) of each text."""
-    import xxhash
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.view(np.int64)))
 
-    for batch in chunks(batches):
-        keys, sets = [], []
-        for text in pc.fill_null(batch.column(0), "").to_pylist():
-            words = text.encode().lower().split()
-            keys.append(xxhash.xxh64_intdigest(b" ".join(words)))
-            got = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))} if words else set()
-            sets.append(np.fromiter(got, np.uint64, len(got)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
-
-def _route_prints(batches: Iterator[pa.RecordBatch], trees: list) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        for number, tree in enumerate(trees):
-            if len(fps):
-                rows, leaves, home = route(tree, fps)
-                arrays = [pa.array(prints[rows].astype(np.int32)), pa.array(np.full(len(rows), number, np.int32)), pa.array(leaves.astype(np.int32)), pa.array(fps[rows].view(np.int64)), pa.array(home)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["print", "tree", "leaf", "fp", "home"])
-
-
-def thinned(a: np.ndarray, b: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each fingerprint's proposed pairs, the one with its nearest and those with the ``keep`` most proposed others."""
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    a, b = (x.copy() for x in np.unique(np.stack([a, b]), axis=1)) if len(a) else (a, b)
-    u, v = np.concatenate([a, b]), np.concatenate([b, a])
-    _, at, times = np.unique(v, return_inverse=True, return_counts=True)
-    chosen = np.zeros(len(u), bool)
-    for order, most in ((np.lexsort((v, -times[at], u)), keep), (np.lexsort((v, np.bitwise_count(u ^ v), u)), 1)):
-        first = np.diff(u[order], prepend=u[order][:1]) != 0 if len(u) else np.empty(0, bool)
-        first[:1] = True
-        n = np.arange(len(u))
-        chosen[order[n - np.maximum.accumulate(np.where(first, n, 0)) < most]] = True
-    return u[chosen], v[chosen]
-
-
-def _search_prints(group: pd.DataFrame, forest: list, bits: int) -> pd.DataFrame:
-    fps = group["fp"].to_numpy().view(np.uint64)
-    found = search(fps[group["home"].to_numpy()], fps, forest[int(group["tree"].iloc[0])], bits, spans)
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64),) * 2
-    a, b = thinned(a, b, CENTRAL)
-    out = pd.DataFrame({"print": group["print"].iloc[0], "a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64)})
-    return out.astype({"print": "int32"}).drop_duplicates()
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(key, distinct shingles) of each text."""
+    for batch in chunks(batches):
+        flat, sizes = shingle_sets(pc.fill_null(batch.column(0), "").to_pylist(), width, np.empty(0, np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(set_keys(flat, sizes).view(np.int64)), _lists(flat, sizes)], names=["key", "shingles"])
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = SHINGLE + 1, prints: int = 6, bits: int = 5, blocks: int = 3) -> DataFrame:
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row, key, distinct shingles, the first of them): two sets that share enough share one of their first."""
+    for batch in chunks(batches):
+        flat, sizes = shingle_sets(pc.fill_null(batch.column(1), "").to_pylist(), width, common.value)
+        firsts = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1, 0)
+        nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        arrays = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(set_keys(flat, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), _lists(flat[nth < np.repeat(firsts, sizes)], firsts)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "key", "size", "first"])
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several texts of a bounded sample hold, the rarest first: an order that pairs are looked for in, and no more."""
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE_TEXTS / max(1, docs.count())))
+    sets = docs.where(drawn).select("text").distinct().mapInArrow(lambda b: _shingles(b, width), "key long, shingles array<long>").dropDuplicates(["key"])
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    got = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    return np.array([r["shingle"] for r in reversed(got)], np.int64).view(np.uint64)
+
+
+def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Groups of ``docs`` (doc_id, text, row), as ``near_copies`` says: doc_id, row and root, the same for all of a group."""
+    spark = docs.sparkSession
+    ship(spark)
+    common = spark.sparkContext.broadcast(common_shingles(docs, width))
+    kind = "doc_id long, row long, key long, size int, first array<long>"
+    printed, _ = save(docs.select("doc_id", "text", "row").mapInArrow(lambda b: _prefixes(b, width, similarity, common), kind), "prefixes")
+    nodes, _ = save(printed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("first").alias("first")), "texts")
+    postings = nodes.select("key", "size", F.posexplode("first").alias("pos", "shingle"))
+    # A set holds a shingle once, so a count tells which shingles two sets hold.
+    shared = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    postings, _ = save(postings.join(shared.select("shingle"), "shingle", "left_semi"), "postings")
+
+    def possible(x: str, y: str):
+        """Whether sizes and the shingle's places leave room: no pair that holds is ruled out at the first shingle it shares."""
+        least = similarity / (1 + similarity) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - SLACK
+        room = F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos")) >= least
+        return room & (F.least(f"{x}.size", f"{y}.size") >= similarity * F.greatest(f"{x}.size", f"{y}.size") - SLACK)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The links that hold, shingle by shingle."""
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct().join(nodes.select("key", "doc_id"), "key").select(F.col("doc_id").alias("__id")).distinct()
+        texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi").select("text")
+        sets, path = save(texts.mapInArrow(lambda b: _shingles(b, width), "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
+        of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
+        both = F.size(F.array_intersect("sx", "sy"))
+        held = pairs.join(of("x"), "x").join(of("y"), "y").where(both >= similarity * (F.size("sx") + F.size("sy") - both))
+        held, _ = save(held.select(F.col("x").alias("a"), F.col("y").alias("b")), "alike")
+        remove(spark, path)
+        return held
+
+    # First each set with the two that stand for its shingle: the one with fewest rarer shingles, which copies are made from, and the smallest key.
+    heads = postings.groupBy("shingle").agg(F.min(F.struct("key", "pos", "size")).alias("low"), F.min(F.struct("pos", "key", "size")).alias("head"))
+    heads = heads.select("shingle", F.explode(F.array(*[F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("key", "pos", "size")]) for c in ("low", "head")])).alias("h"))
+    met = postings.select("shingle", F.struct("key", "pos", "size").alias("p")).join(heads, "shingle").where((F.col("p.key") != F.col("h.key")) & possible("p", "h"))
+    pairs, _ = save(met.select(F.least("p.key", "h.key").alias("x"), F.greatest("p.key", "h.key").alias("y")).distinct(), "pairs")
+    links = alike(pairs)
+    # Then every pair that shares a first shingle and isn't linked yet, but for those whose sizes or places rule it out.
+    roots = contract(links)
+    left = postings.join(roots, postings["key"] == roots["node"], "left").select("shingle", "key", "size", "pos", F.coalesce("root", "key").alias("root"))
+    parted = left.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    left, _ = save(left.join(parted, "shingle", "left_semi"), "left")
+    mine, other = (left.select("shingle", F.struct("key", "size", "pos", "root").alias(c)) for c in "ab")
+    more = mine.join(other, "shingle").where((F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & possible("a", "b"))
+    more, _ = save(more.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti"), "more")
+    roots = contract(links.union(alike(more)))
+    return printed.select("doc_id", "row", "key").join(roots, F.col("key") == roots["node"], "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = SHINGLE + 1) -> DataFrame:
     """Groups of ``docs`` (doc_id, text) that share ``similarity`` of their distinct ``width``-word shingles: doc_id, component_id.
 
-    SimHash fingerprints of the set of distinct words, ``prints`` of them by different hashes, propose pairs: those of any
-    print within ``bits``, found by the same trees. A shard passes on each fingerprint with its nearest and with the most
-    central ones near it, so proposals grow with the documents and not with the square of a group. Each proposed pair of
-    different texts is then compared exactly, shingle by shingle, and what holds is linked. Texts of the same folded
-    words are one. ``component_id`` is the smallest doc_id that links reach (null if all are null). Null, empty and blank
-    texts are each other's copies; an empty table gives no rows; further columns are ignored.
+    Pairs are proposed by an exact prefix filter: with all shingles in one order, those that a sample finds common last,
+    two sets of that resemblance share one of the first ``1 - similarity`` of their shingles. A pair is left out only where
+    verified links join it already, or where sizes or places rule it out; all others are compared exactly, shingle by
+    shingle. Texts of the same set of shingles are one. Words fold A-Z; words and shingles are 64-bit hashes.
+    ``component_id`` is the smallest doc_id that links reach (null if all are null). Null, empty and blank texts are each
+    other's copies; an empty table gives no rows; further columns are ignored.
     """
-    ship(docs.sparkSession)
-    names = [f"f{i}" for i in range(prints)]
-    docs = own(docs, "doc_id", "text")
-    printed, _ = save(docs.mapInArrow(lambda b: _word_prints(b, prints), "doc_id long, key long, " + ", ".join(f"{n} long" for n in names)), "prints")
-    nodes, _ = save(printed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.min(n).alias(n) for n in names]), "texts")
-    total = nodes.count()
-    drawn = F.pmod(F.xxhash64("f0"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, total)))
-    sample = np.unique(np.array([r["f0"] for r in nodes.select("f0").where(drawn).collect()], np.int64).view(np.uint64))
-    sample = np.random.default_rng(0).permutation(sample)
-    forest = blocks_of(bits, blocks)
-    shards = max(1, min(SAMPLE // SAMPLE_A_SHARD, -(-total // SHARD_ROWS)))
-    trees = [build(sample, shards, measures, iter(range(1 << 30))) for measures in forest]
-    each = nodes.select("key", F.posexplode(F.array(*names)).alias("print", "fp"))
-    lowest = each.groupBy("print", "fp").agg(F.min("key").alias("low"))
-    lowest, _ = save(lowest, "lowest")
-    routed = lowest.select("print", "fp").mapInArrow(lambda b: _route_prints(b, trees), "print int, tree int, leaf int, fp long, home boolean")
-    near = routed.groupBy("print", "tree", "leaf").applyInPandas(lambda g: _search_prints(g, forest, bits), "print int, a long, b long").distinct()
-    by = lambda c, out: lowest.select("print", F.col("fp").alias(c), F.col("low").alias(out))
-    near = near.join(by("a", "x"), ["print", "a"]).join(by("b", "y"), ["print", "b"]).select("x", "y")
-    same = each.join(lowest, ["print", "fp"]).select(F.col("key").alias("x"), F.col("low").alias("y")).where("x <> y")
-    pairs, _ = save(near.union(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct().join(nodes.select("key", "doc_id"), "key").select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi").select("text")
-    sets, _ = save(texts.mapInArrow(lambda b: _shingles(b, width), "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
-    of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
-    common = F.size(F.array_intersect("sx", "sy"))
-    alike = pairs.join(of("x"), "x").join(of("y"), "y").where(common >= similarity * (F.size("sx") + F.size("sy") - common))
-    roots = contract(alike.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    rooted = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    rooted = near_roots(own(docs, "doc_id", "text").withColumn("row", F.lit(0).cast("long")), similarity, width)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    groups = rooted.select("key", "root").join(least, "root").select("key", "component_id")
-    return printed.select("doc_id", "key").join(groups, "key").select("doc_id", "component_id")
+    return rooted.join(least, "root").select("doc_id", "component_id")

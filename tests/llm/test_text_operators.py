@@ -247,6 +247,51 @@ def test_near_copies_match_brute_force(spark):
     assert simhash.near_copies(documents(spark, [])).count() == 0
 
 
+def assert_grouped_as_plain(spark, texts):
+    """near_copies of texts numbered from 0 against all pairs; returns how many pairs hold."""
+    sets = [plain_set(t) for t in texts]
+    low, pairs = list(range(len(texts))), 0
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                low[max(a, b)], pairs = min(a, b), pairs + 1
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    return pairs
+
+
+def plain_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for k in rng.choice(len(words), n, replace=False):
+        words[k] = f"n{int(rng.integers(0, 10**9))}"
+    return words
+
+
+def test_near_copies_in_a_crowd_from_one_template(spark):
+    rng = np.random.default_rng(21)
+    base, fields = [f"w{int(k)}" for k in rng.integers(0, 9000, 400)], np.arange(8, 400, 16)[:24]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for k in fields:
+            words[k] = f"v{int(rng.integers(0, 10**6))}"
+        texts += [" ".join(words), " ".join(changed(rng, words, 8))]
+    assert assert_grouped_as_plain(spark, texts) > 250
+
+
 # ---------------------------------------------------------------- sketches and shards
 
 
