@@ -292,6 +292,20 @@ def test_near_copies_in_a_crowd_from_one_template(spark):
     assert assert_grouped_as_plain(spark, texts) > 250
 
 
+def test_near_copies_that_share_a_small_vocabulary(spark):
+    rng = np.random.default_rng(22)
+    texts = []
+    for words in (60, 60, 60, 400):
+        for _ in range(30):
+            some = rng.permutation(np.arange(60)) if words == 60 else rng.integers(0, 40, words)
+            line = [f"w{int(k)}" for k in some]
+            swapped = list(line)
+            for k in (range(20, 20 + words // 60) if words == 60 else rng.choice(words - 1, 6, replace=False)):
+                swapped[k], swapped[k + 1] = swapped[k + 1], swapped[k]
+            texts += [" ".join(line), " ".join(swapped)]
+    assert assert_grouped_as_plain(spark, texts) > 100
+
+
 # ---------------------------------------------------------------- sketches and shards
 
 
