@@ -306,6 +306,19 @@ def test_near_copies_that_share_a_small_vocabulary(spark):
     assert assert_grouped_as_plain(spark, texts) > 100
 
 
+@pytest.mark.parametrize("kind", ["truncated", "appended", "tail replaced"])
+def test_near_copies_changed_in_one_block(spark, kind):
+    rng = np.random.default_rng(23)
+    texts = []
+    for _ in range(120):
+        line = [f"w{int(k)}" for k in rng.integers(0, 20_000, int(rng.integers(80, 300)))]
+        more = [f"m{int(k)}" for k in rng.integers(0, 20_000, len(line))]
+        n = int(len(line) * rng.uniform(0.05, 0.2) / (2 if kind == "tail replaced" else 1))
+        copy = {"truncated": line[:-n], "appended": line + more[:n], "tail replaced": line[:-n] + more[:n]}[kind]
+        texts += [" ".join(line), " ".join(copy)]
+    assert assert_grouped_as_plain(spark, texts) > 80
+
+
 # ---------------------------------------------------------------- sketches and shards
 
 
