@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm.common import keep_rows, save
+from kymora.llm.common import save
 from kymora.llm.packing import pack
 from kymora.llm.quality import with_quality
 from kymora.llm.queries import vocabulary
-from kymora.llm.simhash import near_copies
+from kymora.llm.simhash import near_roots
 from kymora.llm.toxicity import with_toxicity
 from kymora.session import table
 
@@ -36,9 +36,13 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by four fifths of their five-word shingles, the one with the smallest doc_id."""
-    groups = near_copies(docs, similarity=0.8, width=5)
-    return keep_rows(docs, groups, F.col("doc_id") == F.col("component_id"))
+    """One row of each group of documents linked by four fifths of their five-word shingles: that of the smallest doc_id, nulls last."""
+    # Rows go by a hash of all they hold, so of equal rows one stays; maps can't be hashed.
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    rooted = near_roots(docs.select("doc_id", "text", row.alias("row")), similarity=0.8, width=5)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.row").alias("__row"))
+    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

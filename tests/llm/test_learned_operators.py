@@ -116,3 +116,15 @@ def test_pipeline_is_its_stages(spark):
     bad = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic = 1 or quality = 0").collect()}
     clean = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic = 0 and quality = 1").collect()}
     assert len(ids & bad) <= 0.5 * len(bad) and clean
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(4)
+    text = [" ".join(f"w{int(k)}" for k in rng.integers(0, 5000, 60)) for _ in range(7)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[1].upper()), (3, text[2]), (3, text[2]), (9, text[2] + " more")]
+    rows += [(4, text[3]), (4, text[4]), (5, text[4]), (None, text[5]), (6, text[5]), (7, text[6]), (None, None), (None, "")]
+    got = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), SMALL)
+    kept = Counter((r["doc_id"], (r["text"] or "").lower()) for r in got.collect())
+    assert got.columns == docs(spark, []).columns
+    assert kept == Counter([(None, text[0]), (None, text[1]), (3, text[2]), (4, text[3]), (4, text[4]), (6, text[5]), (7, text[6]), (None, "")])
+    assert corpus_pipeline.drop_near_copies(spark, docs(spark, []), SMALL).count() == 0
