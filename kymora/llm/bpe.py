@@ -2,14 +2,14 @@
 
 The symbols of many words lie in one flat array. Each round looks up the pairs that are new by binary search over the
 sorted pair keys, finds each word's lowest rank, and joins all its pairs of that rank, left to right; words without a
-known pair leave. A distinct word is merged once per worker.
+known pair leave. A distinct word is merged once per worker. Texts that are not plain Latin are normalised and parted
+into words by the library's own rules; the merges are numpy's for all.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 from kymora.llm.common import chunks, own, ship
 from kymora.llm.units import CACHE_WORDS, END, PIECES, SAFE, STATED, Index, Ragged, byte_letters
 
-#: White space by Unicode's property.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -100,11 +98,12 @@ class BPE:
         patterns = [p.get("pattern", {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         if model.get("type") != "BPE" or model.get("end_of_word_suffix") != END or steps != ["NFC", "Replace", "Lowercase"] or odd or STATED not in patterns:
             raise ValueError("not a byte-level BPE vocabulary with word ends")
-        import regex
+        from tokenizers import Tokenizer
 
+        # Which code points are letters, and their lower case, differs between versions of Unicode: only the library's own counts.
+        library = Tokenizer.from_str(raw)
+        self.normal, self.pre, self.bytes = library.normalizer, library.pre_tokenizer, byte_letters()
         self.merger = Merger(model)
-        self.split = regex.compile(STATED.replace("\\s", SPACE)).findall
-        self.spaces = re.compile(f"[{SPACE}]+")
         self.added = {t["content"]: t["id"] for t in rules.get("added_tokens") or []}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         tokens = {i: t for t, i in (model["vocab"] | self.added).items()}
@@ -123,9 +122,8 @@ class BPE:
             if part in self.added:
                 out.append((self.added[part],))
             elif part:
-                plain = self.spaces.sub(" ", unicodedata.normalize("NFC", part))
-                # Letter by letter: a final sigma is a sigma like others.
-                out += self.split("".join(c.lower() for c in plain))
+                pieces = self.pre.pre_tokenize_str(self.normal.normalize_str(part))
+                out += [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in pieces]
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

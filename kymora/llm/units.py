@@ -1,8 +1,8 @@
 """Whole-text token ids, just as the tokenizers library gives them, at several times its speed.
 
-Both encoders hand every text that is not plain Latin to the library itself. For the others, whose character classes,
-white space and lower case no library disputes, the work is shared out: word-end BPE looks up each distinct word, and
-byte-level BPE runs in tiktoken on the same vocabulary (checked when it is loaded).
+Both encoders hand every text that is not plain Latin to the library itself. The others, whose character classes, white
+space and lower case no library disputes, are cut into the pieces that the vocabulary's pattern states; a piece's ids
+don't hang on its neighbours, so the library encodes each distinct piece once and texts are looked up.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The word pattern that word-end vocabularies state, with its classes spelled out for plain Latin.
 STATED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^ \t\n\r{LETTERS}{NUMBERS}]+")
-#: The pattern of byte-level BPE.
-BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern of byte-level BPE, spelled out likewise.
+BYTE_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^ \t\n\r{LETTERS}{NUMBERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 END = "</w>"
 #: Words kept by a worker before its cache starts anew; bounds its memory.
 CACHE_WORDS = 250_000
@@ -108,42 +108,35 @@ class Library:
         return np.concatenate(parts), sizes
 
 
-class WordEncoder(Library):
-    """Word-end BPE: white space and case fold away, so a text's ids are those of its words, each looked up by itself."""
+class PieceEncoder(Library):
+    """Looks up the ids of a text's pieces, which the library gives once for each distinct piece."""
 
     def __init__(self, raw: str, rules: dict):
         super().__init__(raw)
         self.added = [t["content"] for t in rules.get("added_tokens") or []]
-        self.ends = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
-        self.ends[[i for w, i in rules["model"]["vocab"].items() if w.endswith(END)]] = True
         self.index, self.known = Index(), Ragged()
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Numbers of all texts' words in ``index``, words in each text, and the texts that are the library's."""
-        words: list[str] = []
+    def cut(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces."""
+        return Library.encode(self, pieces)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.index) > CACHE_WORDS:
+            self.index, self.known = Index(), Ragged()
+        pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         whole: list[int] = []
         for i, t in enumerate(texts):
             if not SAFE.fullmatch(t) or ("<|" in t and any(a in t for a in self.added)):
                 whole.append(i)
             else:
-                got = PIECES.findall(t.lower())
+                got = self.cut(t)
                 counts[i] = len(got)
-                words += got
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), counts, whole
-
-    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words: a few hundred at a time as one text, cut again after each id that ends a word."""
-        flat, _ = Library.encode(self, [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)])
-        last = np.flatnonzero(self.ends[flat])
-        if len(last) != len(words):
-            return Library.encode(self, words)
-        return flat, np.diff(last, prepend=-1)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
-            self.index, self.known = Index(), Ragged()
-        rows, counts, whole = self.pieces(texts)
+                pieces += got
+        rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if self.index.new:
             self.known.extend(*self.learn(self.index.new))
             self.index.new.clear()
@@ -153,22 +146,31 @@ class WordEncoder(Library):
         return self.mixed(texts, whole, flat, ends[last] - ends[last - counts])
 
 
-class ByteEncoder(Library):
-    """Byte-level BPE by tiktoken, whose merge order, the ids of the joined pieces, is the vocabulary file's own."""
+class WordEncoder(PieceEncoder):
+    """Word-end BPE: white space and case fold away, so the pieces are lower-case words."""
 
-    def __init__(self, raw: str, rules: dict, ranks: dict[bytes, int]):
-        super().__init__(raw)
-        import tiktoken
+    def __init__(self, raw: str, rules: dict):
+        super().__init__(raw, rules)
+        self.ends = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for w, i in rules["model"]["vocab"].items() if w.endswith(END)]] = True
 
-        self.added = [t["content"] for t in rules.get("added_tokens") or []]
-        self.fast = tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def cut(self, text: str) -> list[str]:
+        return PIECES.findall(text.lower())
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if not SAFE.fullmatch(t) or ("<|" in t and any(a in t for a in self.added))]
-        skip = set(whole)
-        ids = [np.empty(0, np.uint32) if i in skip else np.array(self.fast(t), np.uint32) for i, t in enumerate(texts)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return self.mixed(texts, whole, np.concatenate([*ids, np.empty(0, np.uint32)]), sizes)
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A few hundred at a time as one text, cut again after each id that ends a word."""
+        flat, _ = Library.encode(self, [" ".join(pieces[i : i + 256]) for i in range(0, len(pieces), 256)])
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(pieces):
+            return Library.encode(self, pieces)
+        return flat, np.diff(last, prepend=-1)
+
+
+class ByteEncoder(PieceEncoder):
+    """Byte-level BPE: a piece is a word with the blank before it, a run of digits or marks, or white space."""
+
+    def cut(self, text: str) -> list[str]:
+        return BYTE_PIECES.findall(text)
 
 
 def _kind(raw: str) -> Library:
@@ -176,11 +178,7 @@ def _kind(raw: str) -> Library:
     model, pre, normal = rules.get("model") or {}, rules.get("pre_tokenizer") or {}, rules.get("normalizer") or {}
     plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
     if plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not normal and not model.get("end_of_word_suffix"):
-        letters, vocab = byte_letters(), model["vocab"]
-        special = {t["content"] for t in rules.get("added_tokens") or []}
-        joins = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        if joins == sorted(joins):
-            return ByteEncoder(raw, rules, {bytes(letters[c] for c in w): i for w, i in vocab.items() if w not in special})
+        return ByteEncoder(raw, rules)
     steps = [n.get("type") for n in normal.get("normalizers", [])]
     if plain and model.get("end_of_word_suffix") == END and steps == ["NFC", "Replace", "Lowercase"] and STATED in json.dumps(pre).replace("\\\\", "\\"):
         return WordEncoder(raw, rules)

@@ -49,6 +49,27 @@ def test_encoders_equal_the_library(tokens, name):
         assert ids.tolist() == tokens[name].encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoders_equal_the_library_on_every_code_point(tokens):
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f"a{c}b {c} x{c}1 Q{c}" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    for name, t in tokens.items():
+        want = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        for codec in (encoder(vocabulary(name)), *([bpe(vocabulary(name))] if name.startswith("word") else [])):
+            flat, sizes = codec.encode(texts)
+            for text, ids, expected in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), want, strict=True):
+                assert ids.tolist() == expected, text[:20]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_equal_the_library_on_white_space_and_marks(tokens, name):
+    rng = np.random.default_rng(3)
+    some = list(" \t\n\r'") * 3 + list("aZé1²½.,-_<|>'st")
+    texts = ["".join(rng.choice(some, rng.integers(1, 40))) for _ in range(3000)]
+    flat, sizes = encoder(vocabulary(name)).encode(texts)
+    for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        assert ids.tolist() == tokens[name].encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_bpe_round_trip(spark, tokens):
     t = tokens["word_bpe_49k.json"]
     got = bpe_round_trip(documents(spark), vocabulary("word_bpe_49k.json")).collect()
