@@ -182,8 +182,9 @@ def _round_trip(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[
 def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and decodes the ids again: doc_id, ids, decoded.
 
-    Null and empty texts have no ids and decode to the empty text. Added tokens within a text are single ids. Null ids
-    and repeated rows are documents like others; an empty table gives no rows; further columns are ignored.
+    Null and empty texts have no ids and decode to the empty text; long ones are encoded whole. Added tokens within a text
+    are single ids. Null ids and repeated rows are documents like others; an empty table gives no rows; further columns
+    are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     return own(docs, "doc_id", "text").mapInArrow(lambda b: _round_trip(b, vocabulary), "doc_id long, ids array<int>, decoded string")

@@ -13,8 +13,9 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -35,12 +36,14 @@ def ascii_lower(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every machine sees; a local one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which every machine sees; a local one only where none is set and all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="kymora-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -90,9 +93,30 @@ def ship(spark: SparkSession) -> None:
 # ---------------------------------------------------------------- columns
 
 
+def place(columns: list[str], name: str) -> int:
+    """Place of a column: of the first by that very name, or else of the only one that differs in case alone."""
+    if name in columns:
+        return columns.index(name)
+    found = [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found) or 'no'} columns are called {name}")
+    return found[0]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """Columns named c0, c1, ... by place: no name clashes with another, whatever its case, or with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; further columns, whatever they are called, can't clash with the operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return by_place(df).select(*[F.col(f"c{place(df.columns, n)}").alias(n) for n in names])
+
+
+def beside(docs: DataFrame, run, *fields: StructField) -> DataFrame:
+    """``docs`` with columns by place, and ``fields`` that ``run(batches, place of the text)`` adds to the batches."""
+    at, plain = place(docs.columns, "text"), by_place(docs)
+    return plain.mapInArrow(lambda batches: run(batches, at), StructType([*plain.schema.fields, *fields]))
 
 
 def fold_of(column: str, modulus: int):
@@ -107,17 +131,27 @@ def offsets(counts: DataFrame, group: list[str], order: str, n: str, out: str) -
 
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ascending cut points of a bigint column, from a mergeable quantile sketch."""
+    """At most ``parts - 1`` ascending cut points of a bigint column (null: the least), from a mergeable quantile sketch.
+
+    A value that holds many of the rows is as many cuts.
+    """
     parts = min(parts, MAX_PARTS)
     if parts <= 1:
         return []
     at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(column, at, max(10_000, 4 * parts)).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    got = df.agg(F.percentile_approx(_ranked(column), at, max(10_000, 4 * parts)).alias("q")).first()["q"]
+    return sorted(got or [])
+
 
+def _ranked(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(-(1 << 63)))
 
-def range_bucket(column: str, bounds: list[int]):
-    """Index of the range that holds the value (nulls: 0), by a binary search written as one SQL fold."""
+
+def range_bucket(column: str, bounds: list[int], salt: Column) -> Column:
+    """Index of the range that holds the value, by binary searches written as SQL folds.
+
+    Rows of a value that is several cuts are spread over its ranges by ``salt``, from 0 to below 1; ranges stay ascending.
+    """
     if not bounds:
         return F.lit(0)
     steps, step = [], 1 << (len(bounds).bit_length() - 1)
@@ -125,19 +159,27 @@ def range_bucket(column: str, bounds: list[int]):
         steps.append(step)
         step >>= 1
     cuts = F.transform(F.split(F.lit(",".join(map(str, bounds))), ","), lambda x: x.cast("bigint"))
-    take = lambda at, s: F.when((at + s <= len(bounds)) & (F.get(cuts, at + s - 1) <= F.col(column)), at + s).otherwise(at)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), take)
+
+    def passed(under):
+        take = lambda at, s: F.when((at + s <= len(bounds)) & under(F.get(cuts, at + s - 1)), at + s).otherwise(at)
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), take)
+
+    high = passed(lambda cut: cut <= _ranked(column))
+    if len(set(bounds)) == len(bounds):
+        return high
+    low = passed(lambda cut: cut < _ranked(column))
+    return F.when(high - low > 1, low + 1 + F.floor(salt * (high - low)).cast("int")).otherwise(high)
 
 
 # ---------------------------------------------------------------- Arrow
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``limit`` characters of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(text))
+        col = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(sizes):
@@ -148,15 +190,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         yield batch.slice(start)
 
 
-def keep_rows(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
-    """Rows of ``docs`` whose doc_id ``scored`` keeps, in the columns of ``docs``; a null id is an id like others.
-
-    Only ids are joined back, so the texts are moved once at most.
-    """
-    ids = scored.where(keep).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """Labelled training documents (doc_id, text, y), about ``most[c]`` of class ``c`` at most, and all training rows of each class.
 
@@ -166,8 +199,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most:
     texts the smallest.
     """
     spark = docs.sparkSession
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    labels = own(labels, "doc_id", label).withColumnRenamed(label, "y")
+    known = labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
+    known = known.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     rows = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     want = [(F.col("y") == c) & (share < most[c] / n) for c, n in rows.items() if c in most]

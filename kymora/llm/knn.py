@@ -35,19 +35,28 @@ def valid(vector: Column) -> Column:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of one cell each: ids and components as bytes."""
+    """Blocks of one cell each: ids and components as bytes. Rows go by id and vector, so those that share an id are spread."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
         lists = batch.column(1)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8")
         starts = np.cumsum(sizes) - sizes
-        at = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % cells
+        print_ = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        if len(flat):
+            # Sums of the components' bits, each by its place, wrap; equal vectors give equal sums.
+            nth = (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.uint64)
+            print_ += np.add.reduceat((flat + 0.0).view(np.uint64) * (2 * nth + np.uint64(0xBF58476D1CE4E5B9)), starts) * np.uint64(0x94D049BB133111EB)
+        at = (print_ >> np.uint64(33)).astype(np.int64) % cells
         rows = []
         for dims in np.unique(sizes):
             for cell in np.unique(at[sizes == dims]):
                 chosen = np.flatnonzero((sizes == dims) & (at == cell))
-                rows.append((int(cell), len(chosen), int(dims), ids[chosen].tobytes(), flat[starts[chosen, None] + np.arange(dims)].tobytes()))
+                vectors = flat[starts[chosen, None] + np.arange(dims)]
+                # A row that repeats another of the batch, id and all, adds nothing.
+                _, first = np.unique(np.hstack([ids[chosen, None].view("<f8"), vectors]).view(f"V{8 * (dims + 1)}").ravel(), return_index=True)
+                first.sort()
+                rows.append((int(cell), len(first), int(dims), ids[chosen[first]].tobytes(), vectors[first].tobytes()))
         if rows:
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cell", "size", "dims", "ids", "vectors"])
@@ -167,15 +176,14 @@ def _merge(group: pd.DataFrame, k: int) -> pd.DataFrame:
 def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product for every row that ``is_query`` marks: query_id, rank, vec_id, score.
 
-    All rows but the query's own are candidates. Rows with a null id, and vectors that are null, empty, zero or hold a
+    ``is_query`` says it of the id and the vector by their names. All rows but the query's own are candidates. Rows with a null id, and vectors that are null, empty, zero or hold a
     null or non-finite component, take no part; vectors meet only those of as many components. Rows that share an id
     count as one with several vectors: the best product counts. Ties go to the smaller id. Fewer than ``k`` candidates
-    are all returned; an empty table, or one without queries, gives no rows; further columns are ignored.
+    are all returned; an empty table, or one without queries, gives no rows; further columns are ignored, whatever their names.
     """
     spark = rows.sparkSession
     ship(spark)
-    clean = rows.withColumn("__query", F.coalesce(is_query, F.lit(False)))
-    clean = own(clean, id_column, vector_column, "__query").toDF("id", "vector", "query").where(F.col("id").isNotNull() & valid(F.col("vector")))
+    clean = own(rows, id_column, vector_column).select(id_column, vector_column, F.coalesce(is_query, F.lit(False)).alias("__query")).toDF("id", "vector", "query").where(F.col("id").isNotNull() & valid(F.col("vector")))
     n, n_queries = clean.agg(F.count("*"), F.count_if("query")).first()
     spread = int(spark.sparkContext.defaultParallelism)
     r = max(1, -(-n_queries // CELL_QUERIES))

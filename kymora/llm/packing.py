@@ -94,8 +94,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Each token of each
     document, its end id included, lies in exactly one piece; pieces of a sequence lie at gapless offsets from 0.
-    Null or empty texts are the end id alone. Null ids and repeated rows are documents like others. An empty table
-    gives no rows; further columns are ignored. Padding is at most ``max_waste`` of each full bin, and the sequences
+    Null or empty texts are the end id alone; long ones are cut over as many sequences as they fill. Null ids and repeated
+    rows are documents like others. An empty table gives no rows; further columns are ignored, whatever their names. Padding is at most ``max_waste`` of each full bin, and the sequences
     of the left pieces number less than the lengths.
     """
     spark = docs.sparkSession

@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from kymora.llm.common import chunks, fold_of, labelled_sample, own, ship
+from kymora.llm.common import beside, chunks, fold_of, labelled_sample, own, ship
 
 #: Bound of the labelled sample that the model learns from.
 MOST = {0: 8_192, 1: 16_384}
@@ -175,31 +175,34 @@ def train(docs: DataFrame, labels: DataFrame, is_training, most: dict[int, int]
     return Additive(x[order], y[order], (stands / stands.mean())[order])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """The batches with __score after their own columns."""
+def _score(batches: Iterator[pa.RecordBatch], at: int, model) -> Iterator[pa.RecordBatch]:
+    """The batches with score after their own columns."""
     model = model.value
-    for batch in chunks(batches):
-        texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "").to_pylist()
+    for batch in chunks(batches, at):
+        texts = pc.fill_null(batch.column(at), "").to_pylist()
         scores = np.full(len(texts), model) if isinstance(model, float) else model.score(np.array([features(t) for t in texts]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "__score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, is_training=None) -> DataFrame:
-    """``docs`` with __score: one pass over the rows, no join, whatever further columns they have."""
+    """All columns of ``docs`` by place (c0, c1, ...) and score: one pass over the rows, no join.
+
+    Odd rows and labels are as ``quality_scores`` says; columns may have any names, ``doc_id`` and ``text`` among them.
+    """
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, fold_of("doc_id", 3) != 1 if is_training is None else is_training))
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    return docs.mapInArrow(lambda b: _score(b, model), schema)
+    return beside(docs, lambda batches, at: _score(batches, at, model), StructField("score", DoubleType()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, is_training=None) -> DataFrame:
     """Scores every text of ``docs`` (doc_id, text): doc_id, score, predicted.
 
     Learns from ``labels`` (doc_id, quality) where ``is_training`` holds; by default ids whose crc32 modulo 3 is not 1.
-    Null texts are empty texts, whose features are zeros. With one class of labels only every text gets 0 or 1 as that
-    class says, and without labels 1. Null ids and repeated rows are scored like others; an empty table gives no rows;
-    further columns are ignored.
+    Null texts are empty texts, whose features are zeros; long ones are read whole; equal texts score alike. With one
+    class of labels only every text gets 0 or 1 as that class says, and without labels 1; of several labels of one id the
+    largest counts. Null ids and repeated rows are scored like others; an empty table gives no rows; further columns are
+    ignored, whatever their names.
     """
     scored = with_quality(own(docs, "doc_id", "text"), labels, is_training)
-    return scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(F.col("c0").cast("bigint").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -134,19 +134,20 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str, bu
     """Encodes ``docs`` (doc_id, text) in ascending doc_id order into record files in ``folder``.
 
     Returns the list of files (bucket, nth, path, records, tokens, bytes), saved once written: the only files that
-    count. Range buckets are cut by a quantile sketch of the ids, so no bucket grows with the table, and each is
-    sorted by itself. Null ids come first; equal ids are ordered by text. An empty table writes no file.
+    count. Range buckets are cut by a quantile sketch of the ids, so no bucket grows with the table, and each is one task
+    that sorts it by itself. Null ids come first; equal ids are ordered by text, but where one id holds several buckets
+    its rows are dealt to them at random. Long texts are whole records. An empty table writes no file.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = own(docs, "doc_id", "text")
+    docs = own(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     rows = docs.count()
     bounds = range_bounds(docs, "doc_id", max(1, -(-rows // bucket_rows)))
     files, root = store(folder)
     files.create_dir(root, recursive=True)
     listed = (
-        docs.withColumn("bucket", range_bucket("doc_id", bounds))
-        .repartition(len(bounds) + 1, "bucket")
+        docs.withColumn("bucket", range_bucket("doc_id", bounds, F.rand(29)))
+        .repartitionById(len(bounds) + 1, "bucket")
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(lambda b: _write(b, vocabulary, end_id, folder, file_bytes), FILES)
     )
@@ -177,14 +178,15 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 def read_records(listed: DataFrame, folder: str) -> DataFrame:
     """Reads listed files back, checking every frame: doc_id, start (ids before it in list order), n_tokens, ids_crc32.
 
-    The list may be any part of what was written, in any order; ``start`` counts the ids of the list as ordered.
+    The list may be any part of what was written, in any order; ``start`` counts the ids of the list as ordered. A null
+    id comes back null; equal ids and rows are records of their own; an empty list gives no rows; a damaged frame raises
+    BadRecord. Further columns of the list are ignored.
     """
     ship(listed.sparkSession)
     # One row per file: a running sum over the list of files, not over documents.
     w = Window.orderBy("bucket", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    spread = listed.withColumn("start", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    spread = own(listed, "bucket", "nth", "path", "tokens").withColumn("start", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
     n = max(1, listed.count())
-
     return spread.repartition(n, "path").mapInArrow(lambda b: _read(b, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -203,8 +205,8 @@ def read_shuffled(path: str, order: np.ndarray | None = None) -> Iterator[tuple[
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Writes ``docs`` as record files and reads them back: doc_id, start, n_tokens, ids_crc32 per document.
 
-    Null or empty texts are the end id alone; null ids come first; repeated rows are records of their own; an empty
-    table gives no rows; further columns are ignored.
+    Null or empty texts are the end id alone; long ones are encoded whole; null ids come first; repeated rows are records
+    of their own; an empty table gives no rows; further columns are ignored, whatever their names.
     """
     folder = folder or scratch_path(docs.sparkSession, "records")
     return read_records(write_records(docs, vocabulary, end_id, folder), folder)

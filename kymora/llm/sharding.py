@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymora.llm.common import offsets, range_bounds, range_bucket, save
+from kymora.llm.common import offsets, own, range_bounds, range_bucket, save
 
 #: Fixed value of the generator.
 MULTIPLIER = 2862933555777941757
@@ -52,8 +52,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_
     equal ids share a shard, whatever their texts, and a null id counts as 0. Slots are gapless from 0 within a shard, in
     ascending order of doc_id (nulls first), checksum and size; of rows alike in all three the order is any. Rows are
     numbered within range buckets of the ids, and one row per bucket and shard gives the rows before, so no task holds a
-    shard. An empty table gives no rows; further columns are ignored.
+    shard; an id of very many rows is several buckets, by checksum. Long texts count whole. An empty table gives no rows;
+    further columns are ignored, whatever their names.
     """
+    docs = own(docs, "doc_id", "text")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -65,7 +67,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_
     # The texts are read once; what follows works on a few numbers per row.
     keyed, _ = save(keyed, "keyed")
     bounds = range_bounds(keyed, "doc_id", max(1, -(-keyed.count() // bucket_rows)))
-    keyed = keyed.withColumn("bucket", range_bucket("doc_id", bounds))
+    keyed = keyed.withColumn("bucket", range_bucket("doc_id", bounds, F.col("text_crc32") / float(1 << 32)))
     counts = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = offsets(counts, ["shard"], "bucket", "n", "before").select("shard", "bucket", "before")
     order = Window.partitionBy("bucket", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")

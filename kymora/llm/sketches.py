@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymora.llm.common import range_bounds, range_bucket
+from kymora.llm.common import own, range_bounds, range_bucket
 
 WIDTH = 5
 K = 128
@@ -59,7 +59,7 @@ def distinct(a: Column, k: int = K) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` holds; 1 for an empty ``a``."""
+    """Estimated share of ``a``'s shingles that ``b`` holds; 1 for an empty ``a``, 0 for an empty ``b`` and another ``a``."""
     common = resemblance(a, b, k) * distinct(merge(a, b, k), k)
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), common / F.greatest(distinct(a, k), F.lit(1.0))))
 
@@ -72,33 +72,39 @@ def as_text(a: Column) -> Column:
 def merged_sketches(parts: DataFrame, key: str, column: str = "sketch", k: int = K) -> DataFrame:
     """One sketch per key from the sketches of its parts: (key, sketch).
 
-    Values are made distinct and counted out per key by rank within the key; each part brings at most ``k`` values.
+    Values are made distinct and counted out per key by rank within the key; each part brings at most ``k`` values. Null
+    keys are a key like others; a key with null and empty sketches only gets an empty one; repeated parts change nothing;
+    an empty table gives no rows; further columns are ignored.
     """
-    values = parts.select(key, F.explode(column).alias("h")).distinct()
-    w = Window.partitionBy(key).orderBy("h")
-    low = values.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return low.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(column))
+    values = own(parts, key, column).toDF("k", "s").select("k", F.explode_outer("s").alias("h")).distinct()
+    low = values.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.col("h").asc_nulls_last())))
+    low = low.where(F.col("rank") <= k).groupBy("k").agg(F.sort_array(F.collect_list("h")).alias("s"))
+    return low.toDF(key, column)
 
 
 def with_next(docs: DataFrame, make: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` (doc_id, text) with ``make`` as sketch, and next_text and next_sketch of the next row by (doc_id, text), the last's being the first.
+    """``docs`` (doc_id, text) with ``make`` as sketch, and next_text and next_sketch of the next row, the last's being the first.
 
-    Rows are dealt by range buckets cut from a quantile sketch of the ids; each bucket also gets the first row of the
-    next bucket that has any, so that no window spans the table and the texts move once.
+    Rows are ordered by id, then by a hash of their texts, and dealt by range buckets cut from a quantile sketch of the
+    ids, an id of very many rows to several; each bucket is one task and also gets the first row of the next bucket that
+    has any, so that no window spans the table and the texts move once.
     """
-    ids = docs.select("doc_id")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ids = docs.select("doc_id", "h")
     bounds = range_bounds(ids, "doc_id", max(1, -(-ids.count() // bucket_rows)))
-    bucket = range_bucket("doc_id", bounds)
-    # One row per bucket (MAX_PARTS at most): its first id, and the bucket before, in a ring.
-    firsts = ids.groupBy(bucket.alias("at")).agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("null"))
+    # The hash as a number from 0 to below 1, ascending as the hash does.
+    bucket = range_bucket("doc_id", bounds, (F.shiftright("h", 11) + (1 << 52)) / float(1 << 53))
+    # One row per bucket (MAX_PARTS at most): its first row's id and hash, and the bucket before, in a ring.
+    firsts = ids.groupBy(bucket.alias("at")).agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("low"))
     before = F.coalesce(F.lag("at").over(Window.orderBy("at")), F.max("at").over(Window.partitionBy()))
-    firsts = firsts.select(F.when(~F.col("null"), F.col("low")).alias("first"), before.alias("bucket"))
-    lead = docs.join(F.broadcast(firsts), docs["doc_id"].eqNullSafe(firsts["first"])).select("doc_id", "text", "bucket", F.lit(True).alias("guest"))
-    home = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(False).alias("guest"))
-    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    seen = home.union(lead).repartition(len(bounds) + 1, "bucket").withColumn("sketch", make)
+    firsts = firsts.select("at", F.col("low.doc_id").alias("first"), F.col("low.h").alias("low"), before.alias("bucket"))
+    same = docs["doc_id"].eqNullSafe(firsts["first"]) & (docs["h"] == firsts["low"]) & (bucket == firsts["at"])
+    lead = docs.join(F.broadcast(firsts), same).dropDuplicates(["at"]).select("doc_id", "text", "h", "bucket", F.lit(True).alias("guest"))
+    home = docs.select("doc_id", "text", "h", bucket.alias("bucket"), F.lit(False).alias("guest"))
+    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "h", "text")
+    seen = home.union(lead).repartitionById(len(bounds) + 1, "bucket").withColumn("sketch", make)
     seen = seen.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sketch", F.lead("sketch").over(w))
-    return seen.where(~F.col("guest")).drop("guest", "bucket")
+    return seen.where(~F.col("guest")).drop("guest", "bucket", "h")
 
 
 def fingerprint_documents(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
@@ -106,12 +112,12 @@ def fingerprint_documents(docs: DataFrame, width: int = WIDTH, k: int = K) -> Da
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The edited text
     has its last quarter of code points replaced by the first as many, or all, of the next document's. Null texts are
-    empty; empty sketches are each other's equal (1.0) and no other's (0.0). Null ids come first; equal ids are ordered
-    by text, and of rows alike in both the order is any. A lone row is its own next. An empty table gives no rows;
-    further columns are ignored.
+    empty; empty sketches are each other's equal (1.0) and no other's (0.0); long texts are read whole. Null ids come
+    first; equal ids are ordered by a hash of their texts, and of rows alike in both the order is any. A lone row is its
+    own next. An empty table gives no rows; further columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     paired = with_next(docs, sketch(F.col("text"), width, k)).withColumn("n_chars", F.char_length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from kymora.llm.common import chunks, fold_of, labelled_sample, own, ship
+from kymora.llm.common import beside, chunks, fold_of, labelled_sample, own, ship
 
 WORDS = re.compile(r"\w+")
 GRAM = 5
@@ -229,15 +229,15 @@ def train(docs: DataFrame, labels: DataFrame, is_training, most: dict[int, int]
     return Model(terms, [(r["doc_id"], r["y"], dict(zip(r["terms"], r["tf"]))) for r in got], {y: rows[y] for y in n})
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """The batches with __score and __evidence after their own columns."""
+def _score(batches: Iterator[pa.RecordBatch], at: int, model) -> Iterator[pa.RecordBatch]:
+    """The batches with score and evidence after their own columns."""
     model = model.value
     read = reader(model.terms)
     seen: dict[tuple, tuple[float, list[dict]]] = {}
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-    for batch in chunks(batches):
+    for batch in chunks(batches, at):
         got = []
-        for text in pc.fill_null(batch.column(batch.schema.get_field_index("text")), "").to_pylist():
+        for text in pc.fill_null(batch.column(at), "").to_pylist():
             counts = read.counts(text)
             key = tuple(sorted(counts.items()))
             if key not in seen:
@@ -247,17 +247,19 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             got.append(seen[key])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
-            names=[*batch.schema.names, "__score", "__evidence"],
+            names=[*batch.schema.names, "score", "evidence"],
         )
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, is_training=None) -> DataFrame:
-    """``docs`` with __score and __evidence: one pass over the rows, no join, whatever further columns they have."""
+    """All columns of ``docs`` by place (c0, c1, ...), score and evidence: one pass over the rows, no join.
+
+    Odd rows and labels are as ``toxicity_scores`` says; columns may have any names, ``doc_id`` and ``text`` among them.
+    """
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, fold_of("doc_id", 4) != 2 if is_training is None else is_training))
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType()), StructField("__evidence", EVIDENCE)])
-    return docs.mapInArrow(lambda b: _score(b, model), schema)
+    return beside(docs, lambda batches, at: _score(batches, at, model), StructField("score", DoubleType()), StructField("evidence", EVIDENCE))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, is_training=None, threshold: float = 0.3) -> DataFrame:
@@ -265,8 +267,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, is_training=None, thresh
 
     Learns from ``labels`` (doc_id, toxic) where ``is_training`` holds; by default ids whose crc32 modulo 4 is not 2.
     Null and empty texts, and texts without any term, get the rate of such texts among the labelled. Without labels, or
-    with one class only, every text gets the rate of the labels (0 without any). Null ids and repeated rows are scored
-    like others; an empty table gives no rows; further columns are ignored.
+    with one class only, every text gets the rate of the labels (0 without any); of several labels of one id the largest
+    counts. Long texts are read whole; of equally near examples the one of the smaller id in the index's order counts.
+    Null ids and repeated rows are scored like others; an empty table gives no rows; further columns are ignored,
+    whatever their names.
     """
     scored = with_toxicity(own(docs, "doc_id", "text"), labels, is_training)
-    return scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"), F.col("__evidence").alias("evidence"))
+    return scored.select(F.col("c0").cast("bigint").alias("doc_id"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

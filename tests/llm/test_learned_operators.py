@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kymora.llm import quality, toxicity
-from kymora.llm.common import keep_rows, labelled_sample
+from kymora.llm.common import labelled_sample
 from kymora.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -96,12 +96,6 @@ def test_additive_model_learns_an_interaction():
     assert np.mean((model.score(x) >= 0.5) == y) > 0.9
 
 
-def test_keep_rows_takes_null_ids(spark):
-    df = docs(spark, [(1, "a"), (None, "b"), (2, "c")])
-    kept = keep_rows(df, docs(spark, [(1, "a"), (None, "b"), (2, "c")]).withColumn("score", F.lit(1.0)), F.coalesce(F.col("doc_id"), F.lit(0)) != 2)
-    assert {r["text"] for r in kept.collect()} == {"a", "b"} and kept.columns == df.columns
-
-
 def test_pipeline_is_its_stages(spark):
     docs_in = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = docs_in
@@ -128,3 +122,40 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert got.columns == docs(spark, []).columns
     assert kept == Counter([(None, text[0]), (None, text[1]), (3, text[2]), (4, text[3]), (4, text[4]), (6, text[5]), (7, text[6]), (None, "")])
     assert corpus_pipeline.drop_near_copies(spark, docs(spark, []), SMALL).count() == 0
+
+
+ROWS = [(1, "plain words of a first text"), (2, "plain words of a second one"), (None, None), (3, ""), (3, ""), (4, "long " * 30_000)]
+
+
+def clashing(spark, rows, text="text", doc="doc_id"):
+    """Documents beside columns whose names clash with them, with each other, and with what operators call their own."""
+    names = ["TEXT", doc, "Doc_ID", text, "score", "__score", "row", "key", "bucket", "c0", "evidence", "train", "h", "fp"]
+    kind = ", ".join(f"x{i} {'long' if n == doc else 'string'}" for i, n in enumerate(names))
+    return spark.createDataFrame([["odd", i, "9", t, *["z"] * (len(names) - 4)] for i, t in rows], kind).toDF(*names)
+
+
+def test_stages_take_clashing_columns_and_odd_rows(spark):
+    df = clashing(spark, ROWS)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, SMALL)
+        assert name == "packing" or got.columns == df.columns
+        rows = got.collect()
+        assert rows or name == "quality classifier", name
+        assert stage(spark, df.where("false"), SMALL).count() == 0
+    assert len(corpus_pipeline.drop_near_copies(spark, df, SMALL).collect()) == 4
+
+
+def test_operators_take_clashing_columns(spark):
+    from kymora.llm import bpe, hmm, packing, records, sharding, simhash, sketches
+    from kymora.llm.queries import vocabulary
+
+    df, plain = clashing(spark, ROWS), docs(spark, ROWS)
+    known = labels(spark, [(1, 1, 0, "a"), (2, 0, 1, "b")]).toDF("DOC_ID", "QUALITY", "TOXIC", "y")
+    train = F.col("doc_id").isNotNull()
+    word, byte = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
+    for run in (
+        lambda d: packing.pack(d, byte), simhash.simhash_groups, simhash.near_copies, sketches.fingerprint_documents,
+        lambda d: quality.quality_scores(d, known, train), lambda d: hmm.language_scores(d, train), sharding.shard_documents,
+        lambda d: records.round_trip(d, word), lambda d: toxicity.toxicity_scores(d, known, train), lambda d: bpe.bpe_round_trip(d, word),
+    ):
+        assert Counter(map(str, run(df).collect())) == Counter(map(str, run(plain).collect()))

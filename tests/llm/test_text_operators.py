@@ -518,16 +518,34 @@ def test_hmm_likelihood_is_the_sum_over_all_paths():
         assert math.isclose(g, math.log10(a.sum()), rel_tol=1e-9)
 
 
-def test_baum_welch_counts_every_token():
+def plain_counts(classes, model):
+    """Expected starts, moves and emissions of one document, token by token in double precision."""
+    n = len(classes)
+    alpha, beta, scale = np.empty((n, hmm.STATES)), np.ones((n, hmm.STATES)), np.empty(n)
+    for t in range(n):
+        a = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[classes[t]]
+        scale[t] = a.sum()
+        alpha[t] = a / scale[t]
+    for t in range(n - 2, -1, -1):
+        beta[t] = model.move @ (model.emit[classes[t + 1]] * beta[t + 1]) / scale[t + 1]
+    move = sum((np.outer(alpha[t], model.emit[classes[t + 1]] * beta[t + 1] / scale[t + 1]) * model.move for t in range(n - 1)), np.zeros((hmm.STATES,) * 2))
+    emit = np.zeros((hmm.CLASSES, hmm.STATES))
+    np.add.at(emit, classes, alpha * beta)
+    return alpha[0] * beta[0], move, emit
+
+
+def test_baum_welch_counts_whole_documents():
     rng = np.random.default_rng(6)
     model = hmm.Model(np.ones(hmm.CLASSES, np.int64), np.ones(hmm.CLASSES, np.int64), 5)
-    sizes = np.array([3, 70, 200, 1])
+    model.fit(rng.random(hmm.STATES), rng.random((hmm.STATES, hmm.STATES)) + 30 * np.eye(hmm.STATES), rng.random((hmm.CLASSES, hmm.STATES)) ** 8 * 500)
+    sizes = np.array([3, 70, 200, 1, 64, 128, 65, 1500, 129])
     classes = rng.integers(0, 50, sizes.sum()).astype(np.uint16)
+    want = [sum(x) for x in zip(*(plain_counts(d, model) for d in np.split(classes, np.cumsum(sizes)[:-1])), strict=True)]
+    for got, expected in zip(hmm.expect(classes, sizes, model), want, strict=True):
+        assert np.allclose(got, expected, rtol=2e-3, atol=2e-3)
     start, move, emit = hmm.expect(classes, sizes, model)
-    assert math.isclose(start.sum(), 4, rel_tol=1e-4) and math.isclose(emit.sum(), sizes.sum(), rel_tol=1e-4)
-    pieces = sum(-(-n // hmm.SEGMENT) for n in sizes)
-    assert math.isclose(move.sum(), sizes.sum() - pieces, rel_tol=1e-4)
-    assert np.allclose(emit.sum(axis=1), np.bincount(classes, minlength=hmm.CLASSES), atol=1e-3)
+    assert math.isclose(start.sum(), len(sizes), rel_tol=1e-4) and math.isclose(emit.sum(), sizes.sum(), rel_tol=1e-4)
+    assert math.isclose(move.sum(), sizes.sum() - len(sizes), rel_tol=1e-4)
 
 
 def test_language_scores(spark):
