@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm.common import save
+from kymora.llm.common import by_place, place, save
 from kymora.llm.packing import pack
 from kymora.llm.quality import with_quality
 from kymora.llm.queries import vocabulary
@@ -24,29 +24,44 @@ QUALITY_FROM = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity is under TOXIC_AT."""
+    """Documents whose calibrated toxicity is under TOXIC_AT.
+
+    Null and empty texts get the rate of texts without any term among the labelled, long ones are read whole, equal rows
+    fare alike, and null ids are scored like others. An empty table gives no rows; columns may have any names.
+    """
     scored = with_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("__score") < TOXIC_AT).drop("__score", "__evidence")
+    return scored.where(F.col("score") < TOXIC_AT).drop("score", "evidence").toDF(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least QUALITY_FROM."""
+    """Documents whose quality score is at least QUALITY_FROM.
+
+    Null texts are scored as empty ones, long ones are read whole, equal rows fare alike, and null ids are scored like
+    others. An empty table gives no rows; columns may have any names.
+    """
     scored = with_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("__score") >= QUALITY_FROM).drop("__score")
+    return scored.where(F.col("score") >= QUALITY_FROM).drop("score").toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of documents linked by four fifths of their five-word shingles: that of the smallest doc_id, nulls last."""
+    """One row of each group of documents linked by four fifths of their five-word shingles: that of the smallest doc_id, nulls last.
+
+    Of rows of one id the one of the smallest hash stays, and one of equal rows. Null, empty and blank texts are each
+    other's copies; long texts are compared whole; null ids are grouped like others. An empty table gives no rows;
+    columns may have any names.
+    """
+    plain = by_place(docs)
     # Rows go by a hash of all they hold, so of equal rows one stays; maps can't be hashed.
-    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    rooted = near_roots(docs.select("doc_id", "text", row.alias("row")), similarity=0.8, width=5)
+    row = F.xxhash64(*[F.col(c) for c, kind in plain.dtypes if "map<" not in kind])
+    named = [F.col(f"c{place(docs.columns, n)}").alias(n) for n in ("doc_id", "text")]
+    rooted = near_roots(plain.select(*named, row.alias("row")), similarity=0.8, width=5)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    kept = first.select(F.col("first.row").alias("__row"))
-    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = first.select(F.col("first.row").alias("row"))
+    return plain.withColumn("row", row).join(kept, "row", "left_semi").dropDuplicates(["row"]).drop("row").toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all kept documents in sequences of 2048 tokens."""
+    """Pieces of all kept documents in sequences of 2048 tokens; odd rows as ``pack`` says."""
     return pack(docs, vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
