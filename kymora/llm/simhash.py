@@ -3,15 +3,17 @@
 Two fingerprints that differ in at most ``bits`` of 64 differ in at most ``bits // blocks`` of at least one of
 ``blocks`` bit blocks. Each block has a vantage-point tree, built from a bounded sample: a node holds a vantage
 fingerprint and a threshold and parts fingerprints by their Hamming distance to it within the block, or over all 64
-bits where the block no longer tells them apart. A leaf is a shard. A fingerprint lives in one shard of each tree and
-also visits those shards that its ball overlaps, by the triangle bound; of two near fingerprints one so meets the other
+bits where the block no longer tells them apart. A leaf is a shard; one that gets too many fingerprints is split by a
+tree of its own, built where its sample is, until all fit. A fingerprint lives in one shard of each tree and also visits those shards that its ball overlaps, by the triangle bound; of two near fingerprints one so meets the other
 at home. Each shard searches with a tree of its own, compares exactly, and passes on only the links of a star for each
 local group, so a group of many near copies costs links in proportion to its size. Stars are then contracted.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,12 @@ from kymora.llm.common import chunks, own, remove, save, ship
 
 #: Fixed by the operator's contract.
 SEED, SHINGLE = 42, 4
-#: Fingerprints that a tree's top is built from, about; its shards number this over SAMPLE_A_SHARD at most.
+#: Fingerprints that a tree is built from, about; its shards number this over SAMPLE_A_SHARD at most.
 SAMPLE, SAMPLE_A_SHARD = 32_768, 16
-#: Fingerprints that live in a shard, about.
+#: Fingerprints that live in a shard, about; one that holds twice as many is split.
 SHARD_ROWS = 16_384
+#: A node that has more than one of so many links is a hub: there are at most as many hubs.
+HUBS = 2048
 #: Fingerprints in a leaf of a shard's own tree, about, and most comparisons held at once.
 LEAF, TILE = 96, 1 << 20
 #: Texts, about, whose shingles tell which are common; texts that hold a common one, and common ones at most.
@@ -111,9 +115,13 @@ def build(points: np.ndarray, leaves: int, measures: list[tuple[int, int]], numb
     return (*split, build(points[near], share, measures, numbers), build(points[~near], leaves - share, measures, numbers))
 
 
-def route(tree, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, lives there) for the leaf where each fingerprint lives and the earlier leaves its ball overlaps."""
+def route(tree, fps: np.ndarray, at_home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, lives there) for the leaf where each fingerprint lives and the earlier leaves its ball overlaps.
+
+    Those that aren't ``at_home`` live nowhere and visit all leaves that their balls overlap.
+    """
     out = []
+    at_home = np.ones(len(fps), bool) if at_home is None else at_home
 
     def walk(node, rows: np.ndarray, home: np.ndarray) -> None:
         if not len(rows):
@@ -127,24 +135,53 @@ def route(tree, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         walk(near, rows[to_near], (home & (d <= at))[to_near])
         walk(far, rows[to_far], (home & (d > at))[to_far])
 
-    walk(tree, np.arange(len(fps)), np.ones(len(fps), bool))
+    walk(tree, np.arange(len(fps)), at_home)
     rows, leaves, home = (np.concatenate(x) for x in zip(*out, strict=True))
-    lives = np.empty(len(fps), np.int64)
+    lives = np.full(len(fps), np.iinfo(np.int64).max)
     lives[rows[home]] = leaves[home]
     keep = leaves <= lives[rows]
     return rows[keep], leaves[keep], home[keep]
 
 
+ROUTED = "tree int, leaf long, fp long, home boolean"
+
+
+def _routed(tree: np.ndarray, leaf: np.ndarray, fps: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(tree.astype(np.int32)), pa.array(leaf.astype(np.int64)), pa.array(fps.view(np.int64)), pa.array(home)]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ROUTED.split(", ")])
+
+
 def _route(batches: Iterator[pa.RecordBatch], trees: list) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy().view(np.uint64)
         for number, tree in enumerate(trees):
             if len(fps):
                 rows, leaves, home = route(tree, fps)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), number, np.int32)), pa.array(leaves.astype(np.int32)), pa.array(fps[rows].view(np.int64)), pa.array(home)],
-                    names=["tree", "leaf", "fp", "home"],
-                )
+                yield _routed(np.full(len(rows), number), leaves, fps[rows], home)
+
+
+def _reroute(batches: Iterator[pa.RecordBatch], grown, ways: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the leaves that ``grown`` has a tree for go on to that tree's leaves; a leaf's number is its path in base ``ways``."""
+    for batch in batches:
+        tree, leaf, fps, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        fps = fps.view(np.uint64)
+        order = np.lexsort((leaf, tree))
+        new = np.flatnonzero(np.append(True, (np.diff(tree[order]) != 0) | (np.diff(leaf[order]) != 0))) if len(order) else []
+        for rows in np.split(order, new[1:]) if len(order) else []:
+            number, base = int(tree[rows[0]]), int(leaf[rows[0]]) * ways
+            found = grown.value.get((number, int(leaf[rows[0]])))
+            if found is None:
+                yield _routed(tree[rows], np.full(len(rows), base), fps[rows], home[rows])
+            else:
+                at, leaves, lives = route(found, fps[rows], home[rows])
+                yield _routed(np.full(len(at), number), base + leaves, fps[rows][at], lives)
+
+
+def _grow(group: pd.DataFrame, forest: list, shard_rows: int, ways: int) -> pd.DataFrame:
+    number, leaf, n = int(group["tree"].iloc[0]), int(group["leaf"].iloc[0]), int(group["n"].iloc[0])
+    points = np.random.default_rng(0).permutation(np.sort(group["fp"].to_numpy().view(np.uint64)))
+    tree = build(points, min(ways, -(-n // shard_rows)), forest[number], count())
+    return pd.DataFrame({"tree": [number], "leaf": [leaf], "grown": [pickle.dumps(tree)]})
 
 
 def stars(points: np.ndarray, queries: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -197,21 +234,29 @@ def _search(group: pd.DataFrame, forest: list, bits: int) -> pd.DataFrame:
 def contract(links: DataFrame) -> DataFrame:
     """Groups of linked nodes: (node, root) for each node but the roots, the smallest of their groups.
 
-    Turns of large and small stars until nothing moves; each turn is written to the shared folder, and the mins are
-    combined before they are shuffled, so a hub is one row of its table.
+    Turns of large and small stars until nothing moves; each turn is written to the shared folder. The mins are combined
+    before they are shuffled, and those of hubs are broadcast, so no node's links meet in one task.
     """
     spark = links.sparkSession
     edges, path = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
+    state, n = None, edges.count()
+
+    def with_low(pairs: DataFrame, low: DataFrame) -> DataFrame:
+        """``pairs`` (u, v) with m, what ``low`` (u, m, n) says of u; a hub's pairs, which know it already, leave the join's key."""
+        hubs = F.broadcast(low.where(F.col("n") > 2 * n // HUBS).select(F.col("u").alias("hub"), F.col("m").alias("known")))
+        pairs = pairs.join(hubs, F.col("u") == F.col("hub"), "left").withColumn("at", F.when(F.col("hub").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
+        return pairs.join(low.select(F.col("u").alias("at"), "m"), "at", "left").select("u", "v", F.coalesce("known", "m").alias("m"))
+
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_low(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, large_path = save(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").union(low).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_low(large, low).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
         small, small_path = save(small, "small")
         now = tuple(small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        n = now[0]
         remove(spark, path, large_path)
         edges, path = small, small_path
         if now == state:
@@ -219,27 +264,41 @@ def contract(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_links(fps: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """Links (a, b) that join all pairs of distinct fingerprints (column fp) within ``bits`` of each other."""
+def near_links(fps: DataFrame, bits: int, blocks: int, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """Links (a, b) that join all pairs of distinct fingerprints (column fp) within ``bits`` of each other.
+
+    Trees are fitted to bounded samples, drawn by a hash of the fingerprint; every row is routed by them. Shards of more
+    than ``2 * shard_rows`` are split again by trees fitted to samples of their own rows, all at once; the driver and a
+    broadcast hold a few numbers per shard.
+    """
+    spark, forest, ways = fps.sparkSession, blocks_of(bits, blocks), max(2, sample // SAMPLE_A_SHARD)
     total = fps.count()
-    # A bounded sample, drawn by a hash of the fingerprint, fits the trees; every row is routed by them.
-    drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, total)))
-    sample = np.sort(np.array([r["fp"] for r in fps.where(drawn).collect()], np.int64).view(np.uint64))
-    sample = np.random.default_rng(0).permutation(sample)
-    forest = blocks_of(bits, blocks)
-    shards = max(1, min(SAMPLE // SAMPLE_A_SHARD, -(-total // SHARD_ROWS)))
-    trees = [build(sample, shards, measures, iter(range(1 << 30))) for measures in forest]
-    routed = fps.mapInArrow(lambda b: _route(b, trees), "tree int, leaf int, fp long, home boolean")
-    return routed.groupBy("tree", "leaf").applyInPandas(lambda g: _search(g, forest, bits), "a long, b long")
+    share = lambda n: F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < float(1 << 40) * sample / F.greatest(n, F.lit(1))
+    drawn = np.sort(np.array([r["fp"] for r in fps.where(share(F.lit(total))).collect()], np.int64).view(np.uint64))
+    drawn = np.random.default_rng(0).permutation(drawn)
+    trees = [build(drawn, max(1, min(ways, -(-total // shard_rows))), measures, count()) for measures in forest]
+    routed, path = save(fps.mapInArrow(lambda b: _route(b, trees), ROUTED), "routed")
+    while True:
+        sizes = routed.where("home").groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
+        # One row per shard that is too large, half as many as shards at most.
+        grown = routed.where("home").join(F.broadcast(sizes), ["tree", "leaf"]).where(share(F.col("n"))).groupBy("tree", "leaf")
+        got = grown.applyInPandas(lambda g: _grow(g, forest, shard_rows, ways), "tree int, leaf long, grown binary").collect()
+        found = {(r["tree"], r["leaf"]): pickle.loads(r["grown"]) for r in got}
+        # What no vantage parts any more stays one shard.
+        if not any(isinstance(tree, tuple) for tree in found.values()):
+            return routed.groupBy("tree", "leaf").applyInPandas(lambda g: _search(g, forest, bits), "a long, b long")
+        sent = spark.sparkContext.broadcast(found)
+        old, (routed, path) = path, save(routed.mapInArrow(lambda b, sent=sent: _reroute(b, sent, ways), ROUTED), "routed")
+        remove(spark, old)
 
 
 def simhash_groups(docs: DataFrame, bits: int = 4, blocks: int = 3, width: int = SHINGLE) -> DataFrame:
     """Fingerprints and groups of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     Documents whose fingerprints differ in at most ``bits`` bits are linked; ``component_id`` is the smallest doc_id
-    that links reach (null if all are null). Null, empty and blank texts have fingerprint zero. Equal fingerprints are
-    one node however many documents have them. Repeated rows are documents of their own; an empty table gives no rows;
-    further columns are ignored.
+    that links reach (null if all are null). Null, empty and blank texts have fingerprint zero; long ones are read whole.
+    Equal fingerprints are one node however many documents have them. Repeated rows are documents of their own; an empty
+    table gives no rows; further columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     printed, _ = save(own(docs, "doc_id", "text").mapInArrow(lambda b: _fingerprint(b, width), "doc_id long, fp long"), "fingerprints")
@@ -386,7 +445,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = SHINGLE +
     verified links join it already, or where sizes or places rule it out; all others are compared exactly, shingle by
     shingle. Texts of the same set of shingles are one. Words fold A-Z; words and shingles are 64-bit hashes.
     ``component_id`` is the smallest doc_id that links reach (null if all are null). Null, empty and blank texts are each
-    other's copies; an empty table gives no rows; further columns are ignored.
+    other's copies; long ones are compared whole; repeated rows are documents of their own; an empty table gives no rows;
+    further columns are ignored, whatever their names.
     """
     rooted = near_roots(own(docs, "doc_id", "text").withColumn("row", F.lit(0).cast("long")), similarity, width)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -227,6 +227,29 @@ def test_search_joins_what_is_near():
     assert len(set(a.tolist()) | set(b.tolist())) >= 60
 
 
+@pytest.mark.parametrize("rows, sample", [(40, 2048), (20, 64)])
+def test_shards_split_until_they_fit(spark, rows, sample):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in base], np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ flips, base[:1] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.contract(simhash.near_links(df, 4, 3, shard_rows=rows, sample=sample)).collect()}
+    want = plain_groups([int(f) for f in fps])
+    group = {}
+    for f, g in zip(fps.view(np.int64).tolist(), want, strict=True):
+        group.setdefault(g, set()).add(roots.get(f, f))
+    assert all(len(x) == 1 for x in group.values()) and len({min(x) for x in group.values()}) == len(group)
+
+
+def test_a_hub_is_contracted(spark):
+    rng = np.random.default_rng(2)
+    hub = [(0, i) for i in range(1, 4000)] + [(i, i + 10_000) for i in range(1, 2000)] + [(-5, 11_999), (20_000, 20_001)]
+    some = [tuple(map(int, x)) for x in rng.permutation(np.array(hub))]
+    got = {r["node"]: r["root"] for r in simhash.contract(spark.createDataFrame(some, "a long, b long")).collect()}
+    assert got.pop(20_001) == 20_000 and set(got.values()) == {-5} and len(got) == 3999 + 1999 + 1
+
+
 def plain_resemblance(a, b):
     def shingles(t):
         w = (t or "").encode().lower().split()
