@@ -29,6 +29,13 @@ class Config:
     fill: float = 0.70
     saccade_on: float = 35.0
     saccade_off: float = 20.0
+    dead_x: float = 0.026
+    dead_xy: float = 0.030
+    head_jump: float = 0.055
+    socket_moves: float = 0.75
+    degrees_a_unit: float = 22.0
+    shake_ms2: float = 1.5
+    shake_s: float = 0.5
     prior: float = 0.01
     lock_at: float = 0.999
     lock_s: float = 15.0

@@ -1,4 +1,4 @@
-"""Per-row guards and corrections of measured signals, and the temporal risk score, as Column expressions."""
+"""Per-row guards and corrections of measured signals as Column expressions."""
 
 from __future__ import annotations
 
@@ -80,22 +80,6 @@ def tiered(*stages: Column) -> Column:
     return F.coalesce(*stages)
 
 
-def catatonic(ear: Column, dispersion: Column, still_s: Column, voice: Column) -> Column:
-    """Stupor score: wide, still eyes; more with a longer stare and slurred speech."""
-    base = F.when((ear >= 0.24) & (dispersion < 0.02) & (still_s >= 6), 42.0).otherwise(0.0)
-    return F.when(base > 0, base + F.when(still_s >= 10, 12.0).otherwise(0.0) + F.when(voice >= 45, 14.0).otherwise(0.0)).otherwise(0.0)
-
-
-#: Weights of the involuntary risk and marker bonuses, which count from 20 on.
-RISK_WEIGHTS = {"gen": 0.24, "pursuit_fragmentation": 0.22, "lack_of_convergence": 0.22, "vor_depression": 0.00, "perclos": 0.12, "blink_velocity": 0.10, "gaze_tunneling": 0.05, "microsleep": 0.05}
-
-
-def involuntary_risk(markers: dict[str, Column], bonuses: list[tuple[Column, float]]) -> Column:
-    """Weighted markers; bonuses add only to a base of 20 or more; at most 100."""
-    base = sum((markers[n] * w for n, w in RISK_WEIGHTS.items()), F.lit(0.0))
-    return F.least(F.lit(100.0), F.when(base >= 20, base + sum((F.when(c, b).otherwise(0.0) for c, b in bonuses), F.lit(0.0))).otherwise(base))
-
-
 def kept_columns(names: list[str], keep: tuple[str, ...], drop_prefixes: tuple[str, ...]) -> list[str]:
     """Column pruning by rule: names that are listed, or that no dropped prefix begins."""
     return [n for n in names if n in keep or not n.startswith(drop_prefixes)]

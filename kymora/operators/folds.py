@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
@@ -67,37 +67,52 @@ def ema(alpha: float) -> Machine:
     return Machine(step, None, "ema double")
 
 
+def sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-20.0, min(20.0, x))))
+
+
 def evidence(cfg: Config = Config()) -> Machine:
-    """Sequential evidence with a clipped log-odds sum, a leaky timer and a latch; inputs (us, risk, observed, hard, parked)."""
+    """Sequential evidence with a clipped log-odds sum, a leaky timer and a latch.
+
+    Inputs (us, risk, observed, hard, parked), and, where a table has them, (total, sober, beats, apart, voice): the total
+    risk (else the risk), whether the class is SOBER (else a risk under 25), two reflex signs, and the score of slurred
+    speech (else none), which counts from a risk of 25 on and is a hard sign itself.
+    """
     prior = math.log(cfg.prior / (1 - cfg.prior))
 
+    def rate(risk, sober, beats, apart, voice):
+        if risk >= 50:
+            out = 1 + 1.5 * (risk - 50) / 50 + (1.0 if beats else 0.0) + (0.5 if apart else 0.0)
+        elif risk >= 30:
+            out = 0.2 + 0.6 * (risk - 30) / 20
+        else:
+            out = -1.25 if risk < 12 and sober else -0.40
+        return out + (0.35 * voice / 100 if voice is not None and risk >= 25 else 0.0)
+
     def step(state, row):
         odds, timer, latched, last = state if state else (prior, 0.0, False, None)
-        us, risk, observed, hard, parked = row
+        us, risk, observed, hard, parked, total, sober, beats, apart, voice = (*row, None, None, None, None, None)[:10]
         dt = 0.033 if last is None else (us - last) / SECOND
         if parked:
             odds, timer, latched = prior, 0.0, False
         elif not observed:
             if not latched:
-                timer = max(0.0, timer - 0.5 * min(max(dt, 0.0), 1.0))
+                timer = max(0.0, timer - 0.5 * min(max(dt, 1e-4), 1.0))
         else:
             dt = 1e-4 if dt <= 0 else min(dt, 0.25)
-            p = 1 / (1 + math.exp(-max(-20.0, min(20.0, odds))))
-            if risk >= 50:
-                llr = 1 + 1.5 * (risk - 50) / 50
-            elif risk >= 30:
-                llr = 0.2 + 0.6 * (risk - 30) / 20
+            gain = rate(risk, risk < 25 if sober is None else sober, beats, apart, voice)
+            sure = hard or beats or apart or voice is not None
+            if gain > 0 and not sure and max(risk, total or 0.0) < 48 and sigmoid(odds) > 0.20:
+                gain = 0.0
+            odds = max(prior - 1, min(cfg.log_odds_cap, odds + gain * dt))
+            if latched:
+                timer = max(cfg.lock_s, timer)
+            elif sigmoid(odds) >= cfg.lock_at:
+                timer += dt
+                latched = timer >= cfg.lock_s
             else:
-                llr = -1.25 if risk < 12 else -0.40
-            if llr > 0 and not hard and risk < 48 and p > 0.20:
-                llr = 0.0
-            odds = max(prior - 1, min(cfg.log_odds_cap, odds + llr * dt))
-            p = 1 / (1 + math.exp(-max(-20.0, min(20.0, odds))))
-            timer = timer + dt if p >= cfg.lock_at else max(0.0, timer - 2 * dt)
-            latched = latched or timer >= cfg.lock_s
-            timer = max(cfg.lock_s, timer) if latched else timer
-        p = 1 / (1 + math.exp(-max(-20.0, min(20.0, odds))))
-        return (odds, timer, latched, us), (odds, p, timer, latched)
+                timer = max(0.0, timer - 2 * dt)
+        return (odds, timer, latched, us), (odds, sigmoid(odds), timer, latched)
 
     return Machine(step, None, "log_odds double, posterior double, sustained double, latched boolean")
 
@@ -133,37 +148,70 @@ def parabola(points: list[tuple[float, float]]) -> float:
     return float(2 * a[0])
 
 
+def wrapped(d: float) -> float:
+    """An angle's difference within half a turn."""
+    return (d + 180.0) % 360.0 - 180.0
+
+
 def shock_gate(cfg: Config = Config()) -> Machine:
-    """Freezes rows after a jolt; inputs (us, x, y, z in mm, rotation in degrees a second): smoothed position, quadratic
-    acceleration over five points or 150 ms, a freeze of 150 ms, and a cap on the frozen share of the last two seconds."""
+    """Freezes rows after a jolt; inputs (us, x, y, z in mm, pitch, yaw, roll in degrees), a missing pose being null.
+
+    Positions are smoothed and a parabola over at most five of them, within 150 ms, gives the acceleration. A strong one
+    while the head hardly turns starts a freeze of 150 ms, unless one runs or frozen time has its share of the last two
+    seconds. More than two missing poses, or half a second without any, start the smoothing anew. A steady shake of half a
+    second sets ``shaking``.
+    """
 
     def step(state, row):
-        smooth, past, freezes, last = state if state else (None, (), (), None)
-        us, x, y, z, rotation = row
+        smooth, past, turn, freezes, until, last, missing, shake = state if state else (None, (), None, (), -math.inf, None, 0, (None, None, False))
+        us, pos, euler = row[0], row[1:4], row[4:7]
         t = us / SECOND
         freezes = tuple(f for f in freezes if f[1] > t - cfg.duty_window_s)
-        frozen = sum(min(b, t) - max(a, t - cfg.duty_window_s) for a, b in freezes if a < t)
+        frozen = sum(max(0.0, min(b, t) - max(a, t - cfg.duty_window_s)) for a, b in freezes)
         over = frozen / cfg.duty_window_s >= cfg.duty_limit
-        if over and freezes and freezes[-1][1] > t:
-            freezes = (*freezes[:-1], (freezes[-1][0], t))
-        if x is None or y is None or z is None or (last is not None and t - last > 0.5):
-            smooth, past = None, ()
+        if over and t < until:
+            until = t
+            freezes = (*freezes[:-1], (freezes[-1][0], t)) if freezes else freezes
         accel = 0.0
-        if x is not None and y is not None and z is not None:
-            new = (x, y, z)
-            smooth = new if smooth is None else tuple(0.65 * a + 0.35 * b for a, b in zip(new, smooth))
-            past = (*past, (t, *smooth))[-5:]
-            while len(past) > 3 and t - past[0][0] > 0.150:
+        if None in pos:
+            missing += 1
+            if missing > 2 or (last is not None and t - last > 0.5):
+                smooth, past, turn = None, (), None
+        elif last is None or smooth is None:
+            smooth, past, last, missing = pos, (*past, (t, *pos))[-5:], t, 0
+            turn = euler if None not in euler else turn
+            return (smooth, past, turn, freezes, until, last, missing, shake), (accel, False, over, shake[2])
+        elif t - last > 0.5:
+            smooth, past, last, missing = pos, ((t, *pos),), t, 0
+        else:
+            smooth = tuple(0.65 * a + 0.35 * b for a, b in zip(pos, smooth))
+            past, missing = (*past, (t, *smooth))[-5:], 0
+            while len(past) > 3 and t - past[0][0] > cfg.freeze_s:
                 past = past[1:]
-            if len(past) >= 3:
+            if len(past) >= 3 and past[-1][0] - past[0][0] >= 1e-5:
                 accel = math.sqrt(sum(parabola([(p[0], p[i]) for p in past]) ** 2 for i in (1, 2, 3))) / 1000
-        until = freezes[-1][1] if freezes else -math.inf
-        if accel > cfg.shock_ms2 and (rotation is None or rotation < cfg.rotation_limit) and t >= until and not over:
-            freezes = (*freezes, (t, t + cfg.freeze_s))
-            until = t + cfg.freeze_s
-        return (smooth, past, freezes, t), (accel, t < until and not over, over)
-
-    return Machine(step, None, "acceleration double, frozen boolean, capped boolean")
+            speed = 0.0
+            if None not in euler:
+                speed = 0.0 if turn is None else math.sqrt(sum(wrapped(a - b) ** 2 for a, b in zip(euler, turn))) / max(t - last, 1e-4)
+                turn = euler
+            still = speed < cfg.rotation_limit
+            begun, seen, shaking = shake
+            if still and accel >= cfg.shake_ms2:
+                begun, seen = t if begun is None else begun, t
+                shaking = shaking or t - begun >= cfg.shake_s
+            elif seen is not None:
+                begun = None if t - seen > 0.25 else begun
+                seen, shaking = (None, False) if t - seen > cfg.shake_s else (seen, shaking)
+            shake = (begun, seen, shaking)
+            if accel > cfg.shock_ms2 and still and t >= until and not over:
+                until = t + cfg.freeze_s
+                # A freeze that begins where the last ends is one with it.
+                touching = freezes and t <= freezes[-1][1]
+                freezes = (*freezes[:-1], (freezes[-1][0], until)) if touching else (*freezes, (t, until))
+            last = t
+        return (smooth, past, turn, freezes, until, last, missing, shake), (accel, t < until and not over, over, shake[2])
+
+    return Machine(step, None, "acceleration double, frozen boolean, capped boolean, shaking boolean")
 
 
 def one_euro(min_cutoff: float = 1.0, beta: float = 0.007, d_cutoff: float = 1.0, structural: bool = False) -> Machine:
@@ -195,24 +243,75 @@ def one_euro(min_cutoff: float = 1.0, beta: float = 0.007, d_cutoff: float = 1.0
     return Machine(step, None, "filtered double")
 
 
-def stare(longest_drift: float = 2.5) -> Machine:
-    """Fixation on an anchor; inputs (us, x, y in degrees, broken, upstroke): duration and whether it is a rigid stare."""
+def stare(longest_drift: float = 2.5, held: int = 300) -> Machine:
+    """Fixation on an anchor; inputs (us, x, y in degrees, broken, upstroke): duration, whether it is a rigid stare, and
+    whether an alert driver's steady gaze excuses it. The spread is that of the last ``held`` rows since the anchor."""
 
     def step(state, row):
         us, x, y, broken, upstroke = row
         if state is None or broken or math.hypot(x - state[1], y - state[2]) > longest_drift:
-            return (us, x, y, (1, x, x * x, y, y * y), False), (0.0, False)
-        start, ax, ay, (n, sx, sxx, sy, syy), exempt = state
-        n, sx, sxx, sy, syy = n + 1, sx + x, sxx + x * x, sy + y, syy + y * y
+            return (us, x, y, ((x, y),)), (0.0, False, False)
+        start, ax, ay, seen = state
+        seen = (*seen, (x, y))[-held:]
         lasts = (us - start) / SECOND
-        active = False
-        if lasts >= 6 and n >= 15:
-            spread = math.sqrt(max(0.0, sxx / n - (sx / n) ** 2) + max(0.0, syy / n - (sy / n) ** 2))
-            exempt = exempt or (0.15 <= spread < 0.8 and (upstroke or 0) >= 1.8)
-            active = spread < 0.8 and not exempt
-        return (start, ax, ay, (n, sx, sxx, sy, syy), exempt), (lasts, active)
+        rigid = excused = False
+        if lasts >= 6 and len(seen) >= 15:
+            n, mx, my = len(seen), math.fsum(p[0] for p in seen) / len(seen), math.fsum(p[1] for p in seen) / len(seen)
+            spread = math.sqrt(math.fsum((p[0] - mx) ** 2 + (p[1] - my) ** 2 for p in seen) / n)
+            excused = 0.15 <= spread < 0.8 and (upstroke or 0) >= 1.8
+            rigid = spread < 0.8 and not excused
+        return (start, ax, ay, seen), (lasts, rigid, excused)
+
+    return Machine(step, None, "duration double, rigid boolean, excused boolean")
+
+
+def saccade(cfg: Config = Config()) -> Machine:
+    """Gaze jumps with hysteresis; inputs (us, x, y, left, right, closed, head_speed, socket_speed, vibration, yaw).
+
+    Dead zones widen with vibration; eyes that part, or a far eye that jumps alone in a turned head, don't count whole; a
+    moving head needs a larger jump and its speed is taken off. A blink ends a jump and the first row after it is a new
+    anchor, as is one after half a second.
+    """
+
+    def step(state, row):
+        us, x, y, left, right, closed, head, socket, vibration, yaw = row
+        t = us / SECOND
+        prev, jumping, ended, blinked = state if state else (None, False, None, False)
+        since = lambda: 0.0 if ended is None else (t - ended) * 1000
+        now = (t, x, y, left, right)
+        if x is None or y is None or not (math.isfinite(x) and math.isfinite(y)):
+            return state, (0.0, False, 0.0)
+        if prev is None:
+            return (now, jumping, ended, blinked), (0.0, False, 0.0)
+        dt = t - prev[0]
+        if dt <= 1e-6:
+            return state, (0.0, jumping, 0.0)
+        if dt > 0.5 or closed:
+            ended = t if jumping else ended
+            return (now, False, ended, blinked or bool(closed and dt <= 0.5)), (0.0, False, since() if dt <= 0.5 else 0.0)
+        if blinked:
+            return (now, False, ended, False), (0.0, False, since())
+        dx, dy = abs(x - prev[1]), abs(y - prev[2])
+        jump = dx
+        if None not in (left, right, prev[3], prev[4]):
+            dl, dr = left - prev[3], right - prev[4]
+            if dl * dr < -1e-4:
+                jump = 0.0
+            elif abs(yaw or 0.0) > 12 and max(abs(dl), abs(dr)) > 2.2 * min(abs(dl), abs(dr)):
+                jump = min(abs(dl), abs(dr))
+        wide = 1 + 1.2 * vibration if (vibration or 0.0) > 0.2 else 1.0
+        head, socket = head or 0.0, socket or 0.0
+        if socket > cfg.socket_moves or (head > 15 and socket > 0.30):
+            speed = 0.0 if jump < max(cfg.head_jump, cfg.dead_x * wide, 0.085) else max(0.0, jump * cfg.degrees_a_unit / dt - 0.85 * head)
+        else:
+            speed = 0.0 if jump < cfg.dead_x * wide or math.hypot(dx, dy / 2) < cfg.dead_xy * wide else jump * cfg.degrees_a_unit / dt
+        if not jumping:
+            jumping = speed > cfg.saccade_on
+        elif speed < cfg.saccade_off:
+            jumping, ended = False, t
+        return (now, jumping, ended, False), (speed, jumping, 0.0 if jumping else since())
 
-    return Machine(step, None, "duration double, rigid boolean")
+    return Machine(step, None, "speed double, jumping boolean, latency_ms double")
 
 
 def jump_rejection(limit: float = 25.0) -> Machine:
@@ -245,76 +344,145 @@ def roi_tracker() -> Machine:
     return Machine(step, None, "cx_out double, cy_out double, scale_out double")
 
 
+def middle(values) -> float:
+    """The median of at least one value."""
+    ordered = sorted(values)
+    return (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+
+
 def vor_gain() -> Machine:
-    """Eye against head movement; inputs (eye, head degrees, speed): median of the last 30 step ratios, else a slow average."""
+    """Eye against head movement; inputs (us, eye, yaw, pitch in degrees, open).
+
+    Steps of the head from 0.45 to 8 degrees give ratios, whose last 30 have the gain as median: 0 where the eye stands
+    still in a large one. Smaller steps at 2 to 25 degrees a second feed a slow average. A far pitch holds the gain.
+    """
 
     def step(state, row):
-        eye, head, speed = row
+        us, eye, yaw, pitch, is_open = row
         gain, ratios, last = state if state else (1.0, (), None)
-        if last is not None and None not in row:
-            de, dh = eye - last[0], head - last[1]
-            if 0.45 < abs(dh) < 8:
-                ratio = 0.0 if abs(de) < 1e-3 and abs(dh) > 1.5 else max(0.0, min(2.0, -de / dh))
-                ratios = (*ratios, ratio)[-30:]
-                ordered = sorted(ratios)
-                k = len(ordered)
-                gain = (ordered[(k - 1) // 2] + ordered[k // 2]) / 2
-            elif 2 <= abs(speed) <= 25 and abs(dh) > 1e-6 and -de / dh > 0.05:
-                gain = 0.85 * gain + 0.15 * max(0.0, min(2.0, -de / dh))
-        return (gain, ratios, row[:2] if None not in row else last), (gain,)
+        dt = 0.0 if last is None else (us - last[0]) / SECOND
+        if abs(pitch or 0.0) <= 12 and last is not None and dt > 1e-6 and is_open and None not in (eye, yaw, *last[1:]):
+            moved, turned = eye - last[1], wrapped(yaw - last[2])
+            if 0.45 < abs(turned) < 8:
+                ratio = max(0.0, min(2.0, -moved / turned)) if abs(moved) > 0.20 else 0.0 if abs(moved) <= 0.15 and abs(turned) > 1.5 else None
+                if ratio is not None:
+                    ratios = (*ratios, ratio)[-30:]
+                    gain = middle(ratios)
+            elif 2 <= abs(turned) / dt <= 25 and -moved / turned > 0.05:
+                gain = 0.85 * gain + 0.15 * min(2.0, -moved / turned)
+        gain = max(0.0, min(2.0, gain))
+        return (gain, ratios, (us, eye, yaw)), (round(gain, 4),)
 
     return Machine(step, None, "gain double")
 
 
-def blink_phase(threshold: float = 0.21) -> Machine:
-    """Four phases of a lid with closing and opening speeds latched at reopening; inputs (us, ear)."""
+def slope_of(points) -> float | None:
+    """Least-squares slope over three points in time; None if they coincide."""
+    mt, my = sum(p[0] for p in points) / 3, sum(p[1] for p in points) / 3
+    spread = sum((p[0] - mt) ** 2 for p in points)
+    return sum((p[0] - mt) * (p[1] - my) for p in points) / spread if spread > 1e-12 else None
 
-    def step(state, row):
-        us, ear = row
-        if state is None:
-            return ("open", us, ear, 0.28, 0, 0.0, 0.0, 0.0, 0.0, 0, 0, 0.2), ("open", 0.0, 0.0)
-        phase, last, prev, base, warm, top_close, top_open, closing, opening, frames, glitch, low = state
-        dt = (us - last) / SECOND
-        if dt <= 1e-6:
-            return state, (phase, closing, opening)
-        if dt > 0.5:
-            return (phase, us, ear, *state[3:]), (phase, closing, opening)
-        d = ear - prev
-        v = abs(d) / dt
-        if ear > 1.15 * threshold:
-            a = 0.15 if warm < 15 else 0.02
-            base, warm = (1 - a) * base + a * ear, warm + 1
-        wide = max(1.18 * threshold, min(0.26, 0.84 * base))
-        frames = frames + 1 if phase in ("closing", "opening") else 0
-        if frames > 8:
-            closing, opening = max(closing, top_close), max(opening, top_open)
-            phase, frames = ("closed" if ear < threshold else "open"), 0
-        elif phase == "open" and d < -0.010 and ear < min(0.28, 0.95 * base):
-            phase, top_close, top_open, low, glitch = ("closed" if ear < threshold else "closing"), v, 0.0, ear, 0
-        elif phase == "closing":
-            if ear < threshold:
-                phase, top_close = "closed", max(top_close, v)
-            elif d < 0:
-                top_close, glitch = max(top_close, v), 0
-            elif glitch < 1 and d < 0.015:
-                glitch += 1
-            else:
-                phase = "open"
-        elif phase == "closed" and d > 0.005 and ear > 0.75 * threshold:
-            top_open = max(v, d / dt * (1 + 12 * max(0.0, dt - 0.0167)))
-            phase = "opening" if ear < wide else "open"
-            if phase == "open":
-                closing, opening = top_close, top_open
-        elif phase == "opening":
+
+@dataclass(frozen=True)
+class Lid:
+    """What a blink remembers from row to row."""
+
+    t: float
+    ear: float
+    points: tuple
+    phase: str = "open"
+    base: float = 0.28
+    warm: int = 0
+    frames: int = 0
+    glitch: int = 0
+    follow: int = 0
+    lowest: float = 0.20
+    fell: float | None = None
+    rose: float | None = None
+    closing: float = 0.0
+    opening: float = 0.0
+    ended: float = 0.0
+
+
+def blink_phase(threshold: float = 0.21, timeout: int = 8) -> Machine:
+    """Four phases of a lid with closing and opening speeds latched at reopening; inputs (us, ear).
+
+    Speeds are slopes over three rows where they agree with the last step, raised for slow frames. A phase that lasts too
+    long ends by the threshold; one row that turns back is forgiven; a wide reopening counts at least its chord; two rows
+    after it may still raise the speed; four seconds of open eyes relax a slow one.
+    """
+    most = lambda a, b: b if a is None else max(a, b)
+
+    def reopened(lid: Lid, ear: float, t: float, dt: float, rose: float | None) -> Lid:
+        opening = lid.opening
+        if rose is not None:
+            opening = rose * (1 + min(0.5, 10 * (dt - 0.033))) if 0.038 < dt <= 0.12 and 0 < rose < 1.65 else rose
+        if dt >= 0.030 and ear >= 0.82 * lid.base:
+            opening = max(opening, min(2.6, (ear - lid.lowest) / max(0.075, min(0.110, 1.6 * dt))))
+        closing = lid.closing if lid.fell is None else lid.fell
+        return replace(lid, phase="open", frames=0, glitch=0, follow=2, rose=rose, closing=closing, opening=opening, ended=max(lid.ended, t))
+
+    def moved(lid: Lid, ear: float, t: float, dt: float, step_: float, d: float, speed: float) -> Lid:
+        """The lid after its phase has seen the row."""
+        wide = max(1.18 * threshold, min(0.26, 0.84 * lid.base))
+        up = max(speed, abs(d) / dt * (1 + 12 * max(0.0, dt - 0.0167)))
+        if lid.phase == "open":
+            if lid.follow > 0:
+                late = d / dt * (1 + 12 * max(0.0, min(dt, 0.08) - 0.0167)) if d > 0.010 and dt > 1e-4 else 0.0
+                lid = replace(lid, follow=lid.follow - 1, opening=min(late, 6.0) if late > lid.opening else lid.opening)
+            if 0 < lid.opening < 1.65 and ear >= max(0.24, 0.85 * lid.base) and lid.ended > 0 and t - lid.ended > 4 and dt < 0.25:
+                lid = replace(lid, opening=min(1.65, lid.opening + 0.08 * dt))
+            if min(d, step_) < -0.010 and ear < min(0.28, 0.95 * lid.base):
+                lid = replace(lid, phase="closed" if ear < threshold else "closing", frames=0, glitch=0, follow=0, lowest=ear, fell=speed, rose=None)
+            return lid
+        if lid.phase == "opening":
+            if ear >= wide:
+                return reopened(lid, ear, t, dt, most(lid.rose, up) if up > 0.02 else lid.rose)
+            if d < -0.010 and ear < threshold:
+                return replace(lid, phase="closed", frames=0, glitch=0, follow=0)
+            return replace(lid, rose=most(lid.rose, up)) if d > 0 and up > 0.02 else lid
+        lid = replace(lid, lowest=min(lid.lowest, ear))
+        if lid.phase == "closed":
+            if not (d > 0.005 and ear > 0.75 * threshold):
+                return lid
             if ear >= wide:
-                top_open = max(top_open, v)
-                phase, closing, opening = "open", top_close, top_open
-            elif d < -0.010 and ear < threshold:
-                phase = "closed"
-            elif d > 0:
-                top_open = max(top_open, v)
-        low = min(low, ear) if phase != "open" else 0.2
-        return (phase, us, ear, base, warm, top_close, top_open, closing, opening, frames, glitch, low), (phase, closing, opening)
+                return reopened(lid, ear, t, dt, up if up > 0.02 else lid.rose)
+            return replace(lid, phase="opening", frames=0, glitch=0, rose=up if up > 0.02 else speed)
+        fell = most(lid.fell, speed) if speed > 0.02 else lid.fell
+        if ear < threshold:
+            return replace(lid, phase="closed", frames=0, glitch=0, fell=fell)
+        if d < 0:
+            return replace(lid, glitch=0, fell=fell)
+        if lid.glitch < 1 and d < 0.015:
+            return replace(lid, glitch=lid.glitch + 1)
+        return replace(lid, phase="open", frames=0, glitch=0, follow=0)
+
+    def step(lid, row):
+        us, ear = row
+        if ear is None:
+            return lid, (lid.phase, lid.closing, lid.opening) if lid else ("open", 0.0, 0.0)
+        t = us / SECOND
+        if lid is None:
+            lid = Lid(t, ear, ((t, ear),))
+        elif t - lid.t > 0.5:
+            lid = replace(lid, t=t, ear=ear, points=((t, ear),), glitch=0)
+        elif t - lid.t > 1e-6:
+            dt, d = t - lid.t, ear - lid.ear
+            if ear > 1.15 * threshold:
+                a = 0.15 if lid.warm < 15 else 0.02
+                lid = replace(lid, base=(1 - a) * lid.base + a * ear, warm=lid.warm + 1)
+            lid = replace(lid, frames=lid.frames + 1 if lid.phase in ("closing", "opening") else 0)
+            if lid.frames > timeout:
+                closing, opening = (old if new is None else new for old, new in ((lid.closing, lid.fell), (lid.opening, lid.rose)))
+                lid = replace(lid, closing=closing, opening=opening, phase="closed" if ear < threshold else "open", frames=0, glitch=0, follow=0)
+            points = (*lid.points, (t, ear))[-3:]
+            slope = slope_of(points) if len(points) == 3 else None
+            fits = slope is not None and slope * d > 0
+            speed = max(abs(slope), abs(d / dt)) if fits else abs(d / dt)
+            if 0.040 <= dt <= 0.120:
+                speed *= min(1.65, 1 + 12 * (dt - 0.033)) if ear >= 0.22 else min(1.65, 1 + 10 * (dt - 0.035))
+            lid = replace(moved(lid, ear, t, dt, d, slope * dt if fits else d, speed), t=t, ear=ear, points=points)
+        return lid, (lid.phase, lid.closing, lid.opening)
 
     return Machine(step, None, "phase string, closing double, opening double")
 
@@ -330,8 +498,7 @@ def locked_baseline(first: int, limit: float, alpha: float, within: float) -> Ma
                 if x < limit:
                     seen = (*seen, x)
                 if len(seen) >= first:
-                    ordered = sorted(seen)
-                    base, seen = (ordered[(first - 1) // 2] + ordered[first // 2]) / 2, ()
+                    base, seen = middle(seen), ()
             elif is_open and abs(x - base) <= within * base:
                 base = alpha * x + (1 - alpha) * base
         return (base, seen), (base, None if base is None or x is None else x / base - 1)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from kymora.functions import gates as T
 from kymora.functions import geometry as G
+from kymora.keys import Stream
 from kymora.operators import folds as X
-from kymora.operators import pixels, pose, pulse
+from kymora.operators import pixels, pose, pulse, temporal
 from kymora.operators import windows as W
 from kymora.operators.learning import augment_minority
 from kymora.plans.array_queries import V, vectors
@@ -92,18 +93,31 @@ ALERT = f"""WITH {V}, g AS (SELECT *, abs(a[1]) * 4 >= 0.26 AND abs(a[2]) < 0.10
 SELECT vec_id, al AS alert, round(CASE WHEN al AND abs(a[7]) * 200 < 25 THEN least(abs(a[6]) * 300, 22) ELSE abs(a[6]) * 300 END, 6) AS risk, abs(a[8]) * 60 > 10 OR abs(a[9]) * 100 > 25 AS suppressed FROM g"""
 
 
+#: Frames made of vectors: the n-th number's size, or which ids have a flag.
+_SIZES = {"ear_avg": (0, 2.0, 0.1), "mar": (1, 2.0, 0.0), "perclos": (2, 1.2, 0.0), "gaze_yaw_dispersion": (3, 0.4, 0.0), "stare_fixation_duration_s": (4, 50.0, 0.0), "head_postural_sway": (5, 12.0, 0.0), "pursuit_fragmentation_ratio": (7, 1.6, 0.0), "eyelid_tremor_hz": (8, 30.0, 0.0), "eyeball_tremor_hz": (9, 30.0, 0.0), "flushing_delta": (10, 1.5, 0.0), "rppg_hrv_rmssd_ms": (11, 200.0, 0.0), "masking_divergence_score": (12, 400.0, 0.0), "voice_impairment_score": (13, 500.0, 0.0), "vor_gain": (15, -2.0, 1.0)}
+_FLAGS = {"imu_gated": 23, "flushing_valid": 3, "rppg_valid": 2, "gen_detected": 7, "lack_of_convergence": 11, "microsleep_detected": 13, "deliberate_blink_suppression": 4, "compensatory_stare_active": 5, "rigid_head_stabilization": 6, "frontalis_compensation_active": 8, "masking_detected": 9, "voluntary_eye_widening": 10, "highway_fixation_exempt": 12, "speech_active": 14, "yawn_detected": 15, "audio_valid": 2, "voice_slurred_detected": 4}
+
+
+def _frame(at) -> dict[str, str]:
+    """Frame columns as SQL over (vec_id, a); ``at`` writes the n-th number, from 0."""
+    out = {n: f"{x} + abs({at(i)}) * {k}" for n, (i, k, x) in _SIZES.items()} | {n: f"vec_id % {m} = 1" for n, m in _FLAGS.items()}
+    out["blink_opening_velocity"] = f"CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE abs({at(6)}) * 16.0 END"
+    out["ml_probability"] = f"CASE WHEN vec_id % 3 > 0 THEN least(1.0, abs({at(14)}) * 5.0) END"
+    return out | {"blink_phase": "CASE WHEN vec_id % 4 = 2 THEN 'closing' ELSE 'open' END", "face_valid": "vec_id % 19 <> 0"}
+
+
 def temporal_risk(spark, sf):
-    a = F.col("a")
-    markers = {n: F.least(F.lit(100.0), F.abs(G.at(a, i, 0)) * 300) for i, n in enumerate(T.RISK_WEIGHTS)}
-    stupor = T.catatonic(F.abs(G.at(a, 9, 0)) * 4, F.abs(G.at(a, 9, 1)) / 5, F.abs(G.at(a, 10, 0)) * 100, F.abs(G.at(a, 10, 1)) * 400)
-    risk = T.involuntary_risk(markers, [(markers["gen"] >= 60, 10.0), (markers["perclos"] >= 50, 8.0)])
-    return vectors(spark, sf).select("vec_id", r(F.greatest(risk, stupor), 5).alias("risk"), r(stupor).alias("stupor"))
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("subject"), F.col("embedding").cast("array<double>").alias("a"))
+    df = df.withColumns({n: F.expr(temporal._doubles(x)) for n, x in _frame(lambda i: f"a[{i}]").items()})
+    got = temporal.temporal_score(temporal.with_open_ear(df, Stream(("subject",), "vec_id", None)), ["vec_id"], ingress=True)
+    return got.select("vec_id", "classification", r("total_risk").alias("total_risk"), r("involuntary").alias("involuntary"), r("voluntary").alias("voluntary"), "lockout", "throttle", "active_markers")
 
 
-_m = {n: f"least(100, abs(a[{2 * i + 1}]) * 300)" for i, n in enumerate(T.RISK_WEIGHTS)}
-TEMPORAL = f"""WITH {V}, m AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in _m.items())} FROM v), b AS (SELECT *, {' + '.join(f'{n} * {w}' for n, w in T.RISK_WEIGHTS.items())} AS base,
-CASE WHEN abs(a[19]) * 4 >= 0.24 AND abs(a[20]) / 5 < 0.02 AND abs(a[21]) * 100 >= 6 THEN 42 + CASE WHEN abs(a[21]) * 100 >= 10 THEN 12 ELSE 0 END + CASE WHEN abs(a[22]) * 400 >= 45 THEN 14 ELSE 0 END ELSE 0 END AS st FROM m)
-SELECT vec_id, round(greatest(least(100, base + CASE WHEN base >= 20 THEN CASE WHEN gen >= 60 THEN 10 ELSE 0 END + CASE WHEN perclos >= 50 THEN 8 ELSE 0 END ELSE 0 END), st), 5)::DOUBLE AS risk, st::DOUBLE AS stupor FROM b"""
+_made = ", ".join(f"{temporal._doubles(x)} AS {n}" for n, x in _frame(lambda i: f"a[{i + 1}]").items())
+_held = "coalesce(last_value(CASE WHEN blink_phase = 'open' AND ear_avg >= 0.22 AND face_valid AND NOT imu_gated THEN ear_avg END IGNORE NULLS) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 0.30) AS last_open_ear"
+TEMPORAL = f"""WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings), f AS (SELECT vec_id, label, {_made} FROM d)
+SELECT vec_id, classification, round(total_risk, 6) AS total_risk, round(involuntary, 6) AS involuntary, round(voluntary, 6) AS voluntary, lockout, throttle, active_markers
+FROM ({temporal.as_sql(f"SELECT *, {_held} FROM f", ingress=True)})"""
 
 
 def model_alignment(spark, sf):
@@ -228,8 +242,6 @@ def pose_solve(spark, sf):
         truth = np.array([0.004 * i, 0.01 * i - 0.2, 0.05, 10.0 + i, -5.0, 600.0 + 2 * i])
         rows_.append((i % 4, i, pose.project(truth, 900.0, (640.0, 360.0)).ravel().tolist()))
     df = spark.createDataFrame(rows_, "user_id int, us long, points array<double>")
-    from kymora.keys import Stream
-
     return X.fold(df, Stream(tie=None), pose.tracker(900.0, (640.0, 360.0)), ["points"], ["user_id", "us"])
 
 

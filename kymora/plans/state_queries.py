@@ -82,8 +82,8 @@ SELECT event_id, command FROM (SELECT *, lag(cell) OVER {OVER} AS pc FROM g) WHE
 
 
 def shock_gate(spark, sf):
-    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW / 20).cast("bigint"), "y": F.col("k") * 1.0, "z": F.lit(600.0), "rotation": F.col("k") / 4.0})
-    return X.fold(df, S, X.shock_gate(), ["us", "x", "y", "z", "rotation"], ["event_id"])
+    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW / 20).cast("bigint"), "x": F.when(F.col("kind") != "error", F.col("x") / 20), "y": F.col("k") / 50.0, "z": F.lit(600.0), "pitch": F.lit(0.0), "yaw": F.col("k") / 60.0, "roll": F.lit(0.0)})
+    return X.fold(df, S, X.shock_gate(), ["us", "x", "y", "z", "pitch", "yaw", "roll"], ["event_id"])
 
 
 def one_euro_bank(spark, sf):
@@ -92,8 +92,41 @@ def one_euro_bank(spark, sf):
 
 
 def fixation_stare(spark, sf):
-    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW).cast("bigint"), "gx": F.col("x") / 200, "gy": F.col("k") / 100, "broken": F.col("kind") == "error", "up": F.col("x") / 50})
-    return X.fold(df, S, X.stare(), ["us", "gx", "gy", "broken", "up"], ["event_id"])
+    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW * 10).cast("bigint"), "gx": F.col("x") / 200, "gy": F.col("k") / 100, "broken": F.col("kind") == "error", "up": F.col("x") / 50})
+    got = X.fold(df, S, X.stare(), ["us", "gx", "gy", "broken", "up"], ["event_id"])
+    return got.select("event_id", r("duration").alias("duration"), "rigid", "excused")
+
+
+_far = "sqrt(pow(q.gx - f.ax, 2) + pow(q.gy - f.ay, 2)) > 2.5"
+STARE = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, trunc(us / {SLOW}::DOUBLE * 10) AS u, x / 200 AS gx, k / 100.0::DOUBLE AS gy, kind = 'error' AS broken, x / 50 AS up FROM n),
+f AS (SELECT user_id, rn, event_id, u AS start, gx AS ax, gy AS ay, [gx] AS xs, [gy] AS ys, 0.0::DOUBLE AS duration, up FROM q WHERE rn = 1 UNION ALL
+SELECT user_id, rn, event_id, CASE WHEN cut THEN u ELSE start END, CASE WHEN cut THEN gx ELSE ax END, CASE WHEN cut THEN gy ELSE ay END, CASE WHEN cut THEN [gx] ELSE list_append(xs, gx)[-300:] END, CASE WHEN cut THEN [gy] ELSE list_append(ys, gy)[-300:] END, CASE WHEN cut THEN 0 ELSE (u - start) / 1e6 END, up
+FROM (SELECT q.*, f.start, f.ax, f.ay, f.xs, f.ys, q.broken OR {_far} AS cut FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)),
+g AS (SELECT *, CASE WHEN duration >= 6 AND len(xs) >= 15 THEN sqrt(list_aggregate(xs, 'var_pop') + list_aggregate(ys, 'var_pop')) END AS spread FROM f)
+SELECT event_id, round(duration, 6) AS duration, coalesce(spread < 0.8 AND NOT (spread >= 0.15 AND up >= 1.8), false) AS rigid, coalesce(spread >= 0.15 AND spread < 0.8 AND up >= 1.8, false) AS excused FROM g"""
+
+
+def saccade_dynamics(spark, sf):
+    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW).cast("bigint"), "gx": F.col("x") / 300, "gy": F.col("k") / 400.0})
+    df = df.withColumns({"left": F.col("gx") + F.col("k") / 900.0, "right": F.col("gx") - F.col("k") / 900.0, "closed": F.col("kind") == "error", "head": F.col("k") / 4.0, "socket": F.col("x") / 200, "shake": F.col("k") / 150.0, "yaw": F.col("k") / 4.0})
+    got = X.fold(df, S, X.saccade(), ["us", "gx", "gy", "left", "right", "closed", "head", "socket", "shake", "yaw"], ["event_id"])
+    return got.select("event_id", r("speed").alias("speed"), "jumping", r("latency_ms", 3).alias("latency_ms"))
+
+
+_wide = "(CASE WHEN shake > 0.2 THEN 1 + 1.2::DOUBLE * shake ELSE 1 END)"
+SACCADE = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, trunc(us / {SLOW}::DOUBLE) AS u, x / 300 AS gx, k / 400.0::DOUBLE AS gy, x / 300 + k / 900.0::DOUBLE AS l, x / 300 - k / 900.0::DOUBLE AS r, kind = 'error' AS closed, k / 4.0::DOUBLE AS head, x / 200 AS socket, k / 150.0::DOUBLE AS shake, k / 4.0::DOUBLE AS yaw FROM n),
+f AS (SELECT user_id, rn, event_id, u, gx, gy, l, r, false AS jumping, NULL::DOUBLE AS ended, false AS blinked, 0.0::DOUBLE AS speed, 0.0::DOUBLE AS latency FROM q WHERE rn = 1 UNION ALL
+SELECT user_id, rn, event_id, CASE WHEN dt <= 1e-6 THEN pu ELSE u END, CASE WHEN dt <= 1e-6 THEN px ELSE gx END, CASE WHEN dt <= 1e-6 THEN py ELSE gy END, CASE WHEN dt <= 1e-6 THEN pl ELSE l END, CASE WHEN dt <= 1e-6 THEN pr ELSE r END,
+    j2, e2, CASE WHEN dt <= 1e-6 THEN blinked WHEN dt > 0.5 THEN blinked WHEN closed THEN true ELSE false END, v,
+    CASE WHEN dt <= 1e-6 OR dt > 0.5 OR j2 OR e2 IS NULL THEN 0 ELSE (u / 1e6 - e2) * 1000 END
+FROM (SELECT *, CASE WHEN dt <= 1e-6 THEN jumping WHEN dt > 0.5 OR closed OR blinked THEN false WHEN jumping THEN NOT v < 20 ELSE v > 35 END AS j2,
+        CASE WHEN dt > 1e-6 AND jumping AND (dt > 0.5 OR closed OR (NOT blinked AND v < 20)) THEN u / 1e6 ELSE ended END AS e2
+    FROM (SELECT *, CASE WHEN dt <= 1e-6 OR dt > 0.5 OR closed OR blinked THEN 0
+            WHEN socket > 0.75 OR (head > 15 AND socket > 0.30) THEN CASE WHEN jump < greatest(0.085, 0.026::DOUBLE * {_wide}) THEN 0 ELSE greatest(0, jump * 22 / dt - 0.85::DOUBLE * head) END
+            WHEN jump < 0.026::DOUBLE * {_wide} OR sqrt(pow(gx - px, 2) + pow((gy - py) / 2, 2)) < 0.030::DOUBLE * {_wide} THEN 0 ELSE jump * 22 / dt END AS v
+        FROM (SELECT *, CASE WHEN (l - pl) * (r - pr) < -1e-4 THEN 0 WHEN abs(yaw) > 12 AND greatest(abs(l - pl), abs(r - pr)) > 2.2::DOUBLE * least(abs(l - pl), abs(r - pr)) THEN least(abs(l - pl), abs(r - pr)) ELSE abs(gx - px) END AS jump
+            FROM (SELECT q.*, f.u AS pu, f.gx AS px, f.gy AS py, f.l AS pl, f.r AS pr, f.jumping, f.ended, f.blinked, q.u / 1e6 - f.u / 1e6 AS dt FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)))))
+SELECT event_id, round(speed, 6) AS speed, jumping, round(latency, 3) AS latency_ms FROM f"""
 
 
 def pose_jump_rejection(spark, sf):
@@ -129,18 +162,37 @@ SELECT event_id, round(y, 5) AS filtered FROM f"""
 
 
 def vor_gain(spark, sf):
-    df = e(spark, sf).withColumns({"eye": -F.col("x") / 40, "head": F.col("k") / 12.0, "speed": F.col("x") / 20})
-    return X.fold(df, S, X.vor_gain(), ["eye", "head", "speed"], ["event_id"])
+    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW).cast("bigint"), "eye": -F.col("x") / 40, "yaw": F.col("k") / 12.0, "pitch": F.col("x") / 20, "open": F.col("kind") != "error"})
+    return X.fold(df, S, X.vor_gain(), ["us", "eye", "yaw", "pitch", "open"], ["event_id"])
+
+
+VOR = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, trunc(us / {SLOW}::DOUBLE) AS u, -x / 40 AS eye, k / 12.0::DOUBLE AS yaw, x / 20 AS pitch, kind <> 'error' AS is_open FROM n),
+f AS (SELECT user_id, rn, event_id, u, eye, yaw, 1.0::DOUBLE AS gain, []::DOUBLE[] AS ratios FROM q WHERE rn = 1 UNION ALL
+SELECT user_id, rn, event_id, u, eye, yaw,
+    CASE WHEN ratio IS NOT NULL THEN list_median(list_append(ratios, ratio)[-30:]) WHEN NOT ok OR (abs(turned) > 0.45 AND abs(turned) < 8) THEN gain WHEN abs(turned) / dt >= 2 AND abs(turned) / dt <= 25 THEN CASE WHEN -moved / turned > 0.05 THEN 0.85::DOUBLE * gain + 0.15::DOUBLE * least(2, -moved / turned) ELSE gain END ELSE gain END,
+    CASE WHEN ratio IS NULL THEN ratios ELSE list_append(ratios, ratio)[-30:] END
+FROM (SELECT *, CASE WHEN ok AND abs(turned) > 0.45 AND abs(turned) < 8 THEN CASE WHEN abs(moved) > 0.20 THEN greatest(0, least(2, -moved / turned)) WHEN abs(moved) <= 0.15 AND abs(turned) > 1.5 THEN 0 END END AS ratio
+    FROM (SELECT q.*, f.gain, f.ratios, (q.u - f.u) / 1e6 AS dt, q.eye - f.eye AS moved, (q.yaw - f.yaw + 180) - 360 * floor((q.yaw - f.yaw + 180) / 360) - 180 AS turned, q.pitch <= 12 AND (q.u - f.u) / 1e6 > 1e-6 AND q.is_open AS ok FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)))
+SELECT event_id, round(gain, 4) AS gain FROM f"""
 
 
 def blink_phase(spark, sf):
-    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW / 20).cast("bigint"), "ear": F.least(F.lit(0.4), F.col("x") / 300)})
+    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW / 3).cast("bigint"), "ear": F.least(F.lit(0.4), F.col("x") / 300)})
     return X.fold(df, S, X.blink_phase(), ["us", "ear"], ["event_id"])
 
 
 def baseline_lock(spark, sf):
     df = e(spark, sf).withColumn("open", F.col("kind") != "error")
-    return X.fold(df, S, X.locked_baseline(15, 165.0, 0.004, 0.18), ["x", "open"], ["event_id"])
+    got = X.fold(df, S, X.locked_baseline(15, 165.0, 0.004, 0.18), ["x", "open"], ["event_id"])
+    return got.select("event_id", r("baseline").alias("baseline"), r("delta").alias("delta"))
+
+
+BASELINE = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT *, kind <> 'error' AS is_open FROM n),
+f AS (SELECT user_id, rn, event_id, x, NULL::DOUBLE AS base, CASE WHEN x < 165 THEN [x] ELSE []::DOUBLE[] END AS seen FROM q WHERE rn = 1 UNION ALL
+SELECT q.user_id, q.rn, q.event_id, q.x, CASE WHEN f.base IS NOT NULL THEN CASE WHEN q.is_open AND abs(q.x - f.base) <= 0.18::DOUBLE * f.base THEN 0.004::DOUBLE * q.x + 0.996::DOUBLE * f.base ELSE f.base END WHEN q.x < 165 AND len(f.seen) = 14 THEN list_median(list_append(f.seen, q.x)) END,
+    CASE WHEN f.base IS NOT NULL OR len(f.seen) = 15 THEN f.seen WHEN q.x < 165 THEN list_append(f.seen, q.x) ELSE f.seen END
+FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)
+SELECT event_id, round(base, 6) AS baseline, round(x / base - 1, 6) AS delta FROM f"""
 
 
 def noise_floor(spark, sf):
@@ -206,12 +258,13 @@ QUERIES = {
     "change_only_sink": (change_only_sink, CHANGE),
     "shock_gate": (shock_gate, None),
     "one_euro_bank": (one_euro_bank, EURO),
-    "fixation_stare": (fixation_stare, None),
+    "fixation_stare": (fixation_stare, STARE),
+    "saccade_dynamics": (saccade_dynamics, SACCADE),
     "pose_jump_rejection": (pose_jump_rejection, JUMP),
     "roi_tracker": (roi_tracker, ROI),
-    "vor_gain": (vor_gain, None),
+    "vor_gain": (vor_gain, VOR),
     "blink_phase": (blink_phase, None),
-    "baseline_lock": (baseline_lock, None),
+    "baseline_lock": (baseline_lock, BASELINE),
     "noise_floor": (noise_floor, NOISE),
     "angle_oscillation": (angle_oscillation, OSCILLATION),
     "crop_hysteresis": (crop_hysteresis, HYSTERESIS_CROP),

@@ -261,3 +261,100 @@ def test_rolling_model_holds_and_clears():
         state, got = m.step(state, row)
         out.append(got[0])
     assert out == [None, None, None, 9, 9, 9, None, None]
+
+
+def run_machine(machine, rows):
+    state, out = machine.first, []
+    for row in rows:
+        state, got = machine.step(state, row)
+        out.append(got)
+    return out
+
+
+def test_shock_gate_keeps_its_past_over_two_missing_poses():
+    pose = lambda i, x: (i * 33_000, x, 0.0, 600.0, 0.0, 0.0, 0.0)
+    gone = lambda i: (i * 33_000, *[None] * 6)
+    short = run_machine(X.shock_gate(), [pose(0, 0.0), pose(1, 0.0), gone(2), pose(3, 80.0), pose(4, 80.0)])
+    assert short[3][1]
+    long = run_machine(X.shock_gate(), [pose(0, 0.0), pose(1, 0.0), gone(2), gone(3), gone(4), pose(5, 80.0), pose(6, 80.0)])
+    assert not any(r[1] for r in long)
+    turning = run_machine(X.shock_gate(), [(i * 33_000, 80.0 * (i > 3), 0.0, 600.0, 0.0, 5.0 * i, 0.0) for i in range(8)])
+    assert not any(r[1] for r in turning)
+
+
+def test_shock_gate_caps_frozen_time_and_notices_shaking():
+    out = run_machine(X.shock_gate(), [(i * 33_000, 90.0 * (i // 6 % 2), 0.0, 600.0, 0.0, 0.0, 0.0) for i in range(120)])
+    assert any(r[2] for r in out) and sum(r[1] for r in out[60:]) / 60 < 0.5
+    shaky = run_machine(X.shock_gate(), [(i * 33_000, 6.0 * math.sin(i * 1.3), 0.0, 600.0, 0.0, 0.0, 0.0) for i in range(60)])
+    assert shaky[-1][3] and not run_machine(X.shock_gate(), [(i * 33_000, 1.0, 0.0, 600.0, 0.0, 0.0, 0.0) for i in range(60)])[-1][3]
+
+
+def test_evidence_takes_reflexes_and_voice():
+    one = lambda *row: run_machine(X.evidence(), [row])[0][0] - math.log(0.01 / 0.99)
+    assert math.isclose(one(0, 50.0, True, True, False), 0.033)
+    assert math.isclose(one(0, 50.0, True, True, False, 50.0, False, True, True, None), 2.5 * 0.033)
+    assert math.isclose(one(0, 25.0, True, False, False, 25.0, False, False, False, 80.0), (0.28 - 0.40) * 0.033)
+    assert math.isclose(one(0, 8.0, True, False, False, 30.0, False), -0.40 * 0.033) and math.isclose(one(0, 8.0, True, False, False), -1.25 * 0.033)
+
+
+def test_saccades_need_a_jump_of_both_eyes():
+    still = (0.0, 0.0, 0.0, 0.0, False, 0.0, 0.0, 0.0, 0.0)
+    at = lambda i, x, **k: (i * 33_000, x, 0.0, k.get("left", x), k.get("right", x), k.get("closed", False), 0.0, 0.0, 0.0, 0.0)
+    out = run_machine(X.saccade(), [(0, *still), at(1, 0.1), at(2, 0.101), at(3, 0.101)])
+    assert math.isclose(out[1][0], 0.1 * 22 / 0.033) and out[1][1] and not out[2][1] and math.isclose(out[3][2], 33.0)
+    assert run_machine(X.saccade(), [(0, *still), at(1, 0.1, left=0.2, right=-0.2)])[1][0] == 0
+    blinked = run_machine(X.saccade(), [(0, *still), at(1, 0.1), at(2, 0.3, closed=True), at(3, 0.6), at(4, 0.6)])
+    assert not any(r[1] for r in blinked[2:]) and blinked[3][0] == 0
+
+
+def test_vor_gain_is_the_median_of_step_ratios():
+    steps = [(0.9, True), (1.0, True), (0.8, True)]
+    rows, eye, yaw = [(0, 0.0, 0.0, 0.0, True)], 0.0, 0.0
+    for i, (ratio, is_open) in enumerate(steps):
+        eye, yaw = eye - 2 * ratio, yaw + 2
+        rows.append(((i + 1) * 33_000, eye, yaw, 0.0, is_open))
+    assert [r[0] for r in run_machine(X.vor_gain(), rows)] == [1.0, 0.9, 0.95, 0.9]
+    assert run_machine(X.vor_gain(), [(0, 0.0, 0.0, 0.0, True), (33_000, 0.0, 2.0, 0.0, True)])[-1] == (0.0,)
+    assert run_machine(X.vor_gain(), [(0, 0.0, 0.0, 0.0, True), (33_000, 0.0, 2.0, 20.0, True)])[-1] == (1.0,)
+
+
+def test_blink_speeds():
+    fast = [0.3] * 20 + [0.22, 0.12, 0.08, 0.14, 0.24, 0.3, 0.3, 0.3]
+    slow = [0.3] * 20 + [0.22, 0.12, 0.08, 0.09, 0.10, 0.16, 0.18, 0.20, 0.22, 0.26, 0.27]
+    last = lambda ears: run_machine(X.blink_phase(), [(i * 33_000, e) for i, e in enumerate(ears)])[-1]
+    assert last(fast)[0] == "open" and last(fast)[2] > last(slow)[2] > 0 and last(fast)[1] > 1.5
+    aborted = run_machine(X.blink_phase(), [(i * 33_000, e) for i, e in enumerate([0.3] * 20 + [0.27, 0.29, 0.3, 0.3])])
+    assert "closing" in [r[0] for r in aborted] and aborted[-1] == ("open", 0.0, 0.0)
+    gap = run_machine(X.blink_phase(), [(0, 0.3), (33_000, 0.3), (900_000, 0.1), (933_000, 0.1)])
+    assert [r[0] for r in gap] == ["open"] * 4
+
+
+def test_stare_excuses_a_waking_gaze():
+    rows = lambda up, wobble: [(i * 100_000, wobble * (i % 2), 0.0, False, up) for i in range(80)]
+    assert run_machine(X.stare(), rows(0.0, 0.6))[-1][1:] == (True, False) and run_machine(X.stare(), rows(2.0, 0.6))[-1][1:] == (False, True)
+    assert run_machine(X.stare(), rows(0.0, 2.0))[-1][1:] == (False, False)
+
+
+AWAKE = {"ear_avg": 0.30, "gaze_yaw_dispersion": 0.08, "blink_opening_velocity": 2.5, "mar": 0.05}
+#: Frames and (class, total, involuntary, voluntary) worked out by hand from the weights.
+SCORED = [
+    ({}, ("SOBER", 0.0, 0.0, 0.0)),
+    ({"imu_gated": True, "gen_detected": True}, ("INSUFFICIENT_DATA", 0.0, 0.0, 0.0)),
+    ({"gen_detected": True}, ("SOBER", 21.6, 21.6, 0.0)),
+    ({"gen_detected": True, "head_postural_sway": 1.5}, ("MILD_IMPAIRMENT", 26.6, 26.6, 0.0)),
+    ({"gen_detected": True, "lack_of_convergence": True, "microsleep_detected": True, "perclos": 0.35, "pursuit_fragmentation_ratio": 0.35, "blink_opening_velocity": 1.0, "gaze_yaw_dispersion": 0.02, "ear_avg": 0.2}, ("HIGH_RISK_INTOXICATED", 85.25, 85.25, 0.0)),
+    ({"ml_probability": 0.8}, ("SOBER", 12.0, 12.0, 0.0)),
+    ({"ml_probability": 0.8, "gen_detected": True}, ("MILD_IMPAIRMENT", 44.96, 44.96, 0.0)),
+    ({"deliberate_blink_suppression": True, "eyeball_tremor_hz": 5.0, "eyelid_tremor_hz": 3.0, "gaze_yaw_dispersion": 0.02, "blink_opening_velocity": 0.0, "mar": 0.3, "head_postural_sway": 0.7, "ear_avg": 0.2}, ("HIGH_RISK_INTOXICATED", 54.0, 54.0, 70.0)),
+    ({"compensatory_stare_active": True, "deliberate_blink_suppression": True, "gaze_yaw_dispersion": 0.025, "blink_opening_velocity": 1.4, "stare_fixation_duration_s": 4.0, "ear_avg": 0.24}, ("HIGH_RISK_INTOXICATED", 62.0, 62.0, 72.5)),
+    ({"gen_detected": True, "voluntary_eye_widening": True, "perclos": 0.09, "audio_valid": True, "voice_slurred_detected": True, "voice_impairment_score": 90.0, "head_postural_sway": 1.5}, ("MILD_IMPAIRMENT", 36.6, 36.6, 75.0)),
+]
+
+
+@pytest.mark.parametrize("frame, want", SCORED)
+def test_temporal_score(spark, frame, want):
+    from kymora.operators import temporal
+
+    got = temporal.temporal_score(spark.range(1).select("id", *[F.lit(v).alias(n) for n, v in (AWAKE | frame).items()]), ["id"]).first()
+    assert (got["classification"], *(round(got[c], 6) for c in ("total_risk", "involuntary", "voluntary"))) == want
+    assert got["lockout"] == (want[0] == "HIGH_RISK_INTOXICATED") and bool(got["markers"]) == (want[0] != "INSUFFICIENT_DATA")
