@@ -142,7 +142,7 @@ def stages(open_ear: float = 0.28, ingress: bool = False, fps: float = 30.0) ->
 OUTPUTS = ("classification", "total_risk", "involuntary", "voluntary", "lockout", "throttle", "confidence", "active_markers")
 
 
-def _doubles(sql: str) -> str:
+def doubles(sql: str) -> str:
     """Numbers with a point as doubles, which both engines read an exponent as."""
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql)
 
@@ -159,9 +159,9 @@ def temporal_score(df: DataFrame, keep: list[str], **settings) -> DataFrame:
     A row without a valid face, or gated, is INSUFFICIENT_DATA with zeros and no markers; a null input counts as absent.
     """
     have = set(df.columns)
-    df = df.withColumns({n: F.coalesce(F.col(n), F.expr(_doubles(d))) if n in have else F.expr(_doubles(d)) for n, d in INPUTS.items()})
+    df = df.withColumns({n: F.coalesce(F.col(n), F.expr(doubles(d))) if n in have else F.expr(doubles(d)) for n, d in INPUTS.items()})
     for stage in stages(**settings):
-        df = df.withColumns({n: F.expr(_doubles(sql)) for n, sql in stage.items()})
+        df = df.withColumns({n: F.expr(doubles(sql)) for n, sql in stage.items()})
     scores = F.create_map(*[x for n in LADDERS for x in (F.lit(n), F.col(f"m_{n}"))], F.lit("masking_divergence"), F.col("masking_divergence_score"), F.lit("catatonic_stupor"), F.col("stupor"))
     return df.select(*keep, *OUTPUTS, F.when(F.col("observed"), scores).otherwise(F.map_filter(scores, lambda k, v: F.lit(False))).alias("markers"))
 
@@ -169,5 +169,5 @@ def temporal_score(df: DataFrame, keep: list[str], **settings) -> DataFrame:
 def as_sql(source: str, **settings) -> str:
     """The stages as nested selects over a query that has all columns of INPUTS."""
     for stage in stages(**settings):
-        source = f"SELECT *, {', '.join(f'{_doubles(sql)} AS {n}' for n, sql in stage.items())} FROM ({source})"
+        source = f"SELECT *, {', '.join(f'{doubles(sql)} AS {n}' for n, sql in stage.items())} FROM ({source})"
     return source

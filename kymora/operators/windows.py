@@ -257,3 +257,9 @@ def resample(df: DataFrame, keys: list[str], pos: str, x: str, target: int) -> D
     a = F.get("__a", left)["v"]
     b = F.get("__a", F.least(left + 1, F.size("__a") - 1))["v"]
     return got.select(*keys, "place", (a + (b - a) * (at - left)).alias(x))
+
+
+def first_rows(df: DataFrame, subject: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each subject with their number, from 1: a window group limit, so no more than that are sorted on."""
+    w = Window.partitionBy(*subject).orderBy(*order)
+    return df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)

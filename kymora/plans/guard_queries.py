@@ -98,7 +98,7 @@ _SIZES = {"ear_avg": (0, 2.0, 0.1), "mar": (1, 2.0, 0.0), "perclos": (2, 1.2, 0.
 _FLAGS = {"imu_gated": 23, "flushing_valid": 3, "rppg_valid": 2, "gen_detected": 7, "lack_of_convergence": 11, "microsleep_detected": 13, "deliberate_blink_suppression": 4, "compensatory_stare_active": 5, "rigid_head_stabilization": 6, "frontalis_compensation_active": 8, "masking_detected": 9, "voluntary_eye_widening": 10, "highway_fixation_exempt": 12, "speech_active": 14, "yawn_detected": 15, "audio_valid": 2, "voice_slurred_detected": 4}
 
 
-def _frame(at) -> dict[str, str]:
+def frame_columns(at) -> dict[str, str]:
     """Frame columns as SQL over (vec_id, a); ``at`` writes the n-th number, from 0."""
     out = {n: f"{x} + abs({at(i)}) * {k}" for n, (i, k, x) in _SIZES.items()} | {n: f"vec_id % {m} = 1" for n, m in _FLAGS.items()}
     out["blink_opening_velocity"] = f"CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE abs({at(6)}) * 16.0 END"
@@ -108,12 +108,12 @@ def _frame(at) -> dict[str, str]:
 
 def temporal_risk(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("subject"), F.col("embedding").cast("array<double>").alias("a"))
-    df = df.withColumns({n: F.expr(temporal._doubles(x)) for n, x in _frame(lambda i: f"a[{i}]").items()})
+    df = df.withColumns({n: F.expr(temporal.doubles(x)) for n, x in frame_columns(lambda i: f"a[{i}]").items()})
     got = temporal.temporal_score(temporal.with_open_ear(df, Stream(("subject",), "vec_id", None)), ["vec_id"], ingress=True)
     return got.select("vec_id", "classification", r("total_risk").alias("total_risk"), r("involuntary").alias("involuntary"), r("voluntary").alias("voluntary"), "lockout", "throttle", "active_markers")
 
 
-_made = ", ".join(f"{temporal._doubles(x)} AS {n}" for n, x in _frame(lambda i: f"a[{i + 1}]").items())
+_made = ", ".join(f"{temporal.doubles(x)} AS {n}" for n, x in frame_columns(lambda i: f"a[{i + 1}]").items())
 _held = "coalesce(last_value(CASE WHEN blink_phase = 'open' AND ear_avg >= 0.22 AND face_valid AND NOT imu_gated THEN ear_avg END IGNORE NULLS) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 0.30) AS last_open_ear"
 TEMPORAL = f"""WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings), f AS (SELECT vec_id, label, {_made} FROM d)
 SELECT vec_id, classification, round(total_risk, 6) AS total_risk, round(involuntary, 6) AS involuntary, round(voluntary, 6) AS voluntary, lockout, throttle, active_markers
