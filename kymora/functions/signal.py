@@ -84,10 +84,72 @@ def band_power(a: Column, n: int, rate: float, low: float, high: float) -> Colum
     return F.when(rms(without_mean(a)) < 0.002, 0.0).otherwise(power)
 
 
-def perturbation(a: Column) -> Column:
-    """Mean deviation of a value from the mean of itself and its neighbours, over the mean, in percent."""
-    dev = F.transform(F.sequence(F.lit(1), F.size(a) - 2), lambda i: F.abs(F.get(a, i) - (F.get(a, i - 1) + F.get(a, i) + F.get(a, i + 1)) / 3))
-    return F.when(F.size(a) >= 3, 100 * mean(dev) / mean(a))
+def quantile_of(a: Column, q: float) -> Column:
+    """Linear quantile of an array's values; null for an empty one."""
+
+    def body(s: Column) -> Column:
+        at = (F.size(s) - 1) * q
+        low = F.floor(at).cast("int")
+        high = F.least(low + 1, F.size(s) - 1)
+        return F.when(F.size(s) > 0, F.get(s, low) + (at - low) * (F.get(s, high) - F.get(s, low)))
+
+    return bound(F.sort_array(a), body)
+
+
+def perturbation(a: Column, places: Column, low: float, high: float, default: float, step: float | None = None) -> Column:
+    """How values of voiced frames waver, in percent of their mean: the median deviation from the mean of three neighbours.
+
+    Frames are neighbours up to two hops apart; at a run's end the step before counts by 0.65. ``step`` leaves out octave
+    jumps. With fewer than two such values all steps count, and ``default`` stands for a single frame.
+    """
+
+    def body(b: Column) -> Column:
+        x, at, m = b["x"], b["at"], b["m"]
+        near = lambda i: F.get(at, i) - F.get(at, i - 1) <= 2
+        moved = lambda i: F.abs(F.get(x, i) - F.get(x, i - 1))
+        local = lambda i: F.abs(F.get(x, i) - (F.get(x, i - 1) + F.get(x, i) + F.get(x, i + 1)) / 3)
+        counts = lambda i: near(i) if step is None else near(i) & (moved(i) / F.greatest(m, F.lit(1e-6)) < step)
+        each = lambda i: F.when(counts(i), F.when((i + 1 < F.size(x)) & F.coalesce(near(i + 1), F.lit(False)), local(i)).otherwise(0.65 * moved(i)))
+        steps = F.sequence(F.lit(1), F.size(x) - 1)
+        kept = F.filter(F.transform(steps, each), lambda v: v.isNotNull())
+        value = bound(kept, lambda k: F.when(F.size(k) >= 2, quantile_of(k, 0.5)).otherwise(quantile_of(F.transform(steps, moved), 0.5)))
+        return F.when((F.size(x) >= 2) & (m > 1e-6), 100 * value / m).otherwise(default)
+
+    raw = bound(F.struct(a.alias("x"), places.alias("at"), mean(a).alias("m")), body)
+    return F.greatest(F.lit(low), F.least(F.lit(high), raw))
+
+
+def jitter(periods: Column, places: Column) -> Column:
+    return perturbation(periods, places, 0.05, 10.0, 0.35, step=0.18)
+
+
+def shimmer(peaks: Column, places: Column) -> Column:
+    return perturbation(peaks, places, 0.1, 25.0, 1.5)
+
+
+def voiced_hnr(correlations: Column, live: bool = False) -> Column:
+    """Harmonics to noise in dB from the 70 % quantile of the voiced frames' autocorrelations."""
+    r = quantile_of(F.transform(correlations, lambda v: F.least(v, F.lit(0.995))), 0.7)
+    db = bound(r, lambda x: 10 * F.log10(x / F.greatest(F.lit(1e-4), 1 - x))) + (3.0 if live else 0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(35.0), db))
+
+
+def formant_slope(centroids: Column, hop_ms: float = 16.0) -> Column:
+    """How fast the second formant moves, in Hz a millisecond; 22 for fewer than five frames."""
+
+    def body(smooth: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(1), F.size(smooth) - 1), lambda i: F.abs(F.get(smooth, i) - F.get(smooth, i - 1)))
+        return bound(steps, lambda d: F.coalesce(quantile_of(F.filter(d, lambda v: v > 5), 0.65), mean(d)))
+
+    raw = bound(bound(centroids, median3), body) / hop_ms * 2
+    return F.when(F.size(centroids) < 5, 22.0).otherwise(F.greatest(F.lit(2.0), F.least(F.lit(45.0), raw)))
+
+
+def slurred(jitter_: Column, shimmer_: Column, hnr: Column, slope: Column, score: Column, lips: Column, rms_: Column, voiced: Column, live: bool = False) -> Column:
+    """Two of four signs, a score of 45, moving lips, a loud signal and enough voiced frames."""
+    signs = sum(c.cast("int") for c in (jitter_ > 1.35, shimmer_ > 4.20, hnr < 11.5, slope < 12.0))
+    enough = (voiced >= 8) & (jitter_ >= 1.25) if live else voiced >= 5
+    return lips & (rms_ >= 0.010) & enough & (signs >= 2) & (score >= 45)
 
 
 def median3(a: Column) -> Column:
@@ -124,6 +186,12 @@ def telemetry_score(jitter: Column, shimmer: Column, hnr: Column, slope: Column)
     return score, (score >= 45) & (sum(((r > 35).cast("int") for r, _ in ramps[1:]), (ramps[0][0] > 35).cast("int")) >= 2)
 
 
+def pushed(chunk: Column, ring: Column, most: int, largest: float = 1.0) -> Column:
+    """A ring of samples with a chunk appended, as fractions of its type's largest: the last ``most`` of them."""
+    both = F.concat(ring, to_mono(chunk, largest))
+    return F.slice(both, F.greatest(F.lit(1), F.size(both) - most + 1), F.lit(most))
+
+
 def to_mono(a: Column, largest: float) -> Column:
     """Integer samples as fractions of their type's largest."""
     return F.transform(a, lambda v: v.cast("double") / largest)

@@ -350,7 +350,7 @@ def middle(values) -> float:
     return (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
 
 
-def vor_gain() -> Machine:
+def vor_gain(digits: int = 4) -> Machine:
     """Eye against head movement; inputs (us, eye, yaw, pitch in degrees, open).
 
     Steps of the head from 0.45 to 8 degrees give ratios, whose last 30 have the gain as median: 0 where the eye stands
@@ -371,7 +371,7 @@ def vor_gain() -> Machine:
             elif 2 <= abs(turned) / dt <= 25 and -moved / turned > 0.05:
                 gain = 0.85 * gain + 0.15 * min(2.0, -moved / turned)
         gain = max(0.0, min(2.0, gain))
-        return (gain, ratios, (us, eye, yaw)), (round(gain, 4),)
+        return (gain, ratios, (us, eye, yaw)), (round(gain, digits),)
 
     return Machine(step, None, "gain double")
 

@@ -26,18 +26,36 @@ def by_threshold(df: DataFrame, y: str, score: str, keys: tuple[str, ...] = ())
     return df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n"))
 
 
+def running(d: DataFrame, keys: tuple[str, ...], order: str, sums: dict[str, str], parts: int = 128) -> DataFrame:
+    """``d`` with running sums, each row's own included, in ascending ``order`` (distinct within keys): ``{column: name of its sum}``.
+
+    Rows lie in ``parts`` ranges of ``order``; one row per range gives the sums before it, so no window spans a key.
+    """
+    cuts = sorted(set(d.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0] or []))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    d = d.withColumn("__part", place)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    totals = totals.select(*keys, "__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    within = Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "__part")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    got = d.withColumns({f"__in_{c}": F.sum(c).over(within) for c in sums}).alias("l").join(totals.alias("r"), on)
+    return got.select(*[F.col(f"l.{c}") for c in d.columns if c != "__part"], *[(F.col(f"l.__in_{c}") + F.col(f"r.__{c}")).alias(name) for c, name in sums.items()])
+
+
 def roc_auc(df: DataFrame, y: str, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half."""
-    w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = by_threshold(df, y, score, keys).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return d.groupBy(*keys).agg(ratio(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("roc_auc"))
+    d = running(by_threshold(df, y, score, keys), keys, "s", {"n": "upto"})
+    return d.groupBy(*keys).agg(ratio(F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, y: str, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sum of recall steps times precision over distinct thresholds, highest first."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    d = by_threshold(df, y, score, keys).withColumns({"tp": F.sum("p").over(w), "all": F.sum(F.col("p") + F.col("n")).over(w)})
-    return d.groupBy(*keys).agg(ratio(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p")).alias("average_precision"))
+    d = running(by_threshold(df, y, score, keys).withColumn("down", -F.col("s")), keys, "down", {"p": "tp", "n": "fp"})
+    return d.groupBy(*keys).agg(ratio(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("p")).alias("average_precision"))
 
 
 def youden(df: DataFrame, y: str, score: str, low: int = 10, high: int = 85) -> DataFrame:
@@ -65,32 +83,48 @@ def cohens_d(df: DataFrame, y: str, features: list[str]) -> DataFrame:
     return got.select("feature", F.when(pooled > 1e-6, F.abs(F.col("m1") - F.col("m0")) / F.sqrt(pooled)).otherwise(0.0).alias("d"))
 
 
-def group_folds(counts: list[tuple[str, int, int]], k: int) -> dict[str, int]:
+def fold_plan(kinds: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int, int, int]]:
     """Folds of whole groups that keep the classes' shares even: greedy, most uneven groups first.
 
-    ``counts`` has (group, negatives, positives), one entry per subject; raises if a fold would lack a class.
+    ``kinds`` has (negatives, positives, number of such groups); groups of one kind are alike, so the plan says how many of
+    them go where: (negatives, positives, fold, from, to). Raises if a fold would lack a class.
     """
-    k = min(k, len(counts))
-    totals = [max(1, sum(c[i] for c in counts)) for i in (1, 2)]
-    folds = [[0, 0] for _ in range(k)]
-    out: dict[str, int] = {}
-    uneven = lambda c: abs(c[1] - c[2])
-    for name, n, p in sorted(counts, key=lambda c: (-uneven(c), -c[1] - c[2], str(c[0]))):
-        def spread(j: int, n=n, p=p) -> tuple[float, int]:
-            cost = 0.0
-            for c, total, add in ((0, totals[0], n), (1, totals[1], p)):
-                shares = [(f[c] + (add if i == j else 0)) / total for i, f in enumerate(folds)]
-                mean = sum(shares) / k
-                cost += (sum((s - mean) ** 2 for s in shares) / k) ** 0.5
-            return cost, sum(folds[j])
-
-        j = min(range(k), key=spread)
-        out[name] = j
-        folds[j][0] += n
-        folds[j][1] += p
+    k = min(k, sum(m for *_, m in kinds))
+    totals = [max(1, sum(kind[i] * kind[2] for kind in kinds)) for i in (0, 1)]
+    folds, plan = [[0, 0] for _ in range(k)], []
+    for n, p, m in sorted(kinds, key=lambda x: (-abs(x[0] - x[1]), -x[0] - x[1], x)):
+        taken = [0] * k
+        for _ in range(m):
+            def spread(j: int, n=n, p=p) -> tuple[float, int]:
+                cost = 0.0
+                for c, total, add in ((0, totals[0], n), (1, totals[1], p)):
+                    shares = [(f[c] + (add if i == j else 0)) / total for i, f in enumerate(folds)]
+                    mean = sum(shares) / k
+                    cost += (sum((s - mean) ** 2 for s in shares) / k) ** 0.5
+                return cost, sum(folds[j])
+
+            j = min(range(k), key=spread)
+            taken[j] += 1
+            folds[j][0] += n
+            folds[j][1] += p
+        at = 0
+        for j, some in enumerate(taken):
+            if some:
+                plan.append((n, p, j, at, at + some))
+            at += some
     if any(0 in f for f in folds):
         raise ValueError("a validation fold holds one class only")
-    return out
+    return plan
+
+
+def group_folds(df: DataFrame, y: str, group: str, k: int) -> DataFrame:
+    """(group, fold) by ``fold_plan``: only the distinct pairs of class counts come to the driver, never the groups."""
+    counts = df.groupBy(group).agg(F.count_if(F.col(y) == 0).alias("__n"), F.count_if(F.col(y) == 1).alias("__p"))
+    kinds = [tuple(r) for r in counts.groupBy("__n", "__p").count().collect()]
+    plan = df.sparkSession.createDataFrame(fold_plan(kinds, k), "__n long, __p long, fold int, __from long, __to long")
+    nth = F.row_number().over(Window.partitionBy("__n", "__p").orderBy(F.xxhash64(group), group)) - 1
+    placed = counts.withColumn("__i", nth).join(F.broadcast(plan), ["__n", "__p"])  # a row per kind and fold at most
+    return placed.where((F.col("__i") >= F.col("__from")) & (F.col("__i") < F.col("__to"))).select(group, "fold")
 
 
 def downsample_by_subject(df: DataFrame, y: str, subject: str, row_id: str, above: float = 1.5, to: float = 1.25, seed: int = 42) -> DataFrame:

@@ -143,20 +143,38 @@ b AS (SELECT vec_id, list_max(c) AS r, (list_position(c, list_max(c)) + 3)::INT
 SELECT vec_id, lag, round(r, 6) AS r, r >= 0.12 AS voiced, round(CASE WHEN least(r, 0.995) <= 0 THEN 0 ELSE greatest(0, least(35, 10 * log10(least(r, 0.995) / (1 - least(r, 0.995))))) END, 6) AS hnr FROM b"""
 
 
+def _voiced(a):
+    """Voiced frames made of a vector: (periods, peaks, places, correlations, centroids); every fifth frame is missing."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(39)), lambda i: (i % 5 != 0) | (F.get(a, 0) > 0))
+    some = lambda f: F.transform(places, lambda i: f(F.get(a, i)))
+    return some(lambda v: 0.008 + v / 200), some(lambda v: F.abs(v) + 0.2), places, some(lambda v: 0.7 + F.abs(v)), some(lambda v: 1500 + 900 * v)
+
+
 def jitter_shimmer(spark, sf):
-    periods = F.transform("a", lambda v: v + 2.0)
-    amps = F.transform("a", lambda v: F.abs(v) + 0.5)
-    smooth = D.bound(F.col("a"), D.median3)
-    return vectors(spark, sf).select("vec_id", r(D.bound(periods, D.perturbation)).alias("jitter"), r(D.bound(amps, D.perturbation)).alias("shimmer"), r(F.get(smooth, 0)).alias("first"), r(D.mean(smooth)).alias("smooth"))
+    periods, peaks, places, corr, cents = _voiced(F.col("a"))
+    got = vectors(spark, sf).select("vec_id", D.jitter(periods, places).alias("j"), D.shimmer(peaks, places).alias("s"), D.voiced_hnr(corr).alias("h"), D.formant_slope(cents).alias("f"), F.size(places).alias("n"))
+    score = D.voice_score(F.col("j"), F.col("s"), F.col("h"), F.col("f"))
+    said = D.slurred(F.col("j"), F.col("s"), F.col("h"), F.col("f"), score, F.col("vec_id") % 3 > 0, F.lit(0.02), F.col("n"))
+    return got.select("vec_id", r("j").alias("jitter"), r("s").alias("shimmer"), r("h").alias("hnr"), r("f").alias("slope"), r(score, 5).alias("score"), said.alias("slurred"))
 
 
-def _perturb(f: str) -> str:
-    p = f"list_transform(a, lambda v: {f})"
-    return f"100 * list_sum(list_transform(range(2, 64), lambda i: abs(p[i] - (p[i - 1] + p[i] + p[i + 1]) / 3))) / 62 / (list_sum(p) / 64)".replace("p[", f"({p})[").replace("list_sum(p)", f"list_sum({p})")
+def _perturb(x: str, m: str, step: str) -> str:
+    """The median deviation of list ``x`` at places ``p``, in percent of ``m``."""
+    each = f"CASE WHEN p[i] - p[i - 1] <= 2 {step} THEN CASE WHEN i < len({x}) AND p[i + 1] - p[i] <= 2 THEN abs({x}[i] - ({x}[i - 1] + {x}[i] + {x}[i + 1]) / 3) ELSE 0.65::DOUBLE * abs({x}[i] - {x}[i - 1]) END END"
+    kept = f"list_filter(list_transform(range(2, len({x}) + 1), lambda i: {each}), lambda v: v IS NOT NULL)"
+    return f"100 * CASE WHEN len({kept}) >= 2 THEN list_median({kept}) ELSE list_median(list_transform(range(2, len({x}) + 1), lambda i: abs({x}[i] - {x}[i - 1]))) END / {m}"
 
 
-JITTER_SHIMMER = f"""WITH {V}, s AS (SELECT *, list_transform(range(1, 65), lambda i: list_sort([CASE WHEN i > 1 THEN a[i - 1] ELSE 0 END, a[i], CASE WHEN i < 64 THEN a[i + 1] ELSE 0 END])[2]) AS m FROM v)
-SELECT vec_id, round({_perturb('v + 2.0')}, 6) AS jitter, round({_perturb('abs(v) + 0.5')}, 6) AS shimmer, round(m[1], 6) AS first, round(list_sum(m) / 64, 6) AS smooth FROM s"""
+JITTER_SHIMMER = f"""WITH {V}, p AS (SELECT *, list_filter(range(0, 40), lambda i: i % 5 <> 0 OR a[1] > 0) AS p FROM v),
+x AS (SELECT vec_id, p, list_transform(p, lambda i: 0.008::DOUBLE + a[i + 1] / 200) AS t, list_transform(p, lambda i: abs(a[i + 1]) + 0.2) AS k, list_sort(list_transform(p, lambda i: least(0.995, 0.7 + abs(a[i + 1])))) AS c, list_transform(p, lambda i: 1500 + 900 * a[i + 1]) AS f FROM p),
+y AS (SELECT *, list_sum(t) / len(t) AS mt, list_sum(k) / len(k) AS mk, c[1 + floor((len(c) - 1) * 0.7)::INT] + ((len(c) - 1) * 0.7 - floor((len(c) - 1) * 0.7)) * (c[2 + floor((len(c) - 1) * 0.7)::INT] - c[1 + floor((len(c) - 1) * 0.7)::INT]) AS q,
+    list_transform(range(1, len(f) + 1), lambda i: list_sort([CASE WHEN i > 1 THEN f[i - 1] ELSE 0 END, f[i], CASE WHEN i < len(f) THEN f[i + 1] ELSE 0 END])[2]) AS w FROM x),
+z AS (SELECT *, list_transform(range(2, len(w) + 1), lambda i: abs(w[i] - w[i - 1])) AS d FROM y),
+s AS (SELECT vec_id, len(p) AS n, greatest(0.05, least(10, {_perturb('t', 'mt', 'AND abs(t[i] - t[i - 1]) / mt < 0.18')})) AS j, greatest(0.1, least(25, {_perturb('k', 'mk', '')})) AS s, greatest(0, least(35, 10 * log10(q / greatest(1e-4, 1 - q)))) AS h,
+    greatest(2, least(45, coalesce(list_aggregate(list_filter(d, lambda v: v > 5), 'quantile_cont', 0.65), list_sum(d) / len(d)) / 16 * 2)) AS f FROM z),
+u AS (SELECT *, 0.35 * greatest(0, least(100, (f - 15) / (7 - 15) * 100)) + 0.25 * greatest(0, least(100, (j - 1.15) / 1.5 * 100)) + 0.20 * greatest(0, least(100, (s - 3.8) / 4.5 * 100)) + 0.20 * greatest(0, least(100, (h - 13.5) / (7.5 - 13.5) * 100)) AS raw FROM s),
+g AS (SELECT *, CASE WHEN j < 1.15 THEN least(raw, 22) ELSE raw END AS score FROM u)
+SELECT vec_id, round(j, 6) AS jitter, round(s, 6) AS shimmer, round(h, 6) AS hnr, round(f, 6) AS slope, round(score, 5) AS score, vec_id % 3 > 0 AND n >= 5 AND (j > 1.35)::INT + (s > 4.2)::INT + (h < 11.5)::INT + (f < 12)::INT >= 2 AND score >= 45 AS slurred FROM g"""
 
 
 def dft_band_power(spark, sf):
@@ -284,11 +302,13 @@ SELECT event_id, len(w)::INT AS n, round(w[1][1], 6) AS oldest, round(list_sum(l
 
 
 def json_config_overlay(spark, sf):
+    """Settings over the defaults from the events' own JSON: a key that is no setting is passed over."""
     cfg = Config.from_json('{"eye_closed": 0.19, "stride_s": 0.75, "unknown": 3}')
-    return spark.createDataFrame([(n, float(getattr(cfg, n))) for n in ("eye_closed", "stride_s", "yaw_limit", "lock_s")], "name string, value double")
+    props = table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return props.select("event_id", F.coalesce(F.when(F.col("k") >= 50, F.col("k") / 100), F.lit(cfg.eye_closed)).alias("eye_closed"), F.lit(cfg.stride_s).alias("stride_s"), F.lit(cfg.yaw_limit).alias("yaw_limit"))
 
 
-CONFIG = "SELECT * FROM (VALUES ('eye_closed', 0.19::DOUBLE), ('stride_s', 0.75::DOUBLE), ('yaw_limit', 35.0::DOUBLE), ('lock_s', 15.0::DOUBLE)) t(name, value)"
+CONFIG = "SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 ELSE 0.19::DOUBLE END AS eye_closed, 0.75::DOUBLE AS stride_s, 35.0::DOUBLE AS yaw_limit FROM events"
 
 QUERIES = {
     "array_ear": (array_ear, EAR),

@@ -1,4 +1,4 @@
-"""Guards and corrections per row, on ``events`` and ``embeddings``; pixel, pulse and pose operators on made-up signals."""
+"""Guards and corrections per row, on ``events`` and ``embeddings``; pixel, pulse, voice and pose operators on signals made of table rows."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from kymora.functions import gates as T
 from kymora.functions import geometry as G
 from kymora.keys import Stream
 from kymora.operators import folds as X
-from kymora.operators import pixels, pose, pulse, temporal
+from kymora.operators import pixels, pose, pulse, temporal, voice
 from kymora.operators import windows as W
 from kymora.operators.learning import augment_minority
 from kymora.plans.array_queries import V, vectors
@@ -208,41 +208,47 @@ CHANNELS = f"""WITH {V}, h AS (SELECT vec_id, list_distinct(list_transform(a[1:1
 SELECT vec_id, array_to_string(list_sort(list_filter(w, lambda x: NOT list_contains(h, x))), ',') AS absent, array_to_string(list_sort(list_filter(w, lambda x: list_contains(h, x))), ',') AS shared, len(list_distinct(list_concat(w, h)))::INT AS n FROM h"""
 
 
-def _frames(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(42)
-    rows_ = []
-    for i in range(12):
-        img = np.clip(rng.normal(30 + 15 * i, 25, (48, 64, 3 if i % 3 else 1)), 0, 255).astype(np.uint8)
-        rows_.append((i, 48, 64, img.shape[2], bytearray(img.tobytes())))
-    return spark.createDataFrame(rows_, "frame_id int, height int, width int, channels int, data binary")
-
-
 def lighting_measures(spark, sf):
-    return pixels.frame_measures(_frames(spark), ["frame_id"])
+    """Pages as gray pictures 64 pixels wide: a picture is whatever bytes there are."""
+    raw = F.rpad(F.coalesce("html", F.lit("")), 64, " ").cast("binary")
+    df = table(spark, sf, "pages").select(F.col("page_id").alias("frame_id"), raw.alias("raw")).withColumn("height", F.floor(F.octet_length("raw") / 64).cast("int"))
+    return pixels.frame_measures(df.select("frame_id", "height", F.lit(64).alias("width"), F.lit(1).alias("channels"), F.expr("substring(raw, 1, height * 64)").alias("data")), ["frame_id"])
 
 
 def rppg_fft(spark, sf):
-    t = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: i / 30.0)
-    df = spark.range(8).select("id", (0.9 + F.col("id") * 0.15).alias("hz")).withColumn("ts", t)
+    """Pulses made of vectors: each has a rate of its own and a slow drift."""
+    df = vectors(spark, sf).select("vec_id", (0.9 + F.abs(F.get("a", 0)) * 3).alias("hz")).withColumn("ts", F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: i / 30.0))
     df = df.withColumn("values", F.transform("ts", lambda s: 0.4 + 0.01 * F.sin(2 * 3.141592653589793 * F.col("hz") * s) + 0.002 * s))
-    return pulse.pulses(df, ["id", "hz"])
+    return pulse.pulses(df, ["vec_id", "hz"])
+
+
+def voice_features(spark, sf):
+    """Voices made of vectors: three harmonics of a pitch, 0.4 seconds at 16 kHz."""
+    df = vectors(spark, sf).withColumns({"hz": 100 + 400 * F.abs(F.get("a", 0)), "lips": F.col("vec_id") % 4 > 0})
+    wave = F.transform(F.sequence(F.lit(0), F.lit(6399)), lambda i: sum(0.2 / k * F.sin(2 * 3.141592653589793 * k * F.col("hz") * (i / 16000.0)) for k in (1, 2, 3)))
+    got = voice.voice_features(df.withColumn("samples", wave), ["vec_id", "hz"], "samples", "lips")
+    return got.select("vec_id", *[r(c, 4).alias(c) for c in ("jitter", "shimmer", "hnr", "slope", "score")], "slurred", "voiced", "valid")
 
 
 def bandpass_filter(spark, sf):
     return pulse.bandpassed(vectors(spark, sf), "a", 16_000.0).select("vec_id", r(F.aggregate("a", F.lit(0.0), lambda s, v: s + v * v), 8).alias("energy"))
 
 
-def pose_solve(spark, sf):
+def _posed(batches):
     import numpy as np
+    import pandas as pd
+
+    for df in batches:
+        truth = [np.array([0.3 * a[0], a[1], 0.2 * a[2], 50 * a[3], 50 * a[4], 600 + 200 * abs(a[5])]) for a in df["a"]]
+        points = [pose.project(t, 900.0, (640.0, 360.0)).ravel().tolist() for t in truth]
+        yield pd.DataFrame({"subject": df["subject"], "us": df["vec_id"], "points": points})
+
 
-    rows_ = []
-    for i in range(40):
-        truth = np.array([0.004 * i, 0.01 * i - 0.2, 0.05, 10.0 + i, -5.0, 600.0 + 2 * i])
-        rows_.append((i % 4, i, pose.project(truth, 900.0, (640.0, 360.0)).ravel().tolist()))
-    df = spark.createDataFrame(rows_, "user_id int, us long, points array<double>")
-    return X.fold(df, Stream(tie=None), pose.tracker(900.0, (640.0, 360.0)), ["points"], ["user_id", "us"])
+def pose_solve(spark, sf):
+    """Heads posed as vectors say, seen by a camera, and solved for again."""
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("subject"), F.col("embedding").cast("array<double>").alias("a"))
+    seen = df.mapInPandas(_posed, "subject int, us long, points array<double>")
+    return X.fold(seen, Stream(("subject",), tie=None), pose.tracker(900.0, (640.0, 360.0)), ["points"], ["subject", "us"])
 
 
 def noise_augmentation(spark, sf):
@@ -252,12 +258,15 @@ def noise_augmentation(spark, sf):
 
 
 def synthetic_sessions(spark, sf):
-    """A made-up labelled set: ten subjects, 24 windows each; odd ones sway and blink slowly."""
-    df = spark.range(10 * 24 * 90).select((F.col("id") / (24 * 90)).cast("int").alias("subject"), ((F.col("id") / 90) % 24).cast("int").alias("window"), (F.col("id") % 90).cast("int").alias("pos"))
-    bad = F.col("subject") % 2
-    ear = F.when((F.col("pos") % (45 + 15 * bad)) < 4 + 6 * bad, 0.12).otherwise(0.30) + 0.01 * F.randn(42)
-    df = df.withColumns({"ear": ear, "sway": (0.2 + 1.4 * bad) * F.randn(43), "label": bad})
-    return df.groupBy("subject", "window", "label").agg(F.avg("ear").alias("ear_mean"), F.stddev_pop("sway").alias("sway_std"))
+    """A made-up labelled set: a subject per nation, 24 windows each; odd ones sway, blink slowly, beat and fragment."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(24 * 90 - 1)))
+    df = table(spark, sf, "nation").select(F.col("n_nationkey").alias("subject"), at.alias("i")).withColumns({"window": (F.col("i") / 90).cast("int"), "pos": F.col("i") % 90, "bad": F.col("subject") % 2})
+    # Noise follows from the row, so it is the same however the rows lie.
+    noise = lambda seed: F.sqrt(-2 * F.log((F.pmod(F.xxhash64("subject", "i", F.lit(seed)), F.lit(1 << 20)) + 1) / (1 << 20))) * F.cos(6.283185307179586 * F.pmod(F.xxhash64("subject", "i", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20))
+    ear = F.when((F.col("pos") % (45 + 15 * F.col("bad"))) < 4 + 6 * F.col("bad"), 0.12).otherwise(0.30) + 0.01 * noise(42)
+    df = df.withColumns({"ear": ear, "sway": (0.2 + 1.4 * F.col("bad")) * noise(52), "upstroke": 3.0 - 1.8 * F.col("bad") + 0.2 * noise(62), "gen": (F.col("bad") == 1) & (F.abs(noise(72)) > 1.5), "pursuit": 0.08 + 0.25 * F.col("bad") + 0.03 * noise(82)})
+    means = [F.avg("ear").alias("ear_mean"), F.stddev_pop("sway").alias("sway_std"), F.avg("upstroke").alias("upstroke_mean"), F.avg(F.col("gen").cast("int")).alias("gen_rate"), F.avg("pursuit").alias("pursuit_mean")]
+    return df.groupBy("subject", "window", F.col("bad").alias("label")).agg(*means)
 
 
 QUERIES = {
@@ -280,6 +289,7 @@ QUERIES = {
     "channel_difference": (channel_difference, CHANNELS),
     "lighting_measures": (lighting_measures, None),
     "rppg_fft": (rppg_fft, None),
+    "voice_features": (voice_features, None),
     "bandpass_filter": (bandpass_filter, None),
     "pose_solve": (pose_solve, None),
     "noise_augmentation": (noise_augmentation, None),

@@ -163,7 +163,7 @@ SELECT event_id, round(y, 5) AS filtered FROM f"""
 
 def vor_gain(spark, sf):
     df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW).cast("bigint"), "eye": -F.col("x") / 40, "yaw": F.col("k") / 12.0, "pitch": F.col("x") / 20, "open": F.col("kind") != "error"})
-    return X.fold(df, S, X.vor_gain(), ["us", "eye", "yaw", "pitch", "open"], ["event_id"])
+    return X.fold(df, S, X.vor_gain(digits=12), ["us", "eye", "yaw", "pitch", "open"], ["event_id"]).select("event_id", r("gain", 9).alias("gain"))
 
 
 VOR = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, trunc(us / {SLOW}::DOUBLE) AS u, -x / 40 AS eye, k / 12.0::DOUBLE AS yaw, x / 20 AS pitch, kind <> 'error' AS is_open FROM n),
@@ -173,7 +173,7 @@ SELECT user_id, rn, event_id, u, eye, yaw,
     CASE WHEN ratio IS NULL THEN ratios ELSE list_append(ratios, ratio)[-30:] END
 FROM (SELECT *, CASE WHEN ok AND abs(turned) > 0.45 AND abs(turned) < 8 THEN CASE WHEN abs(moved) > 0.20 THEN greatest(0, least(2, -moved / turned)) WHEN abs(moved) <= 0.15 AND abs(turned) > 1.5 THEN 0 END END AS ratio
     FROM (SELECT q.*, f.gain, f.ratios, (q.u - f.u) / 1e6 AS dt, q.eye - f.eye AS moved, (q.yaw - f.yaw + 180) - 360 * floor((q.yaw - f.yaw + 180) / 360) - 180 AS turned, q.pitch <= 12 AND (q.u - f.u) / 1e6 > 1e-6 AND q.is_open AS ok FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)))
-SELECT event_id, round(gain, 4) AS gain FROM f"""
+SELECT event_id, round(gain, 9) AS gain FROM f"""
 
 
 def blink_phase(spark, sf):

@@ -398,10 +398,7 @@ SELECT source, 0 AS toxic, q AS n FROM q WHERE q > 0 UNION ALL SELECT source, 1,
 
 
 def group_kfold(spark, sf):
-    counts = _scored(spark, sf).groupBy("source").agg(F.count_if(F.col("quality") == 0).alias("n"), F.count_if(F.col("quality") == 1).alias("p"))
-    # One row per subject and its class counts is all that the greedy assignment needs.
-    folds = M.group_folds([(x["source"], x["n"], x["p"]) for x in counts.collect()], 3)
-    return spark.createDataFrame(sorted(folds.items()), "source string, fold int")
+    return M.group_folds(_scored(spark, sf), "quality", "source", 3)
 
 
 def telemetry_tumbling(spark, sf):

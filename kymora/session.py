@@ -30,8 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
-    """A stream's checkpoint folder under ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """A stream's checkpoint folder under ``spark.checkpoint.dir``; a local one only where that is unset and all runs in this process."""
     import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kymora-stream-")
-    return f"{root.rstrip('/')}/{name}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='kymora-stream-')).rstrip('/')}/{name}"

@@ -89,10 +89,37 @@ def test_metrics_on_known_scores(spark):
     assert math.isclose(M.average_precision(df, "y", "s").first()[0], 0.5 + 0.5 * 2 / 3)
     best = M.youden(df, "y", "s").first()
     assert (best["threshold"], best["sensitivity"], best["specificity"]) == (0.11, 1.0, 0.5)
+    rng = np.random.default_rng(0)
+    rows = [(int(rng.integers(0, 2)), float(rng.integers(0, 400)) / 400) for _ in range(3000)]
+    many = spark.createDataFrame(rows, "y int, s double")
+    pos, neg = [[s for y, s in rows if y == c] for c in (1, 0)]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+    assert math.isclose(M.roc_auc(many, "y", "s").first()[0], want, rel_tol=1e-12)
+
+
+def test_folds_take_whole_groups_and_both_classes(spark):
     with pytest.raises(ValueError):
-        M.group_folds([("a", 5, 5), ("b", 5, 0)], 2)
-    folds = M.group_folds([(str(i), 3 + i % 2, 2) for i in range(10)], 5)
-    assert set(folds.values()) == set(range(5))
+        M.fold_plan([(5, 5, 1), (5, 0, 1)], 2)
+    rows = [(f"g{i}", c) for i in range(40) for c in [0] * (2 + i % 3) + [1] * (1 + i % 2)]
+    got = M.group_folds(spark.createDataFrame(rows, "g string, y int"), "y", "g", 5).collect()
+    assert len(got) == 40 and {r["fold"] for r in got} == set(range(5))
+    fold = {r["g"]: r["fold"] for r in got}
+    shares = [sum(y for g, y in rows if fold[g] == j) / sum(y for _, y in rows) for j in range(5)]
+    assert max(shares) - min(shares) < 0.08
+
+
+def test_voice_of_steady_and_shaky_pitch(spark):
+    from kymora.operators.voice import voice_features
+
+    rng, t = np.random.default_rng(42), np.arange(16_000) / 16_000
+    steady = sum(0.2 / k * np.sin(2 * np.pi * 130 * k * t) for k in range(1, 9))
+    phase = np.cumsum(130 * (1 + 0.15 * np.repeat(rng.uniform(-1, 1, 63), 256)[:16_000])) / 16_000
+    shaky = sum(0.2 / k * np.sin(2 * np.pi * k * phase) for k in range(1, 9)) * np.repeat(rng.uniform(0.5, 1.5, 63), 256)[:16_000] + rng.normal(0, 0.05, 16_000)
+    rows = [(1, steady.tolist(), True), (2, shaky.tolist(), True), (3, steady.tolist(), False), (4, [0.0] * 16_000, True), (5, [], True), (6, None, True)]
+    got = {r["id"]: r for r in voice_features(spark.createDataFrame(rows, "id int, x array<double>, lips boolean"), ["id"], "x", "lips").collect()}
+    assert got[1]["valid"] and got[1]["jitter"] < 1.15 and got[1]["score"] <= 22 and not got[1]["slurred"]
+    assert got[2]["valid"] and got[2]["jitter"] > got[1]["jitter"] and got[2]["shimmer"] > got[1]["shimmer"] and got[2]["hnr"] < got[1]["hnr"]
+    assert not any(got[i]["valid"] for i in (3, 4, 5, 6)) and got[6]["score"] is None
 
 
 def test_evidence_latches_and_unlatches():
@@ -358,3 +385,41 @@ def test_temporal_score(spark, frame, want):
     got = temporal.temporal_score(spark.range(1).select("id", *[F.lit(v).alias(n) for n, v in (AWAKE | frame).items()]), ["id"]).first()
     assert (got["classification"], *(round(got[c], 6) for c in ("total_risk", "involuntary", "voluntary"))) == want
     assert got["lockout"] == (want[0] == "HIGH_RISK_INTOXICATED") and bool(got["markers"]) == (want[0] != "INSUFFICIENT_DATA")
+
+
+def test_globs_candidates_and_archive_defaults(spark, tmp_path):
+    path = f"file://{tmp_path}/arc"
+    spark.createDataFrame([("w1", [0.5, 1.0, 1.5])], "window string, timestamps array<double>").write.parquet(f"{path}/a.parquet")
+    got = files.read_glob(spark, f"{path}/*.parquet").first()
+    assert (got["audio_valid"], got["n_gated"], got["start_ts"], got["end_ts"]) == (0.0, 0, 0.5, 1.5)
+    with pytest.raises(FileNotFoundError):
+        files.read_glob(spark, f"{path}/*.none")
+    assert files.first_existing(spark, f"{path}/none", f"{path}/a.parquet", path) == f"{path}/a.parquet" and files.first_existing(spark, f"{path}/none") is None
+
+
+def test_batch_times_camera_and_progress(spark):
+    df = spark.createDataFrame([(1, i) for i in range(5)], "u int, n int")
+    assert [r["ts"] for r in files.batch_times(df, ["u"], ["n"], 10.0, most=3).orderBy("n").collect()] == [0.0, 0.1, 0.2]
+    assert math.isclose(files.batch_times(df, ["u"], ["n"], 2.0).agg(F.max("ts")).first()[0], 4 / 30)
+    assert files.read_camera(None, 1280, 720)["matrix"] == [1280.0, 0, 640.0, 0, 1280.0, 360.0, 0, 0, 1]
+    mine = files.read_camera('{"camera_matrix": [[9, 0, 4], [0, 8, 3], [0, 0, 1]], "dist_coeffs": [0.1, 0.2]}', 1280, 720)
+    assert mine["custom"] and mine["matrix"][4] == 8.0 and mine["distortion"] == [0.1, 0.2]
+    assert [bool(files.progress(i, 33, "ok")) for i in (1, 5, 6, 10, 32, 33)] == [True, True, False, True, False, True]
+
+
+def test_models_are_saved_with_their_features(spark, tmp_path):
+    from pyspark.ml.classification import GBTClassificationModel
+
+    from kymora.operators.learning import mean_importance, out_of_fold
+
+    rng = np.random.default_rng(5)
+    rows = [(i, f"s{i % 12}", float(y), float(y + rng.normal(0, 0.4)), float(rng.normal())) for i in range(480) for y in [rng.integers(0, 2)]]
+    df = spark.createDataFrame(rows, "id int, s string, y double, f double, g double")
+    models = []
+    got = out_of_fold(df, ["f", "g"], "y", "s", k=2, rounds=4, models=models)
+    assert got.count() == 480 and M.roc_auc(got.withColumn("y", F.col("y").cast("int")), "y", "score").first()[0] > 0.85
+    ranked = mean_importance(models, ["f", "g"])
+    assert len(models) == 2 and ranked[0][0] == "f"
+    files.save_model(models[0], ["f", "g"], {"auc": 0.9}, f"file://{tmp_path}/m")
+    model, names, results = files.load_model(spark, GBTClassificationModel, f"file://{tmp_path}/none", f"file://{tmp_path}/m")
+    assert names == ["f", "g"] and results == {"auc": 0.9} and model.getNumTrees == 4
