@@ -215,30 +215,30 @@ def shock_gate(cfg: Config = Config()) -> Machine:
 
 
 def one_euro(min_cutoff: float = 1.0, beta: float = 0.007, d_cutoff: float = 1.0, structural: bool = False) -> Machine:
-    """A low-pass filter whose cutoff rises with speed and falls with oscillation; inputs (us, x, scale)."""
+    """A low-pass filter whose cutoff rises with speed and falls with oscillation; inputs (us, x, scale) and, if any, vibration."""
 
     def alpha(f: float, dt: float) -> float:
         r = 2 * math.pi * f * dt
         return r / (r + 1)
 
     def step(state, row):
-        us, x, scale = row
+        us, x, scale, vibration = (*row, None)[:4]
         if x is None or not math.isfinite(x):
             return state, (state[0] if state else None,)
         if state is None:
-            return (x, 0.0, 0.0, us), (x,)
-        prev, speed, osc, last = state
+            return (x, 0.0, 0.0, 0.0, us), (x,)
+        prev, speed, raw, osc, last = state
         dt = (us - last) / SECOND
         if dt <= 1e-9:
             return state, (prev,)
         dx = (x - prev) / dt
-        osc = 0.35 * (dx * speed < 0) + 0.65 * osc
+        osc = 0.35 * (dx * raw < 0) + 0.65 * osc
+        shaken = max(osc, min(1.0, vibration or 0.0))
         speed = alpha(d_cutoff, dt) * dx + (1 - alpha(d_cutoff, dt)) * speed
-        low = min_cutoff * (0.5 if structural and osc > 0.4 else 1.0)
-        cutoff = low + beta * max(0.05, 1 - 1.5 * osc) * abs(speed) * 100 / max(scale or 1.0, 1.0)
-        a = alpha(cutoff, dt)
+        low = min_cutoff * (0.5 if structural and shaken > 0.4 else 1.0)
+        a = alpha(low + beta * max(0.05, 1 - 1.5 * shaken) * abs(speed) * 100 / max(scale or 1.0, 1.0), dt)
         y = a * x + (1 - a) * prev
-        return (y, speed, osc, us), (y,)
+        return (y, speed, dx, osc, us), (y,)
 
     return Machine(step, None, "filtered double")
 
@@ -506,6 +506,33 @@ def locked_baseline(first: int, limit: float, alpha: float, within: float) -> Ma
     return Machine(step, None, "baseline double, delta double")
 
 
+def brow(threshold: float = 0.21) -> Machine:
+    """A brow's height against its own baseline; inputs (ratio, ear): smoothed height, rise, and whether it is raised.
+
+    The baseline is the median of the first fifteen heights and then follows open eyes with a rise under a tenth, fast in
+    the first 25 rows and slowly after.
+    """
+
+    def step(state, row):
+        smooth, base, seen, n = state if state else (None, None, (), 0)
+        x, ear = row
+        if x is None:
+            return (smooth, base, seen, n), (smooth, 0.0, False)
+        n, smooth = n + 1, x if smooth is None else 0.80 * smooth + 0.20 * x
+        rise = lambda v: (v - base) / max(0.1, abs(base))
+        if base is None:
+            seen = (*seen, x)
+            if len(seen) < 15:
+                return (smooth, None, seen, n), (smooth, 0.0, False)
+            base, seen = middle(seen), ()
+        elif ear is not None and ear >= threshold and rise(x) < 0.10:
+            a = 0.15 if n <= 25 else 0.005
+            base = (1 - a) * base + a * x
+        return (smooth, base, seen, n), (smooth, rise(smooth), rise(smooth) >= 0.12)
+
+    return Machine(step, None, "smooth double, rise double, raised boolean")
+
+
 def gated_ema(alpha: float, below: float) -> Machine:
     """A noise floor: an average that follows only values under ``below``; input (x)."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kymora.keys import HOUR, Stream, frames
+from kymora.operators import filters
 from kymora.operators import folds as X
 from kymora.operators.learning import out_of_fold
 from kymora.plans.stream_queries import BASE, OVER, S, e, r
@@ -86,9 +87,33 @@ def shock_gate(spark, sf):
     return X.fold(df, S, X.shock_gate(), ["us", "x", "y", "z", "pitch", "yaw", "roll"], ["event_id"])
 
 
+def one_euro(spark, sf):
+    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW).cast("bigint"), "scale": F.lit(60.0), "shake": F.col("k") / 120.0})
+    return X.fold(df, S, X.one_euro(structural=True), ["us", "x", "scale", "shake"], ["event_id"]).select("event_id", r("filtered", 5).alias("filtered"))
+
+
+#: The 32 points of a vector as a face.
+FACE = filters.Layout(skull=(0, 1, 2, 3), right_corners=(4, 5), left_corners=(6, 7), right_eye=(8, 9, 10, 11, 12), left_eye=(13, 14, 15, 16, 17), eyelid=(8, 9, 13, 14), iris=(10, 11, 15, 16))
+
+
 def one_euro_bank(spark, sf):
-    df = e(spark, sf).withColumns({"us": (F.col("us") / SLOW).cast("bigint"), "scale": F.lit(60.0)})
-    return X.fold(df, S, X.one_euro(), ["us", "x", "scale"], ["event_id"]).select("event_id", r("filtered", 5).alias("filtered"))
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("subject"), (F.col("vec_id") * 33_000).alias("us"), F.transform("embedding", lambda v: v.cast("double") * 200).alias("points"), (F.col("vec_id") % 10 / 10.0).alias("shake"))
+    return X.fold(df, Stream(("subject",), "us", None), filters.filter_bank(FACE, 32), ["us", "points", "shake"], ["vec_id"])
+
+
+def brow_baseline(spark, sf):
+    df = e(spark, sf).withColumns({"ratio": 0.2 + F.col("x") / 1000, "ear": F.col("k") / 200.0})
+    got = X.fold(df, S, X.brow(), ["ratio", "ear"], ["event_id"])
+    return got.select("event_id", r("smooth").alias("smooth"), r("rise").alias("rise"), "raised")
+
+
+BROW = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, 0.2::DOUBLE + x / 1000 AS x, k / 200.0::DOUBLE AS ear FROM n),
+f AS (SELECT user_id, rn, event_id, x AS smooth, NULL::DOUBLE AS base, [x] AS seen FROM q WHERE rn = 1 UNION ALL
+SELECT q.user_id, q.rn, q.event_id, 0.80::DOUBLE * f.smooth + 0.20::DOUBLE * q.x, CASE WHEN f.base IS NULL THEN CASE WHEN len(f.seen) = 14 THEN list_median(list_append(f.seen, q.x)) END
+    WHEN q.ear >= 0.21 AND (q.x - f.base) / greatest(0.1, abs(f.base)) < 0.10 THEN (1 - CASE WHEN q.rn <= 25 THEN 0.15::DOUBLE ELSE 0.005::DOUBLE END) * f.base + CASE WHEN q.rn <= 25 THEN 0.15::DOUBLE ELSE 0.005::DOUBLE END * q.x ELSE f.base END,
+    CASE WHEN len(f.seen) < 15 THEN list_append(f.seen, q.x) ELSE f.seen END
+FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)
+SELECT event_id, round(smooth, 6) AS smooth, round(CASE WHEN base IS NULL THEN 0 ELSE (smooth - base) / greatest(0.1, abs(base)) END, 6) AS rise, coalesce((smooth - base) / greatest(0.1, abs(base)) >= 0.12, false) AS raised FROM f"""
 
 
 def fixation_stare(spark, sf):
@@ -151,13 +176,13 @@ SELECT n.user_id, n.rn, n.event_id, f.cx + {_quick} * (x - f.cx), f.cy + {_quick
 SELECT event_id, cx AS cx_out, cy AS cy_out, sc AS scale_out FROM f"""
 
 _alpha = lambda f: f"(2 * pi() * {f} * dt / (2 * pi() * {f} * dt + 1))"
-EURO = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, x, trunc(us / {SLOW}::DOUBLE) AS u FROM n), f AS (
-    SELECT user_id, rn, event_id, u, x AS y, 0.0::DOUBLE AS speed, 0.0::DOUBLE AS osc FROM q WHERE rn = 1 UNION ALL
-    SELECT user_id, rn, event_id, u2, CASE WHEN dt <= 1e-9 THEN y ELSE {_alpha('cut')} * x + (1 - {_alpha('cut')}) * y END, CASE WHEN dt <= 1e-9 THEN speed ELSE s2 END, CASE WHEN dt <= 1e-9 THEN osc ELSE o2 END FROM (
-        SELECT *, 1.0::DOUBLE + 0.007::DOUBLE * greatest(0.05, 1 - 1.5 * o2) * abs(s2) * 100 / 60 AS cut FROM (
-            SELECT *, 0.35::DOUBLE * (CASE WHEN dx * speed < 0 THEN 1 ELSE 0 END) + 0.65::DOUBLE * osc AS o2, {_alpha('1.0::DOUBLE')} * dx + (1 - {_alpha('1.0::DOUBLE')}) * speed AS s2 FROM (
-                SELECT q.user_id, q.rn, q.event_id, q.u AS u2, q.x, f.y, f.speed, f.osc, (q.u - f.u) / 1e6 AS dt, CASE WHEN q.u > f.u THEN (q.x - f.y) / ((q.u - f.u) / 1e6) END AS dx
-                FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1))))
+EURO = f"""WITH RECURSIVE {_NUMBERED}, q AS (SELECT user_id, rn, event_id, x, k / 120.0::DOUBLE AS vib, trunc(us / {SLOW}::DOUBLE) AS u FROM n), f AS (
+    SELECT user_id, rn, event_id, u, x AS y, 0.0::DOUBLE AS speed, 0.0::DOUBLE AS raw, 0.0::DOUBLE AS osc FROM q WHERE rn = 1 UNION ALL
+    SELECT user_id, rn, event_id, u2, CASE WHEN dt <= 1e-9 THEN y ELSE {_alpha('cut')} * x + (1 - {_alpha('cut')}) * y END, CASE WHEN dt <= 1e-9 THEN speed ELSE s2 END, CASE WHEN dt <= 1e-9 THEN raw ELSE dx END, CASE WHEN dt <= 1e-9 THEN osc ELSE o2 END FROM (
+        SELECT *, CASE WHEN sh > 0.4 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END + 0.007::DOUBLE * greatest(0.05, 1 - 1.5 * sh) * abs(s2) * 100 / 60 AS cut FROM (SELECT *, greatest(o2, vib) AS sh FROM (
+            SELECT *, 0.35::DOUBLE * (CASE WHEN dx * raw < 0 THEN 1 ELSE 0 END) + 0.65::DOUBLE * osc AS o2, {_alpha('1.0::DOUBLE')} * dx + (1 - {_alpha('1.0::DOUBLE')}) * speed AS s2 FROM (
+                SELECT q.user_id, q.rn, q.event_id, q.u AS u2, q.x, q.vib, f.y, f.speed, f.raw, f.osc, (q.u - f.u) / 1e6 AS dt, CASE WHEN q.u > f.u THEN (q.x - f.y) / ((q.u - f.u) / 1e6) END AS dx
+                FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)))))
 SELECT event_id, round(y, 5) AS filtered FROM f"""
 
 
@@ -257,7 +282,9 @@ QUERIES = {
     "debounced_command": (debounced_command, DEBOUNCE),
     "change_only_sink": (change_only_sink, CHANGE),
     "shock_gate": (shock_gate, None),
-    "one_euro_bank": (one_euro_bank, EURO),
+    "one_euro": (one_euro, EURO),
+    "one_euro_bank": (one_euro_bank, None),
+    "brow_baseline": (brow_baseline, BROW),
     "fixation_stare": (fixation_stare, STARE),
     "saccade_dynamics": (saccade_dynamics, SACCADE),
     "pose_jump_rejection": (pose_jump_rejection, JUMP),

@@ -423,3 +423,21 @@ def test_models_are_saved_with_their_features(spark, tmp_path):
     files.save_model(models[0], ["f", "g"], {"auc": 0.9}, f"file://{tmp_path}/m")
     model, names, results = files.load_model(spark, GBTClassificationModel, f"file://{tmp_path}/none", f"file://{tmp_path}/m")
     assert names == ["f", "g"] and results == {"auc": 0.9} and model.getNumTrees == 4
+
+
+def test_filter_bank_lets_lids_pass_and_holds_the_skull():
+    from kymora.operators import filters
+
+    layout = filters.Layout(skull=(0, 1), right_corners=(2, 3), left_corners=(4, 5), right_eye=(6, 7), left_eye=(8,), eyelid=(6,), iris=(7, 8))
+    base = np.array([[0, 0], [10, 0], [20, 0], [30, 0], [60, 0], [70, 0], [25, 5], [25, 1], [65, 1], [40, 40]], float)
+    rng, rows = np.random.default_rng(3), []
+    for i in range(120):
+        x = base + rng.normal(0, 0.3, base.shape)
+        x[6, 1] -= 8 * (i >= 100)
+        rows.append((i * 33_000, x.ravel().tolist(), 0.0))
+    rows.append((120 * 33_000, [math.nan] * 20, 0.0))
+    out = [np.array(r[0]).reshape(10, 2) for r in run_machine(filters.filter_bank(layout, 10), rows)]
+    noise = np.std([o[9, 1] for o in out[40:100]])
+    assert noise < 0.2 and out[104][6, 1] - out[99][6, 1] < -5 and np.array_equal(out[-1], out[-2])
+    still = [np.array(r[0]) for r in run_machine(filters.filter_bank(layout, 10), [(i * 33_000, base.ravel().tolist(), 0.5) for i in range(30)])]
+    assert np.allclose(still[-1], base.ravel())
