@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the 5-grams of marked words that labelled documents tie to a class (by log-likelihood ratio over
-all candidates' chance level, and by odds). Examples are labelled documents as TF-IDF vectors over those terms, in blocks of
+Terms are words and the 5-grams of marked words that the examples tie to a class (by log-likelihood ratio over all
+candidates' chance level, and by odds): over all words the cosine goes by topic and language, and votes say less. Examples are labelled documents as TF-IDF vectors over those terms, in blocks of
 like examples; the index holds each term's postings and its largest weight in each block. A query bounds its cosine
 with every block by those weights and opens blocks, best bound first, until no other can hold a nearer example.
 Votes weigh by squared cosine and by how many labelled rows an example stands for, and leave-one-out votes of the
@@ -28,8 +28,8 @@ WORDS = re.compile(r"\w+")
 GRAM = 5
 #: Bound of the labelled sample that the examples come from.
 MOST = {1: 4096, 0: 12_288}
-#: Log-likelihood ratio from which a term is tied to a class, and terms at most, strongest first.
-TIED, TERMS = 33.0, 16_384
+#: Log-likelihood ratio from which a term is tied to a class.
+TIED = 33.0
 #: A tied term is at least so many times as frequent in one class as in the other.
 ODDS = 4.0
 NEIGHBOURS, BLOCK = 16, 64
@@ -58,7 +58,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def select_terms(sample: DataFrame, n: dict[int, int]) -> list[str]:
-    """Terms tied to a class, the strongest TERMS of them, by the log-likelihood ratio of their document counts."""
+    """All terms tied to a class by the log-likelihood ratio of their document counts; the bounded sample bounds them."""
     pos, neg = float(n.get(1, 0)), float(n.get(0, 0))
     if not pos or not neg:
         return []
@@ -69,7 +69,7 @@ def select_terms(sample: DataFrame, n: dict[int, int]) -> list[str]:
     counted = sample.select("text", "y").mapInArrow(_count_terms, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.abs(F.log((a + 0.5) / (b + 0.5) * (neg / pos)))
     tied = counted.withColumn("ratio", ratio).where((F.col("ratio") >= TIED) & (odds >= math.log(ODDS)))
-    return [r["term"] for r in tied.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
+    return [r["term"] for r in tied.orderBy(F.desc("ratio"), "term").select("term").collect()]
 
 
 class Reader(dict):

@@ -159,3 +159,67 @@ def test_operators_take_clashing_columns(spark):
         lambda d: records.round_trip(d, word), lambda d: toxicity.toxicity_scores(d, known, train), lambda d: bpe.bpe_round_trip(d, word),
     ):
         assert Counter(map(str, run(df).collect())) == Counter(map(str, run(plain).collect()))
+
+
+def test_quality_scores_are_sums_of_tables(spark):
+    """The score, feature by feature and pair by pair, from the fitted tables."""
+    import bisect
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()][:120] + [(900, None), (901, "")]
+    known = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.train(docs(spark, rows), known, F.lit(True))
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in quality.quality_scores(docs(spark, rows), known, F.lit(True)).collect())
+    want = Counter()
+    for i, t in rows:
+        x = quality.features(t or "")
+        f = model.start + sum(float(table[bisect.bisect_right(cuts.tolist(), v)]) for table, cuts, v in zip(model.tables, model.cuts, x, strict=True))
+        for table, (a, b) in zip(model.pair_tables, model.pairs, strict=True):
+            f += float(table[bisect.bisect_right(model.wide[a].tolist(), x[a]), bisect.bisect_right(model.wide[b].tolist(), x[b])])
+        want[(i, round(1 / (1 + math.exp(-f)), 9))] += 1
+    assert got == want and len({s for _, s in got}) > 20
+
+
+def test_a_tree_takes_the_best_cuts():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.uniform(1, 6, 9)
+        loss = lambda a, b, g=g, h=h: g[a:b].sum() ** 2 / (h[a:b].sum() + quality.RIDGE)
+        cuts = [i for i in range(1, 9) if h[:i].sum() >= quality.LEAF and h[i:].sum() >= quality.LEAF]
+        best = max(cuts, key=lambda i: loss(0, i) + loss(i, 9))
+        got = quality.tree(g, h, leaves=2)
+        if loss(0, best) + loss(best, 9) - loss(0, 9) > 1e-9:
+            assert np.allclose(got[:best], g[:best].sum() / (h[:best].sum() + quality.RIDGE)) and np.allclose(got[best:], g[best:].sum() / (h[best:].sum() + quality.RIDGE))
+
+
+def test_toxicity_scores_are_votes_of_the_nearest(spark):
+    """Cosines with every example, the sixteen best, their weighed votes, and the calibrating step."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:300] + [(9000, None), (9001, "")]
+    every, known = docs(spark, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(every, known, F.lit(True))
+    index, read = model.index, toxicity.Reader({t: i for i, t in enumerate(model.terms)})
+    assert index is not None
+    examples = [{} for _ in index.ids]
+    for at, key in enumerate(index.keys):
+        for n in range(index.ends[at], index.ends[at + 1]):
+            examples[index.row[n]][int(key % index.n_terms)] = float(index.value[n])
+    scored = toxicity.with_toxicity(every, known, F.lit(True))
+    got = {r["c0"]: r["score"] for r in scored.collect()}
+    held = 0
+    for i, t in rows[:300]:
+        counts = read.counts(t or "")
+        weights = {k: (1 + math.log(n)) * float(index.idf[k]) for k, n in counts.items()}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        near = sorted(((-sum(w / length * e.get(k, 0.0) for k, w in weights.items()), n) for n, e in enumerate(examples)), key=lambda x: (round(x[0], 12), x[1])) if counts else []
+        near = [(-c, n) for c, n in near[: toxicity.NEIGHBOURS] if c < 0]
+        if not counts:
+            assert got[i] == model.base
+            continue
+        held += 1
+        part = [(c * c * float(index.weights[n]), int(index.labels[n])) for c, n in near]
+        mean = float(index.weights.mean())
+        vote = (sum(w * y for w, y in part) + toxicity.PRIOR * mean * model.prior) / (sum(w for w, _ in part) + toxicity.PRIOR * mean)
+        low, rate = model.steps
+        near_step = [float(r) for v, r in zip(low, rate, strict=True) if v <= vote + 1e-9][-1:] or [float(rate[0])]
+        other = [float(r) for v, r in zip(low, rate, strict=True) if v <= vote - 1e-9][-1:] or [float(rate[0])]
+        assert any(math.isclose(got[i], s, rel_tol=1e-9) for s in (*near_step, *other)), i
+    assert held > 10
