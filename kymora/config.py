@@ -63,7 +63,5 @@ LADDERS = {
     "jaw_slackness": (True, ((0.35, 70.0), (0.22, 35.0))),
     "sclera_redness": (True, ((1.35, 75.0), (1.15, 35.0))),
 }
-#: Weights of the static score.
-STATIC_WEIGHTS = {"ptosis": 0.50, "head_slump": 0.25, "ocular_asymmetry": 0.10, "jaw_slackness": 0.10, "sclera_redness": 0.05}
 #: Names of the impaired class.
 IMPAIRED = ["impaired", "intoxicated", "alcohol", "drunk", "drowsy", "1", "true", "positive"]

@@ -40,6 +40,27 @@ def face_is_plausible(width: Column, height: Column, eye_order: Column, nose: Co
     return (aspect >= 0.38) & (aspect <= 2.5) & eye_order & (nose > eyes) & (nose < mouth) & F.coalesce((change >= 0.55) & (change <= 1.8), F.lit(True))
 
 
+def face_geometry(box: tuple[Column, Column, Column, Column], frame: tuple[Column, Column], eyes: tuple[Column, Column, Column, Column], nose: tuple[Column, Column], mouth: tuple[Column, Column], last_scale: Column) -> Column:
+    """Whether landmarks can be a face: ``box`` (x0, y0, x1, y1), ``frame`` size, outer eye corners, nose tip, mouth centre.
+
+    Large enough, near the frame, of a plausible aspect, eyes apart and in order, the mouth below them, the nose between
+    them along the face's own axis, and no jump in size against the last valid face (null: any).
+    """
+    width, height = box[2] - box[0], box[3] - box[1]
+    cx, cy = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+    near = lambda c, full: (c >= -0.2 * full) & (c <= 1.2 * full)
+    across, apart = eyes[2] - eyes[0], F.hypot(eyes[2] - eyes[0], eyes[3] - eyes[1])
+    mid = ((eyes[0] + eyes[2]) / 2, (eyes[1] + eyes[3]) / 2)
+    down = (mouth[0] - mid[0], mouth[1] - mid[1])
+    length = F.hypot(*down)
+    along = ((nose[0] - mid[0]) * down[0] + (nose[1] - mid[1]) * down[1]) / length
+    aspect, change = width / height, F.greatest(width, height) / F.greatest(last_scale, F.lit(1.0))
+    good = (width >= 10) & (height >= 10) & near(cx, frame[0]) & near(cy, frame[1]) & (aspect >= 0.38) & (aspect <= 2.5)
+    good = good & (across > 5) & (apart >= 0.18 * width) & (down[1] > 0) & (length >= 0.22 * height) & (along > 0.08 * length) & (along < 0.95 * length)
+    steady = F.when(last_scale.isNull(), True).otherwise((change >= 0.55) & (change <= 1.8))
+    return F.coalesce(good & steady, F.lit(False))
+
+
 def alert_gaze(ear: Column, closed: Column, dispersion: Column, nystagmus: Column, apart: Column, microsleep: Column) -> Column:
     return (ear >= 0.26) & (closed < 0.10) & (dispersion >= 0.024) & ~nystagmus & ~apart & ~microsleep
 

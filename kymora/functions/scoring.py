@@ -15,15 +15,6 @@ def ladder(x: Column, steps: list[tuple[float, float]], above: bool = True, defa
     return out.otherwise(default)
 
 
-def weighted(markers: dict[str, Column], weights: dict[str, float], missing: Column | None = None, drop: str | None = None) -> Column:
-    """Weighted sum; where ``missing`` holds, the weight of ``drop`` is spread over the others."""
-    full = sum((markers[n] * w for n, w in weights.items()), F.lit(0.0))
-    if missing is None:
-        return full
-    rest = sum((markers[n] * w for n, w in weights.items() if n != drop), F.lit(0.0)) / (1 - weights[drop])
-    return F.when(missing, rest).otherwise(full)
-
-
 def mean_positive(markers: Column) -> Column:
     """Mean of the positive entries, 0 without any."""
     some = F.filter(markers, lambda v: v > 0)

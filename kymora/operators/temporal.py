@@ -139,6 +139,42 @@ def stages(open_ear: float = 0.28, ingress: bool = False, fps: float = 30.0) ->
     ]
 
 
+#: Inputs of the score of a single picture: a null redness is that of a picture without colour.
+STILL = {"ear_left": "0.0", "ear_right": "0.0", "mar": "0.0", "head_pitch": "0.0", "head_roll": "0.0", "speech_active": "false", "redness": "CAST(NULL AS DOUBLE)"}
+
+
+def still_stages(asymmetry: float = 0.0, pitch: float = 0.0, roll: float = 0.0, ingress: bool = False) -> list[dict[str, str]]:
+    """The rules for one picture, against a person's own asymmetry and head pose."""
+    ear = "(ear_left + ear_right) / 2.0"
+    rest = "(0.50 * m_ptosis + 0.25 * m_slump + 0.10 * m_asymmetry + 0.10 * m_jaw)"
+    risk = f"CASE WHEN redness IS NULL THEN {rest} / 0.95 ELSE {rest} + 0.05 * m_redness END + CASE WHEN m_ptosis >= 60.0 AND m_slump >= 25.0 THEN 15.0 ELSE 0.0 END"
+    return [
+        {"ear": ear, "apart": f"greatest(0.0, abs(ear_left - ear_right) - {asymmetry})", "nod": f"head_pitch - ({pitch})", "list": f"abs(head_roll - ({roll}))"},
+        {
+            "m_ptosis": "CASE WHEN ear < 0.12 THEN 90.0 WHEN ear < 0.22 THEN greatest(50.0, least(90.0, 50.0 + (0.26 - ear) / 0.14 * 40.0)) WHEN ear < 0.26 THEN greatest(20.0, least(50.0, 20.0 + (0.26 - ear) / 0.04 * 30.0)) ELSE 0.0 END",
+            "m_asymmetry": _case([("apart > 0.06", 75.0), ("apart > 0.035", 40.0)]),
+            "m_slump": "least(85.0, CASE WHEN nod < -14.0 THEN least(60.0, (-14.0 - nod) * 5.0) ELSE 0.0 END + CASE WHEN list > 14.0 THEN least(40.0, (list - 14.0) * 4.0) ELSE 0.0 END)",
+            "m_jaw": _case([("speech_active", 0.0), ("mar > 0.35", 70.0), ("mar > 0.22", 35.0)]),
+            "m_redness": _case([("redness IS NULL", 0.0), ("redness > 1.35", 75.0), ("redness > 1.15", 35.0)]),
+        },
+        {"risk": _clip(f"greatest({risk}, {55.0 if ingress else 0.0})")},
+        {
+            "class": "CASE WHEN risk >= 50.0 THEN 'HIGH_RISK_INTOXICATED' WHEN risk >= 25.0 THEN 'MILD_IMPAIRMENT' ELSE 'SOBER' END",
+            "confidence": "CASE WHEN risk >= 50.0 THEN greatest(0.70, least(0.95, 0.70 + (risk - 50.0) / 50.0 * 0.25)) WHEN risk >= 25.0 THEN 0.70 ELSE greatest(0.80, least(0.95, 0.80 + (25.0 - risk) / 25.0 * 0.15)) END",
+            "lockout": "risk >= 50.0",
+        },
+    ]
+
+
+def still_score(df: DataFrame, keep: list[str], **settings) -> DataFrame:
+    """Scores single pictures with the columns of STILL: ``keep``, risk, class, confidence, lockout and the five markers."""
+    have = set(df.columns)
+    df = df.withColumns({n: F.coalesce(F.col(n), F.expr(doubles(d))) if n in have else F.expr(doubles(d)) for n, d in STILL.items()})
+    for stage in still_stages(**settings):
+        df = df.withColumns({n: F.expr(doubles(sql)) for n, sql in stage.items()})
+    return df.select(*keep, "risk", "class", "confidence", "lockout", *[f"m_{n}" for n in ("ptosis", "asymmetry", "slump", "jaw", "redness")])
+
+
 OUTPUTS = ("classification", "total_risk", "involuntary", "voluntary", "lockout", "throttle", "confidence", "active_markers")
 
 
@@ -166,8 +202,8 @@ def temporal_score(df: DataFrame, keep: list[str], **settings) -> DataFrame:
     return df.select(*keep, *OUTPUTS, F.when(F.col("observed"), scores).otherwise(F.map_filter(scores, lambda k, v: F.lit(False))).alias("markers"))
 
 
-def as_sql(source: str, **settings) -> str:
-    """The stages as nested selects over a query that has all columns of INPUTS."""
-    for stage in stages(**settings):
+def as_sql(source: str, rules: list[dict[str, str]]) -> str:
+    """Stages as nested selects over a query that has all columns they use."""
+    for stage in rules:
         source = f"SELECT *, {', '.join(f'{doubles(sql)} AS {n}' for n, sql in stage.items())} FROM ({source})"
     return source

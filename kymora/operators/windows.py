@@ -84,13 +84,16 @@ def median_autozero(df: DataFrame, s: Stream, x: str, calm: Column, rows: int, l
 
 
 def beats(df: DataFrame, s: Stream, speed: str, suppressed: Column, arm: tuple[float, float], fire: float, within: int, least: int) -> DataFrame:
-    """Sawtooth beats: a slow inward speed in ``arm`` arms, a fast outward one fires once; ``detected`` from ``least`` beats in ``within`` microseconds."""
+    """Sawtooth beats: a slow inward speed in ``arm`` arms, a fast outward one fires once; ``detected`` from ``least`` beats in
+    ``within`` microseconds, then with the speed of the last drift as ``drift``."""
     v = F.col(speed)
     event = F.when(suppressed, 0).when(v.between(*arm), 1).when(v <= -fire, 2)
     df = df.withColumn("__e", event).withColumn("__before", F.last("__e", ignorenulls=True).over(s.rows(None, -1)))
     df = df.withColumn("beat", F.coalesce((F.col("__e") == 2) & (F.col("__before") == 1), F.lit(False)))
     count = F.sum(F.col("beat").cast("int")).over(s.range(-within))
-    return df.withColumn("beat_count", count).withColumn("detected", F.col("beat_count") >= least).drop("__e", "__before")
+    df = df.withColumn("beat_count", count).withColumn("detected", F.col("beat_count") >= least)
+    drift = last_known(F.when(F.col("__e") == 1, v), s.rows())
+    return df.withColumn("drift", F.when(F.col("detected"), drift).otherwise(0.0)).drop("__e", "__before")
 
 
 def fragmentation(df: DataFrame, s: Stream, flag: Column, within: int, least: int, out: str) -> DataFrame:
@@ -130,6 +133,35 @@ def reversal_frequency(df: DataFrame, s: Stream, x: str, low: float, high: float
     return df.withColumn(out, F.when(ok, F.sum("__f").over(w) / (2 * lasts)).otherwise(0.0)).drop("__d", "__v", "__f")
 
 
+def tremor(df: DataFrame, s: Stream, x: str, usable: Column, low: float, high: float, within: int, shake: str, out: str, rows: int = 12, least_s: float = 0.4, valid: int = 6) -> DataFrame:
+    """Half the sign flips per second among usable rows alone; 0 on others, with few rows or little time; damped while shaking.
+
+    Vibration over 0.35 takes its share off. Two digits, halves to even.
+    """
+    df = df.withColumn("__u", F.coalesce(usable, F.lit(False)))
+    own_rows = Window.partitionBy(*s.subject, "__u").orderBy(*s.order)
+    own_time = Window.partitionBy(*s.subject, "__u").orderBy(s.us).rangeBetween(-within, 0)
+    df = df.withColumn("__d", F.col(x) - F.lag(x).over(own_rows))
+    df = df.withColumn("__v", F.coalesce((F.abs("__d") > low) & (F.abs("__d") < high), F.lit(False)))
+    flip = F.col("__v") & F.lag("__v", 1, False).over(own_rows) & (F.signum("__d") * F.signum(F.lag("__d").over(own_rows)) < 0)
+    df = df.withColumn("__f", F.coalesce(flip, F.lit(False)).cast("int"))
+    lasts = (F.col(s.us) - F.min(s.us).over(own_time)) / float(SECOND)
+    enough = F.col("__u") & (F.count(F.lit(1)).over(own_time) >= rows) & (lasts >= least_s) & (F.sum(F.col("__v").cast("int")).over(own_time) >= valid)
+    hz = F.sum("__f").over(own_time) / (2 * lasts) * F.when(F.col(shake) > 0.35, F.greatest(F.lit(0.0), 1 - F.col(shake))).otherwise(1.0)
+    return df.withColumn(out, F.when(enough, F.bround(hz, 2)).otherwise(0.0)).drop("__u", "__d", "__v", "__f")
+
+
+def window_tremor(df: DataFrame, keys: list[str], order: str, x: str, frames: int, low: float = 0.001, high: float = 0.045, rate: float = 30.0) -> DataFrame:
+    """Flips per second of each window of ``frames`` rows, at a fixed rate: (keys, tremor); 0 for fewer than 12 rows or 6 steps."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    df = df.withColumn("__d", F.col(x) - F.lag(x).over(w))
+    df = df.withColumn("__v", F.coalesce((F.abs("__d") > low) & (F.abs("__d") < high), F.lit(False)))
+    flip = F.col("__v") & F.lag("__v", 1, False).over(w) & (F.signum("__d") * F.signum(F.lag("__d").over(w)) < 0)
+    got = df.withColumn("__f", F.coalesce(flip, F.lit(False)).cast("int")).groupBy(*keys).agg(F.count("*").alias("__n"), F.sum(F.col("__v").cast("int")).alias("__steps"), F.sum("__f").alias("__flips"))
+    enough = (F.col("__n") >= 12) & (F.col("__steps") >= 6)
+    return got.select(*keys, F.when(enough, F.bround(F.col("__flips") / (2 * max(frames / rate, 0.4)), 2)).otherwise(0.0).alias("tremor"))
+
+
 def crossings(values: Column) -> Column:
     """Crossings of an array's values about its mean."""
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
@@ -138,13 +170,13 @@ def crossings(values: Column) -> Column:
     return F.size(F.filter(F.zip_with(nonzero, F.slice(nonzero, 2, 1_000_000), lambda a, b: F.coalesce(a * b < 0, F.lit(False))), lambda c: c))
 
 
-def cadence(df: DataFrame, s: Stream, x: str, rows: int, least: int, spread: float, reach: float, rate: int, out: str) -> DataFrame:
-    """True where the last ``rows`` values swing: deviation, range and mean crossings all reach their bounds."""
-    w = s.rows(1 - rows)
-    got = F.collect_list(x).over(w)
-    df = df.withColumns({"__a": got, "__sd": F.stddev_pop(x).over(w), "__r": F.max(x).over(w) - F.min(x).over(w)})
-    hit = (F.size("__a") >= least) & (F.col("__sd") >= spread) & (F.col("__r") >= reach) & (crossings(F.col("__a")) >= rate)
-    return df.withColumn(out, hit).drop("__a", "__sd", "__r")
+def cadence(df: DataFrame, s: Stream, x: str, within: int, least: int, level: tuple[float, float], spread: float, reach: float, top: float, rate: float, out: str) -> DataFrame:
+    """True where the values of the last ``within`` microseconds swing like speech: mean, deviation, range, top and mean
+    crossings a second all within their bounds, over ``least`` rows or more."""
+    w = s.range(-within)
+    df = df.withColumns({"__a": F.transform(F.sort_array(F.collect_list(F.struct(s.us, *([s.tie] if s.tie else []), x)).over(w)), lambda v: v[x]), "__m": F.avg(x).over(w), "__sd": F.stddev_pop(x).over(w), "__hi": F.max(x).over(w), "__r": F.max(x).over(w) - F.min(x).over(w), "__t": (F.col(s.us) - F.min(s.us).over(w)) / float(SECOND)})
+    hit = (F.size("__a") >= least) & F.col("__m").between(*level) & (F.col("__sd") >= spread) & (F.col("__r") >= reach) & (F.col("__hi") >= top) & (crossings(F.col("__a")) >= rate * F.col("__t"))
+    return df.withColumn(out, hit).drop("__a", "__m", "__sd", "__hi", "__r", "__t")
 
 
 def widening(df: DataFrame, s: Stream, x: str, least: float, within: int, low: float, rise: float, out: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kymora.config import LADDERS, STATIC_WEIGHTS, Config
+from kymora.config import LADDERS, Config
 from kymora.functions import geometry as G
 from kymora.functions import scoring as C
 from kymora.functions import signal as D
+from kymora.operators import temporal
 from kymora.plans.stream_queries import BASE, e, r
 from kymora.session import table
 
@@ -225,21 +226,22 @@ def _ladder(x: str, above: bool, steps) -> str:
 LADDER = f"WITH {V} SELECT vec_id, {', '.join(f'{_ladder(f'abs(a[{2 * i + 1}]) * 6', ab, st)} AS {n}' for i, (n, (ab, st)) in enumerate(LADDERS.items()))} FROM v"
 
 
+#: Pictures made of vectors.
+_still = lambda at: {
+    "ear_left": f"0.05 + abs({at(0)}) * 2.0", "ear_right": f"0.05 + abs({at(0)}) * 2.0 + {at(1)} * 0.3", "mar": f"abs({at(2)}) * 3.0", "head_pitch": f"{at(3)} * 200.0", "head_roll": f"{at(4)} * 200.0",
+    "speech_active": "vec_id % 5 = 0", "redness": f"CASE WHEN vec_id % 3 > 0 THEN 0.9 + abs({at(5)}) * 4.0 END",
+}
+
+
 def static_score(spark, sf):
-    markers = {n: F.least(F.lit(100.0), F.abs(G.at(F.col("a"), i, 0)) * 400) for i, n in enumerate(STATIC_WEIGHTS)}
-    mono = F.col("vec_id") % 3 == 0
-    bonus = F.when((markers["ptosis"] >= 60) & (markers["head_slump"] >= 25), 15.0).otherwise(0.0)
-    risk = F.least(F.lit(100.0), C.weighted(markers, STATIC_WEIGHTS, mono, "sclera_redness") + bonus)
-    df = vectors(spark, sf).withColumn("risk", risk)
-    kind = F.when(F.col("risk") >= 50, "HIGH_RISK_INTOXICATED").when(F.col("risk") >= 25, "MILD_IMPAIRMENT").otherwise("SOBER")
-    return df.select("vec_id", r("risk", 5).alias("risk"), kind.alias("class"))
-
-
-_marks = {n: f"least(100, abs(a[{2 * i + 1}]) * 400)" for i, n in enumerate(STATIC_WEIGHTS)}
-STATIC = f"""WITH {V}, m AS (SELECT vec_id, {', '.join(f'{x} AS {n}' for n, x in _marks.items())} FROM v),
-s AS (SELECT vec_id, least(100, CASE WHEN vec_id % 3 = 0 THEN ({' + '.join(f'{n} * {w}' for n, w in STATIC_WEIGHTS.items() if n != 'sclera_redness')}) / 0.95 ELSE {' + '.join(f'{n} * {w}' for n, w in STATIC_WEIGHTS.items())} END
-      + CASE WHEN ptosis >= 60 AND head_slump >= 25 THEN 15 ELSE 0 END) AS risk FROM m)
-SELECT vec_id, round(risk, 5) AS risk, CASE WHEN risk >= 50 THEN 'HIGH_RISK_INTOXICATED' WHEN risk >= 25 THEN 'MILD_IMPAIRMENT' ELSE 'SOBER' END AS class FROM s"""
+    df = vectors(spark, sf).withColumns({n: F.expr(temporal.doubles(x)) for n, x in _still(lambda i: f"a[{i}]").items()})
+    got = temporal.still_score(df, ["vec_id"], asymmetry=0.01, pitch=-2.0, roll=1.0)
+    return got.select("vec_id", r("risk", 5).alias("risk"), "class", r("confidence", 5).alias("confidence"), "lockout", *[r(c, 5).alias(c) for c in got.columns if c.startswith("m_")])
+
+
+_stills = ", ".join(f"{temporal.doubles(x)} AS {n}" for n, x in _still(lambda i: f"a[{i + 1}]").items())
+STATIC = f"""WITH {V} SELECT vec_id, round(risk, 5) AS risk, class, round(confidence, 5) AS confidence, lockout, {', '.join(f'round(m_{n}, 5) AS m_{n}' for n in ('ptosis', 'asymmetry', 'slump', 'jaw', 'redness'))}
+FROM ({temporal.as_sql(f'SELECT vec_id, {_stills} FROM v', temporal.still_stages(asymmetry=0.01, pitch=-2.0, roll=1.0))})"""
 
 
 def divergence_score(spark, sf):

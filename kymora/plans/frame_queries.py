@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kymora.functions import gates as T
 from kymora.operators import frames as R
 from kymora.operators.temporal import doubles
 from kymora.operators.windows import first_rows
@@ -170,6 +172,26 @@ round({_single('least(saccade_latency_ms, 10000)', 'least(stare_fixation_duratio
 deliberate_blink_suppression AND NOT sunglasses AS deliberate_blink_suppression, compensatory_stare_active AND NOT sunglasses AS compensatory_stare_active, rigid_head_stabilization AND NOT (microsleep_detected OR perclos > 0.15) AS rigid_head_stabilization FROM n"""
 
 
+def face_geometry(spark, sf):
+    """Faces made of vectors: a template that the numbers bend, against the last one that was a face by its box alone."""
+    a = lambda i: F.get("a", i)
+    df = made(spark, sf).select("vec_id", "subject", *[c.alias(n) for n, c in {
+        "x0": 100 + 300 * a(40), "y0": 80 + 300 * a(41), "x1": 300 + 500 * a(42), "y1": 330 + 500 * a(43), "ex": 150 + 100 * a(44), "ey": 150 + 50 * a(45), "fx": 250 + 400 * a(46), "fy": 150 + 50 * a(47),
+        "nx": 200 + 50 * a(48), "ny": 200 + 300 * a(49), "mx": 200 + 50 * a(50), "my": 260 + 300 * a(51)}.items()])
+    scale = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    last = F.last(F.when(scale >= 150, scale), ignorenulls=True).over(Window.partitionBy("subject").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1))
+    c = F.col
+    ok = T.face_geometry((c("x0"), c("y0"), c("x1"), c("y1")), (F.lit(640.0), F.lit(480.0)), (c("ex"), c("ey"), c("fx"), c("fy")), (c("nx"), c("ny")), (c("mx"), c("my")), c("last"))
+    return df.withColumn("last", last).select("vec_id", ok.alias("valid"))
+
+
+GEOMETRY = f"""WITH {MADE}, p AS (SELECT vec_id, subject, 100 + 300 * a[41] AS x0, 80 + 300 * a[42] AS y0, 300 + 500 * a[43] AS x1, 330 + 500 * a[44] AS y1, 150 + 100 * a[45] AS ex, 150 + 50 * a[46] AS ey, 250 + 400 * a[47] AS fx, 150 + 50 * a[48] AS fy, 200 + 50 * a[49] AS nx, 200 + 300 * a[50] AS ny, 200 + 50 * a[51] AS mx, 260 + 300 * a[52] AS my FROM f),
+s AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h, (ex + fx) / 2 AS ix, (ey + fy) / 2 AS iy FROM p), l AS (SELECT *, sqrt(pow(mx - ix, 2) + pow(my - iy, 2)) AS len, last_value(CASE WHEN greatest(w, h) >= 150 THEN greatest(w, h) END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s),
+g AS (SELECT *, ((nx - ix) * (mx - ix) + (ny - iy) * (my - iy)) / len AS along FROM l)
+SELECT vec_id, w >= 10 AND h >= 10 AND (x0 + x1) / 2 BETWEEN -128 AND 768 AND (y0 + y1) / 2 BETWEEN -96 AND 576 AND w / h BETWEEN 0.38 AND 2.5 AND fx - ex > 5 AND sqrt(pow(fx - ex, 2) + pow(fy - ey, 2)) >= 0.18 * w AND my > iy AND len >= 0.22 * h AND along > 0.08 * len AND along < 0.95 * len
+AND (last IS NULL OR greatest(w, h) / greatest(last, 1) BETWEEN 0.55 AND 1.8) AS valid FROM g"""
+
+
 def row_limits(spark, sf):
     """The first twenty rows of each subject, numbered, with the time a fixed rate gives them."""
     got = first_rows(made(spark, sf), ["subject"], ["vec_id"], 20).withColumn("at", (F.col("nth") - 1) / 30.0)
@@ -198,6 +220,7 @@ QUERIES = {
     "audit_rows": (audit_rows, AUDIT_ROWS),
     "audit_summary": (audit_summary, AUDIT_SUMMARY),
     "frame_projections": (frame_projections, PROJECTIONS),
+    "face_geometry": (face_geometry, GEOMETRY),
     "row_limits": (row_limits, LIMITS),
     "labelled_union": (labelled_union, UNION),
 }

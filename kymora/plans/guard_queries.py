@@ -117,7 +117,7 @@ _made = ", ".join(f"{temporal.doubles(x)} AS {n}" for n, x in frame_columns(lamb
 _held = "coalesce(last_value(CASE WHEN blink_phase = 'open' AND ear_avg >= 0.22 AND face_valid AND NOT imu_gated THEN ear_avg END IGNORE NULLS) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 0.30) AS last_open_ear"
 TEMPORAL = f"""WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings), f AS (SELECT vec_id, label, {_made} FROM d)
 SELECT vec_id, classification, round(total_risk, 6) AS total_risk, round(involuntary, 6) AS involuntary, round(voluntary, 6) AS voluntary, lockout, throttle, active_markers
-FROM ({temporal.as_sql(f"SELECT *, {_held} FROM f", ingress=True)})"""
+FROM ({temporal.as_sql(f"SELECT *, {_held} FROM f", temporal.stages(ingress=True))})"""
 
 
 def model_alignment(spark, sf):

@@ -120,14 +120,14 @@ SELECT event_id, round(x - CASE WHEN count(v) OVER {rows(29)} >= 5 THEN quantile
 def drift_beat_fsm(spark, sf):
     df = e(spark, sf).withColumn("speed", F.col("x") - F.lag("x").over(S.plain()))
     got = W.beats(df, S, "speed", F.col("kind") == "error", (5.0, 80.0), 60.0, 3 * DAY, 2)
-    return got.select("event_id", "beat", F.col("beat_count").cast("bigint").alias("beat_count"), "detected")
+    return got.select("event_id", "beat", F.col("beat_count").cast("bigint").alias("beat_count"), "detected", r("drift").alias("drift"))
 
 
 BEATS = f"""WITH {BASE}, v AS (SELECT *, x - lag(x) OVER {OVER} AS v FROM e),
 a AS (SELECT *, CASE WHEN kind = 'error' THEN 0 WHEN v BETWEEN 5 AND 80 THEN 1 WHEN v <= -60 THEN 2 END AS ev FROM v),
 b AS (SELECT *, coalesce(ev = 2 AND last_value(ev IGNORE NULLS) OVER {rows(-1, '1 PRECEDING')} = 1, false) AS beat FROM a),
-c AS (SELECT *, sum(beat::INT) OVER {span(3 * DAY)} AS n FROM b)
-SELECT event_id, beat, n::BIGINT AS beat_count, n >= 2 AS detected FROM c"""
+c AS (SELECT *, sum(beat::INT) OVER {span(3 * DAY)} AS n, last_value(CASE WHEN ev = 1 THEN v END IGNORE NULLS) OVER {rows(-1)} AS dr FROM b)
+SELECT event_id, beat, n::BIGINT AS beat_count, n >= 2 AS detected, round(CASE WHEN n >= 2 THEN dr ELSE 0 END, 6) AS drift FROM c"""
 
 
 def fragmentation_ratio(spark, sf):
@@ -178,13 +178,36 @@ s AS (SELECT *, (us - min(us) OVER w) / 1e6 AS secs, sum(v::INT) OVER w AS nv, s
 SELECT event_id, round(CASE WHEN nv >= 6 AND secs > 0 THEN nf / (2 * secs) ELSE 0 END * 86400, 6) AS per_day FROM s"""
 
 
+def lid_tremor(spark, sf):
+    df = e(spark, sf).withColumns({"us": (F.col("us") / 360_000).cast("bigint"), "shake": F.col("k") / 150.0})
+    got = W.tremor(df, S, "x", F.col("kind") != "error", 2.0, 150.0, 2_000_000, "shake", "hz")
+    return got.select("event_id", r("hz", 2).alias("hz"))
+
+
+TREMOR = f"""WITH {BASE}, q AS (SELECT event_id, user_id, trunc(us / 360000::DOUBLE)::BIGINT AS us, x, k / 150.0::DOUBLE AS shake, kind <> 'error' AS u FROM e),
+d AS (SELECT *, x - lag(x) OVER o AS d FROM q WINDOW o AS (PARTITION BY user_id, u ORDER BY us, event_id)), v AS (SELECT *, coalesce(abs(d) > 2 AND abs(d) < 150, false) AS v FROM d),
+f AS (SELECT *, coalesce(v AND lag(v, 1, false) OVER o AND sign(d) * sign(lag(d) OVER o) < 0, false)::INT AS f FROM v WINDOW o AS (PARTITION BY user_id, u ORDER BY us, event_id)),
+w AS (SELECT *, count(*) OVER t AS n, (us - min(us) OVER t) / 1e6 AS secs, sum(v::INT) OVER t AS nv, sum(f) OVER t AS nf FROM f WINDOW t AS (PARTITION BY user_id, u ORDER BY us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW))
+SELECT event_id, CASE WHEN u AND n >= 12 AND secs >= 0.4 AND nv >= 6 THEN round_even(nf / (2 * secs) * CASE WHEN shake > 0.35 THEN greatest(0, 1 - shake) ELSE 1 END, 2) ELSE 0 END::DOUBLE AS hz FROM w"""
+
+
+def window_tremor(spark, sf):
+    df = e(spark, sf).withColumn("nth", F.row_number().over(S.plain()) - 1).withColumns({"window": F.floor(F.col("nth") / 25), "eye": F.col("x") / 4000})
+    return W.window_tremor(df, ["user_id", "window"], "nth", "eye", 25)
+
+
+WINDOW_TREMOR = f"""WITH {BASE}, n AS (SELECT *, row_number() OVER {OVER} - 1 AS nth, x / 4000 AS eye FROM e), d AS (SELECT user_id, nth, nth // 25 AS win, eye - lag(eye) OVER (PARTITION BY user_id, nth // 25 ORDER BY nth) AS d FROM n),
+v AS (SELECT *, coalesce(abs(d) > 0.001 AND abs(d) < 0.045, false) AS v FROM d), f AS (SELECT *, coalesce(v AND lag(v, 1, false) OVER o AND sign(d) * sign(lag(d) OVER o) < 0, false)::INT AS f FROM v WINDOW o AS (PARTITION BY user_id, win ORDER BY nth))
+SELECT user_id, win AS "window", CASE WHEN count(*) >= 12 AND sum(v::INT) >= 6 THEN round_even(sum(f) / (2 * (25 / 30.0::DOUBLE)), 2) ELSE 0 END::DOUBLE AS tremor FROM f GROUP BY 1, 2"""
+
+
 def cadence_detector(spark, sf):
-    return W.cadence(e(spark, sf), S, "x", 12, 12, 20.0, 60.0, 5, "speech").select("event_id", "speech")
+    return W.cadence(e(spark, sf), S, "x", 5 * DAY, 8, (40.0, 120.0), 20.0, 60.0, 90.0, 0.8 / 86400, "speech").select("event_id", "speech")
 
 
-CADENCE = f"""WITH {BASE}, l AS (SELECT *, list(x) OVER w AS a, stddev_pop(x) OVER w AS sd, max(x) OVER w - min(x) OVER w AS rg FROM e WINDOW w AS {rows(11)}),
+CADENCE = f"""WITH {BASE}, l AS (SELECT *, list(x ORDER BY us, event_id) OVER w AS a, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd, max(x) OVER w AS hi, max(x) OVER w - min(x) OVER w AS rg, (us - min(us) OVER w) / 1e6 AS secs FROM e WINDOW w AS {span(5 * DAY)}),
 g AS (SELECT *, list_filter(list_transform(a, lambda v: sign(v - list_sum(a) / len(a))), lambda v: v <> 0) AS s FROM l)
-SELECT event_id, len(a) >= 12 AND sd >= 20 AND rg >= 60 AND len(list_filter(range(1, len(s)), lambda i: s[i] * s[i + 1] < 0)) >= 5 AS speech FROM g"""
+SELECT event_id, len(a) >= 8 AND m BETWEEN 40 AND 120 AND sd >= 20 AND rg >= 60 AND hi >= 90 AND len(list_filter(range(1, len(s)), lambda i: s[i] * s[i + 1] < 0)) >= 0.8::DOUBLE / 86400 * secs AS speech FROM g"""
 
 
 def range_min_spike(spark, sf):
@@ -325,6 +348,8 @@ QUERIES = {
     "detrended_sway": (detrended_sway, SWAY),
     "first_n_median_baseline": (first_n_median_baseline, FIRST_N),
     "reversal_frequency": (reversal_frequency, REVERSAL),
+    "lid_tremor": (lid_tremor, TREMOR),
+    "window_tremor": (window_tremor, WINDOW_TREMOR),
     "cadence_detector": (cadence_detector, CADENCE),
     "range_min_spike": (range_min_spike, SPIKE),
     "suppression_clock": (suppression_clock, SUPPRESSION),

@@ -250,6 +250,23 @@ def test_a_hub_is_contracted(spark):
     assert got.pop(20_001) == 20_000 and set(got.values()) == {-5} and len(got) == 3999 + 1999 + 1
 
 
+def test_parities_and_marks_bound(spark):
+    rng = np.random.default_rng(12)
+    sets = [rng.integers(0, 400, int(rng.integers(0, 300))) for _ in range(60)]
+    sets = [np.unique(x).astype(np.uint64) for x in sets]
+    prints, parities = simhash.set_prints(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            assert int(np.bitwise_count(parities[i] ^ parities[j]).sum()) <= apart and (apart or prints[i] == prints[j])
+    values = rng.integers(-(2**63), 2**63 - 1, 3000)
+    df = spark.createDataFrame([(int(v),) for v in values], "v long")
+    hashes = {r["v"]: r["h"] for r in df.select("v", F.xxhash64("v").alias("h")).collect()}
+    assert simhash.spark_hash(values.view(np.uint64)).view(np.int64).tolist() == [hashes[int(v)] for v in values]
+    marks = simhash.Marks.of(df, "v", len(values))
+    assert marks.hold(values).all() and marks.hold(rng.integers(-(2**63), 2**63 - 1, 3000)).mean() < 0.1
+
+
 def plain_resemblance(a, b):
     def shingles(t):
         w = (t or "").encode().lower().split()
@@ -571,6 +588,39 @@ def test_baum_welch_counts_whole_documents():
     assert math.isclose(move.sum(), sizes.sum() - len(sizes), rel_tol=1e-4)
 
 
+def test_language_scores_match_a_plain_model(spark):
+    """Classes, start, three plain Baum-Welch passes and a plain forward recursion, document by document."""
+    import xxhash
+
+    rng = np.random.default_rng(17)
+    sides = [[f"{p}{int(k)}" for k in range(60)] for p in ("alpha", "be")]
+    rows = [(i, " ".join(rng.choice(sides[i % 2], int(rng.integers(1, 150))))) for i in range(60)] + [(60, None), (61, "Unseen words here"), (62, " ".join(["alpha1"] * 700))]
+    got = {r["doc_id"]: r["score"] for r in hmm.language_scores(documents(spark, rows), F.col("doc_id") % 7 != 2).collect()}
+    words = {i: [*(t or "").encode().lower().split(), b""] for i, t in rows}
+    kind = lambda w: xxhash.xxh64_intdigest(hmm.class_of(w), 1) % hmm.CLASSES
+    train = [i for i, _ in rows if i % 7 != 2]
+    counts = collections.Counter(w for i in train for w in words[i])
+    known, distinct = np.zeros(hmm.CLASSES, np.int64), np.zeros(hmm.CLASSES, np.int64)
+    for w, n in counts.items():
+        known[kind(w)] += n
+        distinct[kind(w)] += 1
+    model = hmm.Model(known, distinct, sum(n == 1 for n in counts.values()))
+    classes = {i: np.array([kind(w) for w in words[i]], np.uint16) for i, _ in rows}
+    bags = sorted((c.tobytes(), n.astype(np.int32).tobytes()) for c, n in (np.unique(classes[i], return_counts=True) for i in train))
+    model.fit(np.ones(hmm.STATES), 50 * np.eye(hmm.STATES), hmm.mixture([(np.frombuffer(c, np.uint16), np.frombuffer(n, np.int32)) for c, n in bags], model))
+    for _ in range(hmm.PASSES):
+        start, move, emit = (sum(x) for x in zip(*(plain_counts(classes[i], model) for i in train), strict=True))
+        model.fit(start, move, emit)
+    for i, _ in rows:
+        a, total = None, 0.0
+        for w in words[i]:
+            c = kind(w) if counts[w] else hmm.CLASSES
+            a = (model.start if a is None else a @ model.move) * model.emit[c]
+            total += math.log10(a.sum()) + (math.log10((counts[w] + 1) / model.within[c]) if counts[w] else 0.0)
+            a = a / a.sum()
+        assert math.isclose(got[i], total, rel_tol=2e-4), i
+
+
 def test_language_scores(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(None, "a b"), (901, None), (902, ""), (903, "unseen"), (903, "unseen")]
     docs = documents(spark, rows)
