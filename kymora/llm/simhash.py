@@ -34,8 +34,12 @@ SHARD_ROWS = 16_384
 HUBS = 2048
 #: Fingerprints in a leaf of a shard's own tree, about, and most comparisons held at once.
 LEAF, TILE = 96, 1 << 20
-#: Texts, about, whose shingles tell which are common; texts that hold a common one, and common ones at most.
-SAMPLE_TEXTS, COMMON_FROM, COMMON = 8192, 3, 65_536
+#: One of so many distinct texts, however many there are, tells which shingles are common: those that so many of them hold.
+SAMPLED, COMMON_FROM = 8, 2
+#: The most common shingles, by rank; bits of the table that marks the others for each of them, and in all at most.
+RANKED, MARK_BITS, MOST_BITS = 65_536, 16, 1 << 27
+#: Longs of a set's parities.
+PARITIES = 16
 #: What rounding may take from a bound.
 SLACK = 1e-6
 
@@ -322,8 +326,58 @@ def mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], width: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles of each text in turn, how many each has); those of ``common`` come last and in its order, others by hash."""
+class Marks:
+    """A table of bits: holds all members it was made of, and few others."""
+
+    def __init__(self, bits: int, words: np.ndarray, values: np.ndarray):
+        self.bits, self.table = bits, np.zeros(max(1, bits // 64), np.uint64)
+        self.table[words] = values
+
+    @classmethod
+    def of(cls, members: DataFrame, column: str, n: int) -> Marks:
+        """Marks of about ``n`` bigints, a word of the table to a row that is collected: MOST_BITS / 64 rows at most."""
+        bits = min(MOST_BITS, 1 << max(6, (MARK_BITS * max(1, n) - 1).bit_length()))
+        # The low bits of a hash: 6 of them within a word.
+        at = F.xxhash64(column)
+        word, mask = F.shiftrightunsigned(at, 6).bitwiseAND(F.lit(bits // 64 - 1)), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")
+        got = members.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("mask")).toPandas()
+        return cls(bits, got["word"].to_numpy(np.int64), got["mask"].to_numpy(np.int64).view(np.uint64))
+
+    def hold(self, values: np.ndarray) -> np.ndarray:
+        at = spark_hash(values.astype(np.int64, copy=False).view(np.uint64))
+        word = (at >> np.uint64(6)) & np.uint64(self.bits // 64 - 1)
+        return (self.table[word.astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """XXH64 of 8 bytes each with Spark's seed, 42, by the published steps; arithmetic wraps."""
+    # Fixed values of the hash.
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = np.uint64((0x27D4EB2F165667C5 + 42 + 8) % (1 << 64)) ^ (turn(x * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+class Common:
+    """Which shingles are common: ``rank`` is 0 for others, 1 for the marked, and rises from 2 with the most common."""
+
+    def __init__(self, marks: Marks | None = None, top: np.ndarray | None = None):
+        self.marks, self.top = marks, np.empty(0, np.uint64) if top is None else top
+        self.by = np.argsort(self.top)
+
+    def rank(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(shingles), np.int64) if self.marks is None else self.marks.hold(shingles.view(np.int64)).astype(np.int64)
+        if len(self.top):
+            near = np.minimum(np.searchsorted(self.top[self.by], shingles), len(self.top) - 1)
+            out = np.where(self.top[self.by][near] == shingles, self.by[near] + 2, out)
+        return out
+
+
+def shingle_sets(texts: list[str], width: int, common: Common | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of each text in turn, how many each has), by rank among the common ones, then by value."""
     import xxhash
 
     words = [t.encode().lower().split() for t in texts]
@@ -337,18 +391,35 @@ def shingle_sets(texts: list[str], width: int, common: np.ndarray) -> tuple[np.n
     for k in range(width):  # a text of fewer words is one shingle of all of them
         some = at + k < end
         got[some] = mixed(got[some] + h[at[some] + k], k + 1)
-    rank = np.zeros(len(got), np.int64)
-    if len(common):
-        by = np.argsort(common)
-        near = np.minimum(np.searchsorted(common[by], got), len(common) - 1)
-        rank = np.where(common[by][near] == got, by[near] + 1, 0)
-    order = np.lexsort((got, rank, doc))
+    order = np.lexsort((got, doc) if common is None else (got, common.rank(got), doc))
     doc, got = doc[order], got[order]
     new = np.ones(len(got), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (got[1:] != got[:-1])
     return got[new], np.bincount(doc[new], minlength=len(texts))
 
 
+def set_prints(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's SimHash, and its parities: bit b tells whether an odd number of members fall on b of 64 * PARITIES.
+
+    Parities differ in at most as many bits as two sets have members that are in one of them only.
+    """
+    prints, parities = np.zeros(len(sizes), np.uint64), np.zeros((len(sizes), PARITIES), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        firsts = (np.cumsum(sizes) - sizes)[some]
+        bits = np.unpackbits(mixed(shingles, 9).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
+        prints[some] = np.packbits(2 * ones > sizes[some, None], axis=1, bitorder="little").view("<u8").ravel()
+        at = mixed(shingles, 10)
+        cell = np.repeat(np.arange(len(some)), sizes[some]) * PARITIES + (at >> np.uint64(6) & np.uint64(PARITIES - 1)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        odd = np.bitwise_xor.reduceat((np.uint64(1) << (at & np.uint64(63)))[order], new)
+        parities[some[cell[new] // PARITIES], cell[new] % PARITIES] = odd
+    return prints, parities
+
+
 def set_keys(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set, whatever the order of its members."""
     keys = np.zeros(len(sizes), np.uint64)
@@ -362,30 +433,55 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(key, distinct shingles) of each text."""
+SETS = "key long, shingles array<long>"
+PRINTS = "doc_id long, row long, key long, size int, fp long, " + "".join(f"p{i} long, " for i in range(PARITIES)) + "first array<long>"
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int, wanted=None) -> Iterator[pa.RecordBatch]:
+    """(key, distinct shingles) of each (doc_id, text) whose id is marked as wanted; a null id always is."""
     for batch in chunks(batches):
-        flat, sizes = shingle_sets(pc.fill_null(batch.column(0), "").to_pylist(), width, np.empty(0, np.uint64))
+        texts = batch.column(1)
+        if wanted is not None:
+            ids = batch.column(0).cast(pa.int64())
+            keep = wanted.value.hold(pc.fill_null(ids, 0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+            texts = texts.filter(pa.array(keep))
+        flat, sizes = shingle_sets(pc.fill_null(texts, "").to_pylist(), width)
         yield pa.RecordBatch.from_arrays([pa.array(set_keys(flat, sizes).view(np.int64)), _lists(flat, sizes)], names=["key", "shingles"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row, key, distinct shingles, the first of them): two sets that share enough share one of their first."""
+    """PRINTS of each (doc_id, text, row): ``first`` are as many shingles as two sets that share enough must share one of."""
     for batch in chunks(batches):
         flat, sizes = shingle_sets(pc.fill_null(batch.column(1), "").to_pylist(), width, common.value)
         firsts = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1, 0)
         nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        arrays = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(set_keys(flat, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), _lists(flat[nth < np.repeat(firsts, sizes)], firsts)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "key", "size", "first"])
+        prints, parities = set_prints(flat, sizes)
+        arrays = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(set_keys(flat, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(prints.view(np.int64))]
+        arrays += [pa.array(p.view(np.int64)) for p in parities.T.copy()] + [_lists(flat[nth < np.repeat(firsts, sizes)], firsts)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PRINTS.split(", ")])
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several texts of a bounded sample hold, the rarest first: an order that pairs are looked for in, and no more."""
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE_TEXTS / max(1, docs.count())))
-    sets = docs.where(drawn).select("text").distinct().mapInArrow(lambda b: _shingles(b, width), "key long, shingles array<long>").dropDuplicates(["key"])
+def common_shingles(docs: DataFrame, width: int) -> Common:
+    """Shingles that several of the sampled texts hold: an order that pairs are looked for in, and no more.
+
+    The sample grows with the input, so what passes for rare is held by a bounded number of texts, about.
+    """
+    drawn = F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0
+    sets = docs.where(drawn).select("text").distinct().select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _shingles(b, width), SETS)
     counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
-    got = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    return np.array([r["shingle"] for r in reversed(got)], np.int64).view(np.uint64)
+    counted, path = save(counted, "common")
+    # A row for each number of texts, the largest of which are few: where the table is full, the most common are marked.
+    room, n, least = MOST_BITS // MARK_BITS, 0, None
+    for r in counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
+        if n + r["k"] > room and n:
+            break
+        n, least = n + r["k"], r["n"]
+    if not n:
+        return Common()
+    marks = Marks.of(counted.where(F.col("n") >= least), "shingle", n)
+    top = counted.orderBy(F.desc("n"), "shingle").limit(RANKED).collect()
+    remove(docs.sparkSession, path)
+    return Common(marks, np.array([r["shingle"] for r in reversed(top)], np.int64).view(np.uint64))
 
 
 def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -393,9 +489,10 @@ def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    kind = "doc_id long, row long, key long, size int, first array<long>"
-    printed, _ = save(docs.select("doc_id", "text", "row").mapInArrow(lambda b: _prefixes(b, width, similarity, common), kind), "prefixes")
-    nodes, _ = save(printed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("first").alias("first")), "texts")
+    printed, _ = save(docs.select("doc_id", "text", "row").mapInArrow(lambda b: _prefixes(b, width, similarity, common), PRINTS), "prefixes")
+    parities = [f"p{i}" for i in range(PARITIES)]
+    alone = printed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "fp", *parities, "first")])
+    nodes, _ = save(alone, "texts")
     postings = nodes.select("key", "size", F.posexplode("first").alias("pos", "shingle"))
     # A set holds a shingle once, so a count tells which shingles two sets hold.
     shared = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
@@ -408,22 +505,33 @@ def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
         return room & (F.least(f"{x}.size", f"{y}.size") >= similarity * F.greatest(f"{x}.size", f"{y}.size") - SLACK)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """The links that hold, shingle by shingle."""
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct().join(nodes.select("key", "doc_id"), "key").select(F.col("doc_id").alias("__id")).distinct()
-        texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi").select("text")
-        sets, path = save(texts.mapInArrow(lambda b: _shingles(b, width), "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
+        """The links that hold: parities rule out most others, and the rest is compared shingle by shingle."""
+        of = lambda c: nodes.select(F.col("key").alias(c), F.col("size").alias(f"{c}s"), *[F.col(p).alias(c + p) for p in parities])
+        apart = sum((F.bit_count(F.col("x" + p).bitwiseXOR(F.col("y" + p))) for p in parities), F.lit(0))
+        most = (1 - similarity) / (1 + similarity) * (F.col("xs") + F.col("ys")) + SLACK
+        pairs, pairs_path = save(pairs.join(of("x"), "x").join(of("y"), "y").where(apart <= most).select("x", "y"), "pairs")
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct().join(nodes.select("key", "doc_id"), "key").select("doc_id")
+        ids, ids_path = save(ids, "wanted")
+        wanted = spark.sparkContext.broadcast(Marks.of(ids.where("doc_id is not null"), "doc_id", ids.count()))
+        sets, path = save(docs.select("doc_id", "text").mapInArrow(lambda b: _shingles(b, width, wanted), SETS).dropDuplicates(["key"]), "shingles")
         of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
         both = F.size(F.array_intersect("sx", "sy"))
         held = pairs.join(of("x"), "x").join(of("y"), "y").where(both >= similarity * (F.size("sx") + F.size("sy") - both))
         held, _ = save(held.select(F.col("x").alias("a"), F.col("y").alias("b")), "alike")
-        remove(spark, path)
+        remove(spark, path, pairs_path, ids_path)
         return held
 
-    # First each set with the two that stand for its shingle: the one with fewest rarer shingles, which copies are made from, and the smallest key.
+    ordered = lambda x, y: (F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    # First the pairs that the fingerprints' trees link; texts of one fingerprint go with that of the smallest key.
+    lowest = nodes.groupBy("fp").agg(F.min("key").alias("low"))
+    same = nodes.select("key", "fp").join(lowest, "fp").where("key <> low").select(*ordered("key", "low"))
+    ends = lambda c: lowest.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
+    near = near_links(lowest.select("fp"), bits=4, blocks=3).join(ends("a"), "a").join(ends("b"), "b").select(*ordered("low_a", "low_b"))
+    # Then each set with the two that stand for its shingle: the one with fewest rarer shingles, which copies are made from, and the smallest key.
     heads = postings.groupBy("shingle").agg(F.min(F.struct("key", "pos", "size")).alias("low"), F.min(F.struct("pos", "key", "size")).alias("head"))
     heads = heads.select("shingle", F.explode(F.array(*[F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("key", "pos", "size")]) for c in ("low", "head")])).alias("h"))
     met = postings.select("shingle", F.struct("key", "pos", "size").alias("p")).join(heads, "shingle").where((F.col("p.key") != F.col("h.key")) & possible("p", "h"))
-    pairs, _ = save(met.select(F.least("p.key", "h.key").alias("x"), F.greatest("p.key", "h.key").alias("y")).distinct(), "pairs")
+    pairs, _ = save(met.select(*ordered("p.key", "h.key")).union(same).union(near).distinct(), "proposed")
     links = alike(pairs)
     # Then every pair that shares a first shingle and isn't linked yet, but for those whose sizes or places rule it out.
     roots = contract(links)
@@ -440,10 +548,11 @@ def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = SHINGLE + 1) -> DataFrame:
     """Groups of ``docs`` (doc_id, text) that share ``similarity`` of their distinct ``width``-word shingles: doc_id, component_id.
 
-    Pairs are proposed by an exact prefix filter: with all shingles in one order, those that a sample finds common last,
-    two sets of that resemblance share one of the first ``1 - similarity`` of their shingles. A pair is left out only where
-    verified links join it already, or where sizes or places rule it out; all others are compared exactly, shingle by
-    shingle. Texts of the same set of shingles are one. Words fold A-Z; words and shingles are 64-bit hashes.
+    Vantage-point trees over SimHash fingerprints of the shingle sets propose the closest pairs. What Hamming distance can't
+    promise comes from an exact prefix filter: with all shingles in one order, those that a sample finds common last, two
+    sets of that resemblance share one of the first ``1 - similarity`` of their shingles. A pair is left out only where
+    verified links join it already, or where sizes, places or parities rule it out; all others are compared exactly,
+    shingle by shingle. Texts of the same set of shingles are one. Words fold A-Z; words and shingles are 64-bit hashes.
     ``component_id`` is the smallest doc_id that links reach (null if all are null). Null, empty and blank texts are each
     other's copies; long ones are compared whole; repeated rows are documents of their own; an empty table gives no rows;
     further columns are ignored, whatever their names.
