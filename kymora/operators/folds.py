@@ -57,6 +57,15 @@ def fold(df: DataFrame, s: Stream, machine: Machine, inputs: list[str], keep: li
     return ordered.mapInPandas(lambda it: _run(it, machine, subject, inputs, keep), schema)
 
 
+def restarting(machine: Machine) -> Machine:
+    """The machine with one more input, the first: a row where it holds starts anew, as a new segment or a control row does."""
+
+    def step(state, row):
+        return machine.step(machine.first if row[0] else state, row[1:])
+
+    return Machine(step, machine.first, machine.outputs)
+
+
 def ema(alpha: float) -> Machine:
     """y = alpha x + (1 - alpha) y, from the first value on; input (x)."""
 

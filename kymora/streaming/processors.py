@@ -13,10 +13,12 @@ from kymora.keys import Stream
 from kymora.operators.folds import Machine, _plain
 
 
-def stateful(df: DataFrame, s: Stream, machine: Machine, inputs: list[str], keep: list[str]) -> DataFrame:
+def stateful(df: DataFrame, s: Stream, machine: Machine, inputs: list[str], keep: list[str], idle_ms: int | None = None) -> DataFrame:
     """A machine over a streaming DataFrame: the state of a subject lives in the state store between micro-batches.
 
-    Rows of a micro-batch are put in order; rows no later than the subject's last are dropped, as a machine can't go back.
+    Rows of a micro-batch are put in order, so a task holds one subject's rows of one trigger: bound the trigger at the
+    source. Rows no later than the subject's last are dropped, as a machine can't go back. With ``idle_ms`` the frame needs
+    a watermark on the same time; a subject's state is let go when that passes its last row by so much.
     """
     import pickle
 
@@ -24,6 +26,9 @@ def stateful(df: DataFrame, s: Stream, machine: Machine, inputs: list[str], keep
     schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), machine.outputs])
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, last = (machine.first, None)
         if state.exists:
             raw, last = state.get
@@ -37,9 +42,17 @@ def stateful(df: DataFrame, s: Stream, machine: Machine, inputs: list[str], keep
             out.append(got)
         if len(rows):
             state.update((pickle.dumps(now), int(rows[s.us].max())))
+        if idle_ms is not None and state.exists:
+            state.setTimeoutTimestamp(max(int(state.get[1]) // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.concat([rows[keep].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    return df.groupBy(*s.subject).applyInPandasWithState(run, schema, "state binary, last long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+    return df.groupBy(*s.subject).applyInPandasWithState(run, schema, "state binary, last long", "append", timeout)
+
+
+def with_control(df: DataFrame, control: DataFrame, flag: str) -> DataFrame:
+    """Frames and control events as one stream: ``flag`` holds on control rows, which lack the frames' other columns."""
+    return df.withColumn(flag, F.lit(False)).unionByName(control.withColumn(flag, F.lit(True)), allowMissingColumns=True)
 
 
 def telemetry(df: DataFrame, ts: str, value: str, every: str = "3 seconds", late: str = "10 seconds") -> DataFrame:

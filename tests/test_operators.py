@@ -441,3 +441,17 @@ def test_filter_bank_lets_lids_pass_and_holds_the_skull():
     assert noise < 0.2 and out[104][6, 1] - out[99][6, 1] < -5 and np.array_equal(out[-1], out[-2])
     still = [np.array(r[0]) for r in run_machine(filters.filter_bank(layout, 10), [(i * 33_000, base.ravel().tolist(), 0.5) for i in range(30)])]
     assert np.allclose(still[-1], base.ravel())
+
+
+def test_segments_and_control_rows_start_anew(spark, tmp_path):
+    assert [r[0] for r in run_machine(X.restarting(X.ema(0.5)), [(False, 4.0), (False, 0.0), (True, 8.0), (False, 0.0)])] == [4.0, 2.0, 8.0, 4.0]
+    from kymora.streaming.processors import with_control
+
+    rows = [(1, 10_000_000 + i * 50_000, float(i)) for i in range(6)]
+    path, other = f"{tmp_path}/in", f"{tmp_path}/control"
+    stream(spark, rows).write.parquet(path)
+    spark.createDataFrame([(1, 10_120_000)], "u int, us long").write.parquet(other)
+    read = lambda p: spark.readStream.schema(spark.read.parquet(p).schema).parquet(p)
+    both = with_control(read(path), read(other), "reset").withColumns({"x": F.coalesce("x", F.lit(0.0)), "ts": F.timestamp_micros("us")}).withWatermark("ts", "1 second")
+    got = drain(stateful(both, S, X.restarting(X.ema(0.5)), ["reset", "x"], ["u", "us"], idle_ms=60_000), "controlled", f"{tmp_path}/c").orderBy("us").collect()
+    assert [r["ema"] for r in got] == [0.0, 0.5, 1.25, 0.0, 1.5, 2.75, 3.875]
