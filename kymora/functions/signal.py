@@ -195,3 +195,8 @@ def pushed(chunk: Column, ring: Column, most: int, largest: float = 1.0) -> Colu
 def to_mono(a: Column, largest: float) -> Column:
     """Integer samples as fractions of their type's largest."""
     return F.transform(a, lambda v: v.cast("double") / largest)
+
+
+def to_unit(a: Column) -> Column:
+    """Float samples as they are, or divided by the largest where that is over 1."""
+    return bound(F.struct(a.alias("a"), F.array_max(F.transform(a, F.abs)).alias("m")), lambda b: F.when(b["m"] > 1, F.transform(b["a"], lambda v: v / b["m"])).otherwise(b["a"]))

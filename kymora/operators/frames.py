@@ -240,3 +240,12 @@ def text_report(summary: DataFrame, subject: list[str]) -> DataFrame:
         lines += [F.lit(rule), F.lit(title), F.lit(rule)]
         lines += [F.concat(F.rpad(F.lit(f"  {label}:"), 34, " "), F.format_string(form, F.col(c).cast("string") if form == "%s" else F.col(c))) for label, c, form in rows]
     return summary.select(*subject, F.concat_ws("\n", *lines).alias("report"))
+
+
+def diagnostic_card(risk: Column, markers: Column) -> Column:
+    """A bar of thirty places and, below it, the markers that scored, highest first."""
+    full = F.greatest(F.lit(0), F.least(F.lit(30), F.floor(risk / 100 * 30).cast("int")))
+    bar = F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), 30 - full), F.lit("]"))
+    scored = F.filter(F.map_entries(markers), lambda m: m["value"] > 0)
+    ranked = F.array_sort(F.transform(scored, lambda m: F.struct((-m["value"]).alias("s"), m["key"].alias("n"))))
+    return F.concat_ws("\n", F.array(bar), F.transform(ranked, lambda m: F.format_string("%-32s %5.1f", m["n"], -m["s"])))

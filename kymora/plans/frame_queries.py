@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kymora.functions import gates as T
 from kymora.operators import frames as R
+from kymora.operators import temporal
 from kymora.operators.temporal import doubles
 from kymora.operators.windows import first_rows
 from kymora.plans.guard_queries import frame_columns
@@ -192,6 +193,16 @@ SELECT vec_id, w >= 10 AND h >= 10 AND (x0 + x1) / 2 BETWEEN -128 AND 768 AND (y
 AND (last IS NULL OR greatest(w, h) / greatest(last, 1) BETWEEN 0.55 AND 1.8) AS valid FROM g"""
 
 
+def diagnostic_card(spark, sf):
+    got = temporal.temporal_score(made(spark, sf), ["vec_id"])
+    return got.select("vec_id", R.diagnostic_card(F.col("total_risk"), F.col("markers")).alias("card"))
+
+
+_scored = ", ".join(f"{{'s': -m_{n}, 'n': '{n}'}}" for n in temporal.LADDERS) + ", {'s': -masking_divergence_score, 'n': 'masking_divergence'}, {'s': -stupor, 'n': 'catatonic_stupor'}"
+CARD = f"""WITH {MADE}, t AS (SELECT *, least(30, greatest(0, floor(total_risk / 100 * 30)))::INT AS k FROM ({temporal.as_sql('SELECT * EXCLUDE (classification), 0.30::DOUBLE AS last_open_ear FROM f', temporal.stages())}))
+SELECT vec_id, concat_ws(chr(10), '[' || repeat('#', k) || repeat('-', 30 - k) || ']', CASE WHEN observed THEN nullif(array_to_string(list_transform(list_sort(list_filter([{_scored}], lambda m: m.s < 0)), lambda m: printf('%-32s %5.1f', m.n, -m.s)), chr(10)), '') END) AS card FROM t"""
+
+
 def row_limits(spark, sf):
     """The first twenty rows of each subject, numbered, with the time a fixed rate gives them."""
     got = first_rows(made(spark, sf), ["subject"], ["vec_id"], 20).withColumn("at", (F.col("nth") - 1) / 30.0)
@@ -220,6 +231,7 @@ QUERIES = {
     "audit_rows": (audit_rows, AUDIT_ROWS),
     "audit_summary": (audit_summary, AUDIT_SUMMARY),
     "frame_projections": (frame_projections, PROJECTIONS),
+    "diagnostic_card": (diagnostic_card, CARD),
     "face_geometry": (face_geometry, GEOMETRY),
     "row_limits": (row_limits, LIMITS),
     "labelled_union": (labelled_union, UNION),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import wave
 from collections.abc import Iterator
 
@@ -33,6 +34,29 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, channels).mean(axis=1)
 
 
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """A signal at another rate, by a polyphase low-pass filter: a Kaiser-windowed sinc over ten zero crossings on each side."""
+    g = math.gcd(rate, to)
+    up, down = to // g, rate // g
+    if up == down or not len(x):
+        return x
+    widest = max(up, down)
+    half = 10 * widest
+    taps = np.sinc(np.arange(-half, half + 1) / widest) * np.kaiser(2 * half + 1, 5.0)
+    taps *= up / taps.sum()
+    at = np.arange(-(-len(x) * up // down)) * down
+    out = np.empty(len(at))
+    # A stretch of outputs at a time: each has the inputs that fall within the filter.
+    near = 2 * half // up + 2
+    for i in range(0, len(at), 1 << 14):
+        now = at[i : i + (1 << 14), None]
+        k = -((half - now) // up) + np.arange(near)[None, :] - 1
+        j = now - k * up + half
+        use = (k >= 0) & (k < len(x)) & (j >= 0) & (j < len(taps))
+        out[i : i + (1 << 14)] = np.where(use, x[np.clip(k, 0, len(x) - 1)] * taps[np.clip(j, 0, len(taps) - 1)], 0.0).sum(axis=1)
+    return out
+
+
 def _waves(frames: Iterator[pd.DataFrame], rate: int) -> Iterator[pd.DataFrame]:
     for df in frames:
         rows = []
@@ -42,9 +66,7 @@ def _waves(frames: Iterator[pd.DataFrame], rate: int) -> Iterator[pd.DataFrame]:
             except (wave.Error, EOFError, KeyError):
                 rows.append((path, rate, None))
                 continue
-            if got != rate and len(x):
-                x = np.interp(np.arange(int(len(x) * rate / got)) * got / rate, np.arange(len(x)), x)
-            rows.append((path, rate, x.astype(np.float32).tolist()))
+            rows.append((path, rate, resampled(x, got, rate).astype(np.float32).tolist()))
         yield pd.DataFrame(rows, columns=["path", "rate", "samples"])
 
 
@@ -54,9 +76,18 @@ def read_waves(spark: SparkSession, folder: str, rate: int = 16_000) -> DataFram
     return files.select("path", "content").mapInPandas(lambda it: _waves(it, rate), "path string, rate int, samples array<float>")
 
 
-def write_archive(windows: DataFrame, path: str, label: str = "label", subject: str = "subject_id") -> None:
-    """Windows as Parquet, a folder per label and subject; rows of one are gathered before they are written."""
+def write_archive(windows: DataFrame, path: str, label: str = "label", subject: str = "subject_id", audio: tuple[str, ...] = (), voice: bool = False) -> bool:
+    """Windows as Parquet, a folder per label and subject; rows of one are gathered before they are written.
+
+    The ``audio`` columns are left out where no window has valid audio, unless ``voice`` asks for them; without windows
+    nothing is written, and False returned.
+    """
+    if windows.isEmpty():
+        return False
+    if audio and not voice and windows.where(F.col("audio_valid") > 0).isEmpty():
+        windows = windows.drop(*audio)
     windows.repartition(label, subject).write.mode("overwrite").partitionBy(label, subject).parquet(path)
+    return True
 
 
 #: What stands for a channel that an older archive lacks.

@@ -455,3 +455,20 @@ def test_segments_and_control_rows_start_anew(spark, tmp_path):
     both = with_control(read(path), read(other), "reset").withColumns({"x": F.coalesce("x", F.lit(0.0)), "ts": F.timestamp_micros("us")}).withWatermark("ts", "1 second")
     got = drain(stateful(both, S, X.restarting(X.ema(0.5)), ["reset", "x"], ["u", "us"], idle_ms=60_000), "controlled", f"{tmp_path}/c").orderBy("us").collect()
     assert [r["ema"] for r in got] == [0.0, 0.5, 1.25, 0.0, 1.5, 2.75, 3.875]
+
+
+def test_resampling_keeps_tones_and_removes_what_does_not_fit():
+    t = np.arange(44_100) / 44_100
+    out = files.resampled(np.sin(2 * np.pi * 440 * t), 44_100, 16_000)
+    assert len(out) == 16_000 and np.abs(out[200:-200] - np.sin(2 * np.pi * 440 * np.arange(16_000) / 16_000)[200:-200]).max() < 0.01
+    assert np.abs(files.resampled(np.sin(2 * np.pi * 15_000 * t), 44_100, 16_000)[200:-200]).max() < 0.05
+    assert len(files.resampled(np.ones(100), 8_000, 16_000)) == 200 and files.resampled(np.empty(0), 8_000, 16_000).size == 0
+
+
+def test_archives_hold_audio_only_where_there_is_any(spark, tmp_path):
+    df = spark.createDataFrame([(0, "s", 0.0, 0.5)], "label int, subject_id string, audio_valid double, vocal_jitter double")
+    assert not files.write_archive(df.where("false"), f"file://{tmp_path}/none") and files.first_existing(spark, f"file://{tmp_path}/none") is None
+    assert files.write_archive(df, f"file://{tmp_path}/a", audio=("vocal_jitter",)) and "vocal_jitter" not in spark.read.parquet(f"file://{tmp_path}/a").columns
+    assert files.write_archive(df, f"file://{tmp_path}/b", audio=("vocal_jitter",), voice=True) and "vocal_jitter" in spark.read.parquet(f"file://{tmp_path}/b").columns
+    got = spark.createDataFrame([([0.5, -2.0],), ([0.5, -0.2],)], "a array<double>").select(D.to_unit(F.col("a"))).collect()
+    assert [r[0] for r in got] == [[0.25, -1.0], [0.5, -0.2]]
