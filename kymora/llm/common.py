@@ -124,6 +124,19 @@ def fold_of(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def meet(rows: DataFrame, table: DataFrame, key: str, columns: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` (a null key meets nothing) left-joined to ``columns`` of a table that holds each ``key`` once.
+
+    ``hot`` (key) are the keys of very many rows, of a bounded number: what the table says of them is broadcast, and their
+    rows are dealt out by a hash of all they hold, so no key's rows meet in one task.
+    """
+    said = F.struct(*columns)
+    known = F.broadcast(table.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("__hot"), said.alias("__known")))
+    dealt = rows.join(known, F.col(key) == F.col("__hot"), "left").withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    got = dealt.join(table.select(F.col(key).alias("__at"), said.alias("__got")), "__at", "left").withColumn("__got", F.coalesce("__known", "__got"))
+    return got.select(*rows.columns, *[F.col(f"__got.{c}").alias(c) for c in columns])
+
+
 def offsets(counts: DataFrame, group: list[str], order: str, n: str, out: str) -> DataFrame:
     """Rows before each (group, order) cell: a prefix sum over one row per cell, never over the counted rows."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import own, save, ship
+from kymora.llm.common import meet, own, save, ship
 from kymora.llm.units import Index
 
 CLASSES, STATES = 1 << 15, 8
@@ -373,10 +373,8 @@ def language_scores(docs: DataFrame, is_training: Column) -> DataFrame:
     n_docs = blocks.select(F.sum(F.size("doc_ids"))).first()[0] or 0
     model = train(blocks, Model(known, distinct, once), n_docs)
     sent = spark.sparkContext.broadcast(model)
-    # A common word is an entry of nearly every block. Those words, COMMON at most, are broadcast, and their entries leave the join's key.
-    common = F.broadcast(counts.where(F.col("c") > model.tokens // COMMON).select(F.col("key").alias("common"), F.col("c").alias("many")))
-    found = entries.select("place", "key").join(common, F.col("key") == F.col("common"), "left")
-    found = found.select("place", "many", F.when(F.col("many").isNull(), F.col("key")).otherwise(F.xxhash64("place")).alias("at"))
-    found = found.join(counts.select(F.col("key").alias("at"), "c"), "at", "left").select("place", F.coalesce("many", "c").alias("c"), F.shiftright("place", PLACE_BITS).alias("block")).where("c is not null")
+    # A common word is an entry of nearly every block; there are COMMON such words at most.
+    found = meet(entries.select("place", "key"), counts, "key", ["c"], counts.where(F.col("c") > model.tokens // COMMON))
+    found = found.where("c is not null").select("place", "c", F.shiftright("place", PLACE_BITS).alias("block"))
     payload = blocks.select("block", "doc_ids", "train", "sizes", "tokens", "classes")
     return payload.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, sent.value), SCORES)

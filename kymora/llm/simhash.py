@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import chunks, own, remove, save, ship
+from kymora.llm.common import chunks, meet, own, remove, save, ship
 
 #: Fixed by the operator's contract.
 SEED, SHINGLE = 42, 4
@@ -239,17 +239,15 @@ def contract(links: DataFrame) -> DataFrame:
     """Groups of linked nodes: (node, root) for each node but the roots, the smallest of their groups.
 
     Turns of large and small stars until nothing moves; each turn is written to the shared folder. The mins are combined
-    before they are shuffled, and those of hubs are broadcast, so no node's links meet in one task.
+    before they are shuffled, and those of hubs are broadcast, so a hub's links don't meet in one task.
     """
     spark = links.sparkSession
     edges, path = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     state, n = None, edges.count()
 
     def with_low(pairs: DataFrame, low: DataFrame) -> DataFrame:
-        """``pairs`` (u, v) with m, what ``low`` (u, m, n) says of u; a hub's pairs, which know it already, leave the join's key."""
-        hubs = F.broadcast(low.where(F.col("n") > 2 * n // HUBS).select(F.col("u").alias("hub"), F.col("m").alias("known")))
-        pairs = pairs.join(hubs, F.col("u") == F.col("hub"), "left").withColumn("at", F.when(F.col("hub").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
-        return pairs.join(low.select(F.col("u").alias("at"), "m"), "at", "left").select("u", "v", F.coalesce("known", "m").alias("m"))
+        """``pairs`` (u, v) with m, what ``low`` (u, m, n) says of u."""
+        return meet(pairs, low, "u", ["m"], low.where(F.col("n") > 2 * n // HUBS))
 
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -306,12 +304,14 @@ def simhash_groups(docs: DataFrame, bits: int = 4, blocks: int = 3, width: int =
     """
     ship(docs.sparkSession)
     printed, _ = save(own(docs, "doc_id", "text").mapInArrow(lambda b: _fingerprint(b, width), "doc_id long, fp long"), "fingerprints")
-    nodes, _ = save(printed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    nodes, _ = save(printed.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")
     roots = contract(near_links(nodes.select("fp"), bits, blocks))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    groups = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return printed.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted, _ = save(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k"))
+    total, different = rooted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    groups = meet(rooted.select("fp", "root"), lowest, "root", ["component_id"], lowest.where(F.col("k") > different // HUBS))
+    got = meet(printed, groups, "fp", ["component_id"], rooted.where(F.col("n") > total // HUBS))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ---------------------------------------------------------------- near copies by resemblance
@@ -491,12 +491,14 @@ def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     printed, _ = save(docs.select("doc_id", "text", "row").mapInArrow(lambda b: _prefixes(b, width, similarity, common), PRINTS), "prefixes")
     parities = [f"p{i}" for i in range(PARITIES)]
-    alone = printed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "fp", *parities, "first")])
+    alone = printed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "fp", *parities, "first")])
     nodes, _ = save(alone, "texts")
     postings = nodes.select("key", "size", F.posexplode("first").alias("pos", "shingle"))
-    # A set holds a shingle once, so a count tells which shingles two sets hold.
-    shared = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    postings, _ = save(postings.join(shared.select("shingle"), "shingle", "left_semi"), "postings")
+    # A set holds a shingle once, so a count tells which shingles two sets hold; those of very many are HUBS at most.
+    shared, _ = save(postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    total, different = shared.agg(F.sum("n")).first()[0] or 0, nodes.count()
+    hot = shared.where(F.col("n") > total // HUBS)
+    postings, _ = save(meet(postings, shared, "shingle", ["n"], hot).where("n is not null").drop("n"), "postings")
 
     def possible(x: str, y: str):
         """Whether sizes and the shingle's places leave room: no pair that holds is ruled out at the first shingle it shares."""
@@ -523,14 +525,18 @@ def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
 
     ordered = lambda x, y: (F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
     # First the pairs that the fingerprints' trees link; texts of one fingerprint go with that of the smallest key.
-    lowest = nodes.groupBy("fp").agg(F.min("key").alias("low"))
-    same = nodes.select("key", "fp").join(lowest, "fp").where("key <> low").select(*ordered("key", "low"))
+    lowest, _ = save(nodes.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "lowest")
+    same = meet(nodes.select("key", "fp"), lowest, "fp", ["low"], lowest.where(F.col("n") > different // HUBS)).where("key <> low").select(*ordered("key", "low"))
     ends = lambda c: lowest.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
-    near = near_links(lowest.select("fp"), bits=4, blocks=3).join(ends("a"), "a").join(ends("b"), "b").select(*ordered("low_a", "low_b"))
+    near, _ = save(near_links(lowest.select("fp"), bits=4, blocks=3).distinct(), "near")
+    # A star's middle is the ``b`` of all its links.
+    centres = near.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > near.count() // HUBS)
+    near = meet(near.join(ends("a"), "a"), ends("b"), "b", ["low_b"], centres).select(*ordered("low_a", "low_b"))
     # Then each set with the two that stand for its shingle: the one with fewest rarer shingles, which copies are made from, and the smallest key.
     heads = postings.groupBy("shingle").agg(F.min(F.struct("key", "pos", "size")).alias("low"), F.min(F.struct("pos", "key", "size")).alias("head"))
-    heads = heads.select("shingle", F.explode(F.array(*[F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("key", "pos", "size")]) for c in ("low", "head")])).alias("h"))
-    met = postings.select("shingle", F.struct("key", "pos", "size").alias("p")).join(heads, "shingle").where((F.col("p.key") != F.col("h.key")) & possible("p", "h"))
+    heads = heads.select("shingle", F.array(*[F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("key", "pos", "size")]) for c in ("low", "head")]).alias("both"))
+    met = meet(postings, heads, "shingle", ["both"], hot).select(F.struct("key", "pos", "size").alias("p"), F.explode("both").alias("h"))
+    met = met.where((F.col("p.key") != F.col("h.key")) & possible("p", "h"))
     pairs, _ = save(met.select(*ordered("p.key", "h.key")).union(same).union(near).distinct(), "proposed")
     links = alike(pairs)
     # Then every pair that shares a first shingle and isn't linked yet, but for those whose sizes or places rule it out.
@@ -542,7 +548,9 @@ def near_roots(docs: DataFrame, similarity: float, width: int) -> DataFrame:
     more = mine.join(other, "shingle").where((F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & possible("a", "b"))
     more, _ = save(more.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti"), "more")
     roots = contract(links.union(alike(more)))
-    return printed.select("doc_id", "row", "key").join(roots, F.col("key") == roots["node"], "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
+    copied = nodes.where(F.col("n") > printed.count() // HUBS)
+    got = meet(printed.select("doc_id", "row", "key"), roots.withColumnRenamed("node", "key"), "key", ["root"], copied)
+    return got.select("doc_id", "row", F.coalesce("root", "key").alias("root"))
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = SHINGLE + 1) -> DataFrame:
@@ -557,6 +565,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = SHINGLE +
     other's copies; long ones are compared whole; repeated rows are documents of their own; an empty table gives no rows;
     further columns are ignored, whatever their names.
     """
-    rooted = near_roots(own(docs, "doc_id", "text").withColumn("row", F.lit(0).cast("long")), similarity, width)
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "component_id")
+    rooted, _ = save(near_roots(own(docs, "doc_id", "text").withColumn("row", F.lit(0).cast("long")), similarity, width), "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    got = meet(rooted.select("doc_id", "root"), least, "root", ["component_id"], least.where(F.col("n") > rooted.count() // HUBS))
+    return got.select("doc_id", "component_id")

@@ -475,8 +475,15 @@ def test_native_plans_hold_no_python(spark):
 def test_range_buckets(spark):
     df = spark.range(1000).union(spark.createDataFrame([(2**62,)], "id long"))
     bounds = range_bounds(df, "id", 8)
-    got = df.select("id", range_bucket("id", bounds).alias("b")).collect()
+    got = df.select("id", range_bucket("id", bounds, F.lit(0.5)).alias("b")).collect()
     assert all(r["b"] == sum(c <= r["id"] for c in bounds) for r in got) and len({r["b"] for r in got}) == 8
+    hot = df.union(spark.range(2000).select(F.lit(500).alias("id"))).union(spark.range(900).select(F.lit(None).cast("long").alias("id")))
+    bounds = range_bounds(hot, "id", 16)
+    cells = [(r["id"] if r["id"] is not None else -(2**63), r["b"]) for r in hot.select("id", range_bucket("id", bounds, F.rand(3)).alias("b")).collect()]
+    sizes = collections.Counter(b for _, b in cells)
+    assert len({b for i, b in cells if i == 500}) >= 6 and len({b for i, b in cells if i < 0}) >= 3 and max(sizes.values()) < 600
+    ends = [(min(i for i, b in cells if b == c), max(i for i, b in cells if b == c)) for c in sorted(sizes)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
     cells = spark.createDataFrame([("a", 0, 2), ("a", 1, 3), ("b", 0, 4)], "g string, o int, n int")
     assert {(r["g"], r["o"], r["before"]) for r in offsets(cells, ["g"], "o", "n", "before").collect()} == {("a", 0, 0), ("a", 1, 2), ("b", 0, 0)}
 
