@@ -46,9 +46,10 @@ def neutral_where(df: DataFrame, silent: Column, neutral: dict[str, float]) -> D
 
 
 def subject_delta(df: DataFrame, subject: str, columns: list[str], q: float = 0.9) -> DataFrame:
-    """Columns less their subject's quantile, named ``*_delta_base``."""
-    w = Window.partitionBy(subject)
-    return df.withColumns({f"{c}_delta_base": F.col(c) - F.percentile(c, q).over(w) for c in columns}).drop(*columns)
+    """Columns less their subject's quantile, named ``*_delta_base``: one pass per subject, joined back to its rows."""
+    base = df.groupBy(F.col(subject).alias("__of")).agg(*[F.percentile(c, q).alias(f"__{c}") for c in columns])
+    got = df.join(base, F.col(subject).eqNullSafe(F.col("__of")))
+    return got.withColumns({f"{c}_delta_base": F.col(c) - F.col(f"__{c}") for c in columns}).drop(*columns, "__of", *[f"__{c}" for c in columns])
 
 
 def conditional_medians(df: DataFrame, subject: str, metrics: dict[str, tuple[Column, Column]], order: list[str], most: int) -> DataFrame:
