@@ -20,8 +20,8 @@ NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The word pattern that word-end vocabularies state, with its classes spelled out for plain Latin.
 STATED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^ \t\n\r{LETTERS}{NUMBERS}]+")
-#: The pattern of byte-level BPE, spelled out likewise.
-BYTE_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^ \t\n\r{LETTERS}{NUMBERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: The pattern of byte-level BPE, spelled out likewise; letters come first, as no other part begins like them.
+BYTE_PIECES = re.compile(f" ?[{LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[{NUMBERS}]+| ?[^ \t\n\r{LETTERS}{NUMBERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 END = "</w>"
 #: Words kept by a worker before its cache starts anew; bounds its memory.
 CACHE_WORDS = 250_000
