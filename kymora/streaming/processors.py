@@ -73,11 +73,25 @@ def fresh(df: DataFrame, ts: str, keys: list[str], late: str = "10 seconds") ->
 
 
 def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into a memory table and returns it; for tests and small results only."""
+    """Runs a stream over all that is there and returns its rows, which are the view ``name`` too.
+
+    Executors write each micro-batch as Parquet beside the checkpoint, in a folder of its number, so the driver holds no
+    rows, a batch that is run again replaces its own, and a stream that goes on from its checkpoint adds to what is there.
+    In mode "complete" a batch replaces the one before.
+    """
     spark: SparkSession = df.sparkSession
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = f"{checkpoint.rstrip('/')}-rows"
+    # A stream without any batch has rows of no number.
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{rows}/none")
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/{'all' if mode == 'complete' else n}")
+
+    query = df.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    got = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(rows)
+    got.createOrReplaceTempView(name)
+    return got
 
 
 def change_only(df: DataFrame, s: Stream, command: str, keep_alive: int) -> DataFrame:

@@ -215,6 +215,20 @@ def test_event_time_aggregates(spark, tmp_path):
     assert drain(fresh(src(), "ts", ["u", "x"]), "fresh_rows", f"{tmp_path}/c").count() == 5
 
 
+def test_drained_rows_lie_in_files_and_go_on_from_the_checkpoint(spark, tmp_path):
+    rows = [(u, i * 50_000, float((i * 37 + u) % 90)) for u in range(3) for i in range(40)]
+    df = stream(spark, rows)
+    df.where("false").write.parquet(f"{tmp_path}/in/none")
+    src = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    run = lambda: drain(stateful(src, S, X.ema(0.2), ["x"], ["u", "us"]), "ema_files", f"{tmp_path}/cp")
+    assert run().count() == 0
+    for n in range(2):
+        df.where(F.floor(F.col("us") / 1_000_000) == n).write.parquet(f"{tmp_path}/in/{n}")
+        got = run()
+        assert got.inputFiles() and got.count() == spark.table("ema_files").count() == 60 * (n + 1)
+    assert sorted(run().collect()) == sorted(X.fold(df, S, X.ema(0.2), ["x"], ["u", "us"]).collect())
+
+
 def test_signals(spark):
     n = 64
     wave_ = [math.sin(2 * math.pi * 4 * i / n) for i in range(n)]
