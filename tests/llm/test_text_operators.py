@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kymora.llm import hmm, knn, packing, records, sharding, simhash, sketches
+from kymora.llm import hmm, knn, packing, records, sharding, simhash, sketches, units
 from kymora.llm.bpe import bpe, bpe_round_trip
 from kymora.llm.common import offsets, range_bounds, range_bucket
 from kymora.llm.queries import ORACLE_SQL, QUERIES, vocabulary
@@ -70,6 +70,30 @@ def test_pieces_equal_the_library_on_white_space_and_marks(tokens, name):
         assert ids.tolist() == tokens[name].encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_piece_is_encoded_once_however_many_there_are(monkeypatch):
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        codec = units._kind(f.read())
+    given, plain = [], units.Library.encode
+    monkeypatch.setattr(units.Library, "encode", lambda self, texts: given.append(sum(map(len, texts))) or plain(self, texts))
+    parts = ["".join(f" {i}" for i in range(at, at + 150_000)) for at in (0, 150_000)]
+    first = [codec.encode([t])[0].tolist() for t in parts]
+    assert sum(given) == sum(map(len, parts))
+    assert [codec.encode([t])[0].tolist() for t in parts] == first and sum(given) == sum(map(len, parts))
+
+
+def test_cut_pieces_equal_the_library(tokens, monkeypatch):
+    rng = np.random.default_rng(4)
+    some = ["'", "'s", "'ll", "'ve", "'re", "'d", "l", "v", "S", "é", "Œ", "×", "²", "1", ".", "<|", "endoftext", "|>", " ", " ", "  ", "\n", "\t", "longerthansixteenbytes", "ünd", "漢"]
+    monkeypatch.setattr(units, "CACHE_PIECES", 500)
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        codec = units._kind(f.read())
+    fixed = [[], [""], ["", ""], [" a b", "", " c"], ["it's", "'", "s"], ["a ", " b"], ["a", "'s"], ["x" * 70_000, " " * 20]]
+    for texts in fixed + [["".join(rng.choice(some, rng.integers(0, 25))) for _ in range(300)] for _ in range(10)]:
+        flat, sizes = codec.encode(texts)
+        want = [tokens["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+
+
 def test_bpe_round_trip(spark, tokens):
     t = tokens["word_bpe_49k.json"]
     got = bpe_round_trip(documents(spark), vocabulary("word_bpe_49k.json")).collect()
